@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import topk
+from slotwise.llm import packing, topk
 from slotwise.llm.common import table
 
 
@@ -12,8 +13,13 @@ def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.maxscore_topk(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_maxscore_topk": op1_maxscore_topk,
+    "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
 }
 
 ORACLES = {
