@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import packing, topk
+from slotwise.llm import packing, topk, urlfilter
 from slotwise.llm.common import table
 
 
@@ -13,12 +13,17 @@ def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.maxscore_topk(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 QUERIES = {
     "op1_maxscore_topk": op1_maxscore_topk,
+    "op4_url_trees": op4_url_trees,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
 }
 
