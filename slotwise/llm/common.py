@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,3 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint()
+
+
+def added(per_task: DataFrame) -> dict[int, np.ndarray]:
+    """The sums over all tasks of (block, values): arrays of float64 as bytes,
+    of one fixed length a block. The number of blocks must be bounded."""
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(v) for v in rows["values"])
+        return pd.DataFrame({"block": rows["block"].iloc[:1], "values": [total.tobytes()]})
+
+    sums = per_task.groupBy("block").applyInPandas(add, "block int, values binary")
+    return {row["block"]: np.frombuffer(row["values"]) for row in sums.collect()}
+
+
+def blocks_of(total: np.ndarray) -> pa.RecordBatch:
+    """A task's rows (block, values) for ``added``; one row of ``total`` each."""
+    total = np.atleast_2d(total).astype(np.float64)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array([r.tobytes() for r in total], pa.binary())], ["block", "values"])

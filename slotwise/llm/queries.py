@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import neardup, packing, topk, urlfilter
+from slotwise.llm import neardup, packing, quality, topk, toxicity, urlfilter
 from slotwise.llm.common import table
 
 
@@ -21,6 +21,14 @@ def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "first")
 
@@ -29,6 +37,8 @@ QUERIES = {
     "op1_maxscore_topk": op1_maxscore_topk,
     "op4_url_trees": op4_url_trees,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
+    "op7_fourier_quality": op7_fourier_quality,
+    "op8_noisy_channel_toxicity": op8_noisy_channel_toxicity,
     "op9_weighted_minhash": op9_weighted_minhash,
 }
 
