@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slotwise.llm import neardup, packing, quality, topk, toxicity, urlfilter
+from slotwise.llm import neardup, packing, pii, quality, secrets, topk, toxicity, urlfilter
 from slotwise.llm.common import table
 
 
@@ -13,10 +13,18 @@ def op1_maxscore_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.maxscore_topk(table(spark, sf_dir, "embeddings"), every=100, k=10)
 
 
+def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_recursive_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op6_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -35,7 +43,9 @@ def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_maxscore_topk": op1_maxscore_topk,
+    "op2_semi_markov_pii": op2_semi_markov_pii,
     "op4_url_trees": op4_url_trees,
+    "op5_recursive_secrets": op5_recursive_secrets,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_fourier_quality": op7_fourier_quality,
     "op8_noisy_channel_toxicity": op8_noisy_channel_toxicity,
