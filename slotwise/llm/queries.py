@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slotwise.llm import neardup, packing, pii, quality, secrets, topk, toxicity, urlfilter
+from slotwise.llm import decontaminate, neardup, packing, pii, quality, revisit, secrets, topk, toxicity, urlfilter
 from slotwise.llm.common import table
 
 
@@ -17,6 +18,27 @@ def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def archive_records(pages: DataFrame) -> DataFrame:
+    """Archive records of the pages in order of page_id, which is their time: a
+    third of them, mixed by id, are revisits, which assert the state of their
+    site at that time (it changes every 5,000 pages)."""
+    page, state = F.col("page_id"), F.floor(F.col("page_id") / 5000)
+    revisit = page % 65521 * 31337 % 65521 % 3 == 0
+    tag = F.concat(F.lit('"s'), state.cast("string"), F.lit('"'))
+    length = F.length(F.coalesce("html", F.lit(""))).cast("string")
+    full = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), length, F.lit("ETag"), tag, F.lit("Date"), page.cast("string"))
+    short = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("ETag"), F.concat(F.lit("W/"), tag), F.lit("Date"), page.cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"))
+    return pages.select(
+        page.alias("record_id"), "url", page.alias("time"), F.when(revisit, "revisit").otherwise("response").alias("type"),
+        F.when(revisit, F.concat(F.lit("W/"), tag)).otherwise(tag).alias("etag"), F.lit(None).cast("long").alias("last_modified"),
+        F.when(~revisit, F.md5("html")).alias("digest"), F.when(revisit, short).otherwise(full).alias("headers"),
+    )
+
+
+def op3_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisit.resolve(archive_records(table(spark, sf_dir, "pages")))
+
+
 def op4_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -41,15 +63,21 @@ def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "first")
 
 
+def op10_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_maxscore_topk": op1_maxscore_topk,
     "op2_semi_markov_pii": op2_semi_markov_pii,
+    "op3_revisit_resolution": op3_revisit_resolution,
     "op4_url_trees": op4_url_trees,
     "op5_recursive_secrets": op5_recursive_secrets,
     "op6_sum_of_squares_packing": op6_sum_of_squares_packing,
     "op7_fourier_quality": op7_fourier_quality,
     "op8_noisy_channel_toxicity": op8_noisy_channel_toxicity,
     "op9_weighted_minhash": op9_weighted_minhash,
+    "op10_cgk_decontamination": op10_cgk_decontamination,
 }
 
 ORACLES = {
@@ -63,4 +91,32 @@ ORACLES = {
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op3_revisit_resolution": """
+        WITH p AS (
+            SELECT *, regexp_replace(regexp_replace(url, '#[\\s\\S]*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS plain
+            FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL),
+        c AS (
+            SELECT page_id, html, page_id // 5000 AS state,
+                   regexp_replace(lower(regexp_extract(plain, '^([^/?]*)', 1)), '^www\\.|:80$|:443$', '', 'g')
+                   || regexp_replace(regexp_extract(plain, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
+                   list_sort(list_filter(string_split(regexp_extract(plain, '\\?([\\s\\S]*)$', 1), '&'),
+                             lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept
+            FROM p),
+        r AS (
+            SELECT page_id, state, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key,
+                   CASE WHEN page_id % 65521 * 31337 % 65521 % 3 <> 0 THEN page_id END AS full_id, html
+            FROM c),
+        a AS (
+            SELECT *, last_value(full_id IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY page_id
+                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source_id
+            FROM r),
+        o AS (
+            SELECT a.*, f.html AS body, CASE WHEN source_id IS NULL THEN 'no earlier response' WHEN f.state = a.state THEN 'resolved' ELSE 'validator mismatch' END AS outcome
+            FROM a LEFT JOIN r f ON f.page_id = a.source_id WHERE a.full_id IS NULL)
+        SELECT page_id AS record_id, url_key, source_id, outcome,
+               CASE WHEN outcome = 'resolved' THEN md5(body) END AS digest,
+               CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || length(coalesce(body, '')) || chr(10)
+                    || 'content-type: text/html' || chr(10) || 'date: ' || page_id || chr(10) || 'etag: W/"s' || state || '"' END AS headers
+        FROM o
+    """,
 }
