@@ -2,5 +2,437 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from slotwise.functions import grid, quality, values
+from slotwise.operators import blocks, catalog, ingest, ranges
+from slotwise.plans.fixtures import BLOCK_MS, HIGH_MS, LOW_MS, SAMPLE_MS, SLOTS, SQL_SAMPLES, SQL_SERIES, SQL_SLOTS, SQL_SUMMARY, samples, series, slots
+from slotwise.sources import generator
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+SUMMARY = ("count_non_missing", "count_valid", "sum_val", "min_val", "max_val")
+SUMMARY_SQL = "count_non_missing, count_valid, CAST(sum_val AS DOUBLE) AS sum_val, min_val, max_val"
+EDGE_FIELDS = tuple(f"{e}_{f}" for e in blocks.EDGES for f in ("val", "q", "offset"))
+
+
+def _doubles(rows: DataFrame) -> DataFrame:
+    """Exact decimal sums, shown as doubles."""
+    return rows.withColumns({c: F.col(c).cast("double") for c, t in rows.dtypes if t.startswith("decimal")})
+
+
+def registered(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.summaries(slots(spark, sf_dir), SLOTS)
+
+
+# ---- grid
+
+@registered(SQL_SAMPLES + "SELECT tx, series_id, block_id, slot, block_id * 86400000 AS block_start_ms FROM smp")
+def block_id_slot(spark, sf_dir):
+    return samples(spark, sf_dir).select("tx", "series_id", "block_id", "slot", grid.block_start_ms(F.col("block_id"), BLOCK_MS).alias("block_start_ms"))
+
+
+@registered(SQL_SAMPLES + "SELECT tx, block_id * 86400000 + slot * 60000 AS slot_ms, epoch_ms(make_timestamp((block_id * 86400000 + slot * 60000) * 1000)) // 3600000 AS slot_hour FROM smp")
+def slot_timestamp(spark, sf_dir):
+    at = grid.slot_timestamp(F.col("block_id"), F.col("slot"), BLOCK_MS, SAMPLE_MS)
+    return samples(spark, sf_dir).select("tx", grid.slot_ts_ms(F.col("block_id"), F.col("slot"), BLOCK_MS, SAMPLE_MS).alias("slot_ms"), grid.whole(F.unix_millis(at), 3_600_000).alias("slot_hour"))
+
+
+SAMPLE_LENGTHS = [1, 5, 10, 100, 250, 1000, 5000, 7000, 10_000, 15_000, 30_000, 60_000, 300_000, 420_000, 900_000, 3_600_000, 7_200_000]
+
+
+@registered(
+    "WITH d AS (SELECT unnest([" + ", ".join(map(str, SAMPLE_LENGTHS)) + "]::BIGINT[]) AS sample_ms), "
+    "t AS (SELECT sample_ms, sample_ms * 1024 AS ms FROM d), "
+    "u AS (SELECT *, CASE WHEN ms >= 3600000 THEN 3600000 WHEN ms >= 60000 THEN 60000 WHEN ms >= 1000 THEN 1000 ELSE 1 END AS unit FROM t), "
+    "f AS (SELECT *, ms // unit * unit AS low FROM u), "
+    "b AS (SELECT unnest([" + ", ".join(map(str, grid.BUCKET_MS)) + "]::BIGINT[]) AS bucket), "
+    "r AS (SELECT sample_ms, coalesce((SELECT min(bucket) FROM b WHERE bucket >= low), low) AS block_ms FROM f) "
+    "SELECT sample_ms, block_ms, (block_ms + sample_ms - 1) // sample_ms AS slots, block_ms % sample_ms AS rest_ms FROM r"
+)
+def derive_block_size(spark, sf_dir):
+    rows = spark.createDataFrame([(n,) for n in SAMPLE_LENGTHS], "sample_ms long").withColumn("block_ms", grid.derived_block_ms(F.col("sample_ms")))
+    return rows.select("sample_ms", "block_ms", grid.block_slots(F.col("block_ms"), F.col("sample_ms")).alias("slots"), (F.col("block_ms") % F.col("sample_ms")).alias("rest_ms"))
+
+
+DURATIONS = [(1, "h"), (60, "min"), (3600, "s"), (3_600_000, "ms"), (90, "s"), (2, "min"), (1, "ms")]
+
+
+@registered(
+    "WITH d(length, unit) AS (VALUES " + ", ".join(f"(CAST({n} AS BIGINT), '{u}')" for n, u in DURATIONS) + "), "
+    "m AS (SELECT *, length * CAST(CASE unit WHEN 'ms' THEN 1 WHEN 's' THEN 1000 WHEN 'min' THEN 60000 ELSE 3600000 END AS BIGINT) AS ms FROM d) "
+    "SELECT length, unit, ms, ms = 3600000 AS is_hour, ms < 3600000 AS is_shorter FROM m"
+)
+def duration_units(spark, sf_dir):
+    ms = grid.duration_ms(F.col("length"), F.col("unit"))
+    return spark.createDataFrame(DURATIONS, "length long, unit string").select("length", "unit", ms.alias("ms"), (ms == 3_600_000).alias("is_hour"), (ms < 3_600_000).alias("is_shorter"))
+
+
+# ---- quality
+
+BYTES = "WITH b AS (SELECT CAST(range AS INTEGER) AS q FROM range(256)), c AS (SELECT q, q & 192 AS major, lpad(bin(q), 8, '0') AS bits FROM b) "
+
+
+@registered(BYTES + "SELECT q, CASE major WHEN 192 THEN 'good' WHEN 64 THEN 'uncertain' WHEN 0 THEN 'bad' ELSE 'missing' END AS class, CAST(CASE major WHEN 192 THEN 1 WHEN 0 THEN 2 WHEN 64 THEN 4 ELSE 8 END AS INTEGER) AS flag, q & 64 = 64 AS valid, major <> 128 AS present FROM c")
+def quality_class(spark, sf_dir):
+    q = F.col("q")
+    return spark.range(256).select(F.col("id").cast("int").alias("q")).select("q", quality.class_name(q).alias("class"), quality.flag(q).alias("flag"), quality.is_valid(q).alias("valid"), quality.is_present(q).alias("present"))
+
+
+@registered(BYTES + ", f AS (SELECT q, major, bits[1:2] || '_' || bits[3:6] || '_' || bits[7:8] AS text FROM c) SELECT q, text AS bits, CASE major WHEN 192 THEN 'Good' WHEN 64 THEN 'Uncertain' WHEN 0 THEN 'Bad ' || text ELSE 'MISSING' END AS name, CAST(q // 4 % 16 AS INTEGER) AS sub_status, CAST(q % 4 AS INTEGER) AS limit_bits FROM f")
+def quality_bits(spark, sf_dir):
+    q = F.col("q")
+    return spark.range(256).select(F.col("id").cast("int").alias("q")).select("q", quality.bits(q).alias("bits"), quality.debug_name(q).alias("name"), quality.sub_status(q).alias("sub_status"), quality.limit(q).alias("limit_bits"))
+
+
+@registered("SELECT CAST(range AS INTEGER) AS mask, trim(regexp_replace(lpad(bin(range), 32, '0'), '(.{4})', '\\1 ', 'g')) AS bits FROM range(16)")
+def mask_bits_grouped(spark, sf_dir):
+    return spark.range(16).select(F.col("id").cast("int").alias("mask"), quality.grouped_bits(F.col("id")).alias("bits"))
+
+
+@registered(SQL_SAMPLES + "SELECT series_id, count(*) AS samples, count(*) FILTER (quality & 64 = 64) AS valid, count(*) FILTER (quality & 192 = 0) AS bad, count(*) FILTER (quality & 192 = 128) AS missing FROM smp GROUP BY series_id")
+def valid_samples(spark, sf_dir):
+    q = F.col("quality")
+    return samples(spark, sf_dir).groupBy("series_id").agg(F.count("*").alias("samples"), F.count_if(quality.is_valid(q)).alias("valid"), F.count_if(quality.is_class(q, quality.BAD)).alias("bad"), F.count_if(quality.is_missing(q)).alias("missing"))
+
+
+# ---- write side
+
+@registered(SQL_SLOTS + "SELECT series_id, block_id, slot, value, quality, tx FROM slt")
+def lww_dedup(spark, sf_dir):
+    return slots(spark, sf_dir).drop("pos")
+
+
+@registered(SQL_SAMPLES + "SELECT series_id, tx // 100 AS tx, block_id, count(*) AS samples, min(ts_ms) AS first_ts_ms, max(ts_ms) AS last_ts_ms FROM smp GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY series_id, tx // 100, block_id"))
+def batch_split_counts(spark, sf_dir):
+    return ingest.split_counts(samples(spark, sf_dir).withColumn("tx", grid.whole(F.col("tx"), 100)))
+
+
+@registered(SQL_SAMPLES + ", late AS (SELECT series_id, block_id, slot, value + 1 AS value, quality, tx + 1000000 AS tx FROM smp WHERE tx % 7 = 0), every AS (SELECT series_id, block_id, slot, value, quality, tx FROM smp UNION ALL SELECT * FROM late) SELECT series_id, block_id, slot, arg_max(value, tx) AS value, arg_max(quality, tx) AS quality, max(tx) AS tx FROM every GROUP BY series_id, block_id, slot")
+def backfill_merge(spark, sf_dir):
+    rows = samples(spark, sf_dir)
+    late = rows.where(F.col("tx") % 7 == 0).withColumns({"value": F.col("value") + 1, "tx": F.col("tx") + 1_000_000})
+    return ingest.merged(slots(spark, sf_dir), late).drop("pos")
+
+
+@registered(SQL_SLOTS + ", gone AS (SELECT series_id, block_id, slot, value, CASE WHEN slot % 10 = 0 THEN 128 ELSE quality END AS quality FROM slt) SELECT series_id, block_id, count(*) FILTER (quality & 192 <> 128) AS count_non_missing, count(*) FILTER (quality & 64 = 64) AS count_valid FROM gone GROUP BY series_id, block_id")
+def backfill_delete(spark, sf_dir):
+    stored = slots(spark, sf_dir)
+    deletes = stored.where(F.col("slot") % 10 == 0).withColumns({"quality": F.lit(quality.MISSING), "tx": F.col("tx") + 1_000_000})
+    rows = ingest.merged(stored, deletes)
+    return blocks.summaries(rows, SLOTS).select("series_id", "block_id", "count_non_missing", "count_valid")
+
+
+@registered(SQL_SAMPLES + "SELECT series_id, block_id, slot, tx, lead(tx) OVER (PARTITION BY series_id, block_id, slot ORDER BY tx) IS NOT NULL AS is_overwritten FROM smp")
+def overwritten_samples(spark, sf_dir):
+    return ingest.with_overwritten(samples(spark, sf_dir)).select("series_id", "block_id", "slot", "tx", "is_overwritten")
+
+
+@registered(SQL_SAMPLES + ", p AS (SELECT series_id, (tx * 7919) % 1009 AS batch, min(block_id) AS block_id FROM smp GROUP BY 1, 2), r AS (SELECT *, max(block_id) OVER (PARTITION BY series_id ORDER BY batch, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS live_block FROM p) SELECT series_id, batch, block_id, coalesce(live_block, -1) AS live_block, CASE WHEN live_block IS NULL THEN 'start' WHEN block_id = live_block THEN 'append' WHEN block_id > live_block THEN 'rotate' ELSE 'cold' END AS route FROM r")
+def hot_cold_route(spark, sf_dir):
+    parts = samples(spark, sf_dir).groupBy("series_id", (F.col("tx") * 7919 % 1009).alias("tx")).agg(F.min("block_id").alias("block_id"))
+    return ingest.routed(parts).withColumnRenamed("tx", "batch").withColumn("live_block", F.coalesce("live_block", F.lit(-1).cast("long")))
+
+
+LOG = "SELECT CASE WHEN tx % 3 = 0 THEN 'FLUSH' ELSE 'WRITE' END AS tag, CASE WHEN tx % 3 = 0 THEN tx + 1 ELSE tx END AS tx, series_id, block_id FROM smp"
+
+
+def _log(spark, sf_dir):
+    """Every third event is a flush mark of the next one's transaction."""
+    flush = F.col("tx") % 3 == 0
+    return samples(spark, sf_dir).select(F.when(flush, "FLUSH").otherwise("WRITE").alias("tag"), F.when(flush, F.col("tx") + 1).otherwise(F.col("tx")).alias("tx"), "series_id", "block_id", "slot", "value", "quality", "pos")
+
+
+@registered(SQL_SAMPLES + f", log AS ({LOG}) SELECT tx, series_id, block_id FROM log WHERE tag = 'WRITE' AND tx NOT IN (SELECT tx FROM log WHERE tag = 'FLUSH')")
+def wal_pending(spark, sf_dir):
+    return ingest.pending(_log(spark, sf_dir)).select("tx", "series_id", "block_id")
+
+
+@registered(SQL_SAMPLES + f", log AS ({LOG}), w AS (SELECT * FROM smp WHERE tx % 3 <> 0) SELECT series_id, block_id, slot, arg_max(value, tx) AS value, max(tx) AS tx FROM w GROUP BY series_id, block_id, slot")
+def wal_replay(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    writes, waiting = log.where("tag = 'WRITE'"), ingest.pending(log)
+    stored = ingest.last_writes(writes.join(waiting.select("tx"), "tx", "left_anti"))
+    return ingest.merged(stored, waiting).select("series_id", "block_id", "slot", "value", "tx")
+
+
+# ---- summaries and blocks
+
+@registered(SQL_SUMMARY + f"SELECT series_id, block_id, {SUMMARY_SQL} FROM sm")
+def block_summary(spark, sf_dir):
+    return _doubles(_summaries(spark, sf_dir).select("series_id", "block_id", *SUMMARY))
+
+
+@registered(SQL_SUMMARY + f"SELECT series_id, block_id, {', '.join(EDGE_FIELDS)} FROM sm")
+def block_first_last(spark, sf_dir):
+    return _summaries(spark, sf_dir).select("series_id", "block_id", *EDGE_FIELDS)
+
+
+@registered(SQL_SUMMARY + "SELECT series_id, block_id, qual_acc_or, qual_acc_and FROM sm")
+def block_quality_masks(spark, sf_dir):
+    return _summaries(spark, sf_dir).select("series_id", "block_id", "qual_acc_or", "qual_acc_and")
+
+
+@registered(SQL_SUMMARY.replace("AS quality, tx, 0 AS pos\n", "AS quality, tx, 0 AS pos\n").replace("FROM events)", "FROM events WHERE event_id % 50 = 1)") + ", b AS (SELECT * FROM sm) SELECT series_id, block_id, count_valid, CAST(coalesce(sum_val, 0) AS DOUBLE) AS sum_val, coalesce(min_val, 0) AS min_val, coalesce(max_val, 0) AS max_val, coalesce(fst_valid_val, 0) AS fst_valid_val, coalesce(fst_valid_q, 128) AS fst_valid_q, coalesce(CAST(fst_valid_offset AS BIGINT), 4294967295) AS fst_valid_offset, coalesce(CAST(lst_valid_offset AS BIGINT), 0) AS lst_valid_offset FROM b")
+def block_summary_compat(spark, sf_dir):
+    # thinned out, so that some blocks have no valid sample; ids of series stay, all types occur
+    rows = ingest.last_writes(samples(spark, sf_dir).where(F.col("tx") % 50 == 1))
+    fields = ("sum_val", "min_val", "max_val", "fst_valid_val", "fst_valid_q", "fst_valid_offset", "lst_valid_offset")
+    return _doubles(blocks.compat(blocks.summaries(rows, SLOTS)).select("series_id", "block_id", "count_valid", *fields))
+
+
+@registered(SQL_SLOTS + ", b AS (SELECT DISTINCT series_id, block_id FROM slt), g AS (SELECT series_id, block_id, CAST(unnest(range(1440)) AS INTEGER) AS slot FROM b) SELECT g.series_id, g.block_id, g.slot, coalesce(value, 0) AS value, coalesce(quality, 128) AS quality FROM g LEFT JOIN slt ON g.series_id = slt.series_id AND g.block_id = slt.block_id AND g.slot = slt.slot")
+def densify_block(spark, sf_dir):
+    rows = slots(spark, sf_dir)
+    return blocks.densified(rows, rows, SLOTS)
+
+
+BLOCK = LOW_MS // BLOCK_MS + 3
+
+
+@registered(SQL_SLOTS + f", g AS (SELECT CAST(range AS INTEGER) AS slot FROM range(1440)), b AS (SELECT * FROM slt WHERE series_id = 2 AND block_id = {BLOCK}), d AS (SELECT g.slot, coalesce(value, 0) AS value, coalesce(quality, 128) AS quality FROM g LEFT JOIN b ON g.slot = b.slot) SELECT CAST(2 AS BIGINT) AS series_id, CAST({BLOCK} AS BIGINT) AS block_id, CAST(count(*) AS INTEGER) AS slots, count(*) FILTER (quality = 128) AS absent, CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) AS total FROM d HAVING (SELECT count(*) FROM b) > 0")
+def read_single_block(spark, sf_dir):
+    dense = blocks.read_block(slots(spark, sf_dir), 2, BLOCK, SLOTS)
+    absent = F.size(F.filter("qualities", lambda q: q == quality.MISSING)).cast("long")
+    total = F.aggregate("values", F.lit(0).cast("decimal(38,2)"), lambda s, v: (s + v.cast("decimal(38,2)")).cast("decimal(38,2)"))
+    return dense.select("series_id", "block_id", F.size("values").alias("slots"), absent.alias("absent"), total.cast("double").alias("total"))
+
+
+FIRST_BLOCK, LAST_BLOCK = LOW_MS // BLOCK_MS, HIGH_MS // BLOCK_MS
+
+
+@registered(SQL_SUMMARY + f"SELECT series_id, block_id, count_valid FROM sm WHERE series_id = 3 AND block_id BETWEEN {FIRST_BLOCK} AND {LAST_BLOCK} ORDER BY block_id")
+def block_list_in_range(spark, sf_dir):
+    return ranges.in_range(_summaries(spark, sf_dir), 3, FIRST_BLOCK, LAST_BLOCK).select("series_id", "block_id", "count_valid")
+
+
+@registered(SQL_SUMMARY + f"SELECT series_id, block_id, {SUMMARY_SQL} FROM sm WHERE series_id = 4 AND block_id = {BLOCK}")
+def block_meta_get(spark, sf_dir):
+    return _doubles(ranges.one(_summaries(spark, sf_dir), 4, BLOCK).select("series_id", "block_id", *SUMMARY))
+
+
+@registered(SQL_SUMMARY + "SELECT 'data/' || series_id % 100 || '/' || series_id || '/' || block_id || '_0.blk' AS object_key FROM sm")
+def object_key_project(spark, sf_dir):
+    keys = slots(spark, sf_dir).select("series_id", "block_id").distinct()
+    return keys.select(blocks.object_key(F.col("series_id"), F.col("block_id"), F.lit(0)).alias("object_key"))
+
+
+def _versions(spark, sf_dir):
+    """A version of each block for every batch of 1,000 events that wrote it."""
+    rows = samples(spark, sf_dir).withColumn("version", grid.whole(F.col("tx"), 1000))
+    return rows.groupBy("series_id", "block_id", "version").agg(F.count("*").alias("samples")).withColumn("object_key", blocks.object_key(F.col("series_id"), F.col("block_id"), F.col("version")))
+
+
+VERSIONS = SQL_SAMPLES + ", v AS (SELECT series_id, block_id, tx // 1000 AS version, count(*) AS samples, 'data/' || series_id % 100 || '/' || series_id || '/' || block_id || '_' || tx // 1000 || '.blk' AS object_key FROM smp GROUP BY series_id, block_id, tx // 1000) "
+
+
+@registered(VERSIONS + "SELECT series_id, block_id, max(version) AS version, arg_max(samples, version) AS samples, arg_max(object_key, version) AS object_key FROM v GROUP BY series_id, block_id")
+def block_upsert(spark, sf_dir):
+    versions = _versions(spark, sf_dir)
+    return blocks.upserted(versions.where("version % 2 = 0"), versions.where("version % 2 = 1"))
+
+
+@registered(VERSIONS + "SELECT series_id, block_id, version, object_key, lag(object_key) OVER w AS previous_key, lead(version) OVER w IS NULL AS is_current FROM v WINDOW w AS (PARTITION BY series_id, block_id ORDER BY version)")
+def version_chain(spark, sf_dir):
+    return blocks.version_chain(_versions(spark, sf_dir)).drop("samples")
+
+
+@registered(SQL_SLOTS + ", h AS (SELECT * FROM slt ORDER BY series_id, block_id, slot LIMIT 10) SELECT series_id, block_id, slot, value, lpad(bin(quality), 8, '0')[1:2] || '_' || lpad(bin(quality), 8, '0')[3:6] || '_' || lpad(bin(quality), 8, '0')[7:8] AS quality_bits, CASE quality WHEN 192 THEN 'Good' WHEN 64 THEN 'Uncertain' WHEN 0 THEN 'Bad 00_0000_00' ELSE 'MISSING' END AS quality_name FROM h")
+def block_head(spark, sf_dir):
+    return blocks.head(slots(spark, sf_dir))
+
+
+# ---- ranges
+
+RANGE = SQL_SLOTS + f""", r AS (SELECT *, block_id * {BLOCK_MS} + slot * {SAMPLE_MS} AS tms FROM slt WHERE block_id * {BLOCK_MS} + slot * {SAMPLE_MS} >= {LOW_MS} AND block_id * {BLOCK_MS} + slot * {SAMPLE_MS} < {HIGH_MS})
+    SELECT series_id, count(*) FILTER (quality & 192 <> 128) AS count_non_missing, count(*) FILTER (quality & 64 = 64) AS count_valid,
+           CAST(sum(CAST(value AS DECIMAL(38,2))) FILTER (quality & 64 = 64) AS DOUBLE) AS sum_val, min(value) FILTER (quality & 64 = 64) AS min_val, max(value) FILTER (quality & 64 = 64) AS max_val,
+           arg_min(value, tms) FILTER (quality & 64 = 64) AS fst_valid_val, min(tms) FILTER (quality & 64 = 64) AS fst_valid_ts, arg_max(value, tms) FILTER (quality & 64 = 64) AS lst_valid_val, max(tms) FILTER (quality & 64 = 64) AS lst_valid_ts,
+           arg_min(quality, tms) FILTER (quality & 192 <> 128) AS fst_q, min(tms) FILTER (quality & 192 <> 128) AS fst_ts, arg_max(quality, tms) FILTER (quality & 192 <> 128) AS lst_q, max(tms) FILTER (quality & 192 <> 128) AS lst_ts
+    FROM r GROUP BY series_id"""
+RANGE_FIELDS = ("series_id", *SUMMARY, "fst_valid_val", "fst_valid_ts", "lst_valid_val", "lst_valid_ts", "fst_q", "fst_ts", "lst_q", "lst_ts")
+
+
+@registered(RANGE)
+def range_agg_full(spark, sf_dir):
+    return ranges.aggregate(slots(spark, sf_dir), LOW_MS, HIGH_MS, BLOCK_MS, SAMPLE_MS).transform(_doubles).select(*RANGE_FIELDS)
+
+
+@registered(RANGE)
+def range_agg_from_summaries(spark, sf_dir):
+    rows = slots(spark, sf_dir)
+    return ranges.aggregate_from_summaries(blocks.summaries(rows, SLOTS), rows, LOW_MS, HIGH_MS, BLOCK_MS, SAMPLE_MS).transform(_doubles).select(*RANGE_FIELDS)
+
+
+@registered(f"WITH r AS ({RANGE}) SELECT series_id, CAST(sum_val AS DOUBLE) / CAST(count_valid AS DOUBLE) AS avg_val FROM r")
+def range_avg(spark, sf_dir):
+    return ranges.aggregate(slots(spark, sf_dir), LOW_MS, HIGH_MS, BLOCK_MS, SAMPLE_MS).select("series_id", "avg_val")
+
+
+ZONED = "CASE series_id % 3 WHEN 0 THEN 'America/Santiago' WHEN 1 THEN 'Australia/Sydney' ELSE 'UTC' END"
+
+
+@registered(SQL_SLOTS + f", l AS (SELECT series_id, value, CAST(hour(timezone({ZONED}, timezone('UTC', make_timestamp((block_id * {BLOCK_MS} + slot * {SAMPLE_MS}) * 1000)))) AS INTEGER) AS local_hour FROM slt WHERE quality & 64 = 64) SELECT series_id, local_hour, count(*) AS samples, CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) AS total, CAST(sum(CAST(value AS DECIMAL(38,2))) AS DOUBLE) / CAST(count(*) AS DOUBLE) AS avg_val FROM l GROUP BY series_id, local_hour")
+def local_hour_avg(spark, sf_dir):
+    return _doubles(ranges.by_local_hour(slots(spark, sf_dir), series(spark, sf_dir), BLOCK_MS, SAMPLE_MS))
+
+
+@registered(SQL_SLOTS + ", v AS (SELECT * FROM slt WHERE quality & 64 = 64) SELECT a.block_id, a.slot, a.value AS left_val, b.value AS right_val FROM v a JOIN v b ON a.block_id = b.block_id AND a.slot = b.slot WHERE a.series_id = 1 AND b.series_id = 5")
+def series_align_join(spark, sf_dir):
+    return ranges.aligned(slots(spark, sf_dir), 1, 5)
+
+
+@registered(SQL_SLOTS + "SELECT series_id, block_id, slot, value, CASE WHEN value < 1 THEN 'low' ELSE 'high' END AS breach FROM slt WHERE quality & 64 = 64 AND (value < 1 OR value > 50)")
+def limit_breaches(spark, sf_dir):
+    return ranges.limit_flags(slots(spark, sf_dir), 1.0, 50.0).select("series_id", "block_id", "slot", "value", "breach")
+
+
+# ---- catalog
+
+SERIES_TEXT = ("series_id", "name", "labels_text")
+
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("labels_text", F.array_join(F.transform("labels", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ",")).select(*SERIES_TEXT)
+
+
+LABELS_SQL = "'kind=' || event_type || ',unit=' || unit || ',zone=' || zone AS labels_text"
+
+
+@registered(SQL_SERIES + f"SELECT series_id, name, {LABELS_SQL} FROM srs")
+def series_scan(spark, sf_dir):
+    return _text(catalog.scan(series(spark, sf_dir)))
+
+
+@registered(SQL_SERIES + f"SELECT series_id, name, {LABELS_SQL} FROM srs WHERE series_id = 3")
+def series_get(spark, sf_dir):
+    return _text(catalog.get(series(spark, sf_dir), 3))
+
+
+REQUESTS = [
+    (1, "temp_1", "float32", 1, "s", None, None, [("b", "1"), ("a", "1"), ("a", "2")]),
+    (2, "1temp", "float32", 1, "s", None, None, []),
+    (3, "flow", "int64", 7, "s", 1, "h", []),
+    (4, "bad_block", "int64", 1, "h", 30, "min", []),
+    (5, "level", "uint32", 1, "min", 12, None, [("z", "9")]),
+    (6, "temp\n", "float64", 1, "s", None, None, []),
+    (7, "mode", "enumeration", 250, "ms", None, None, []),
+    (8, "odd", "text", 1, "s", None, None, []),
+]
+REQUEST_SCHEMA = f"request int, name string, storage_type string, sample_len long, sample_res string, block_len long, block_res string, labels {catalog.LABELS}"
+
+
+@registered(
+    SQL_SERIES + "SELECT series_id, name, CAST(86400000 AS BIGINT) AS block_ms, " + LABELS_SQL + " FROM srs UNION ALL "
+    "SELECT (SELECT max(series_id) FROM srs) + n, name, block_ms, labels_text FROM (VALUES (1, 'temp_1', 1800000, 'a=2,b=1'), (2, 'flow', 3600000, ''), (3, 'level', 86400000, 'z=9'), (4, 'mode', 300000, '')) t(n, name, block_ms, labels_text)"
+)
+def series_create(spark, sf_dir):
+    made, _ = catalog.create(series(spark, sf_dir), spark.createDataFrame(REQUESTS, REQUEST_SCHEMA))
+    ms = made.withColumn("block_ms", grid.duration_ms(F.col("block_len"), F.col("block_res")))
+    return _text(made).join(ms.select("series_id", "block_ms"), "series_id").select("series_id", "name", "block_ms", "labels_text")
+
+
+@registered("SELECT * FROM (VALUES (CAST(2 AS INTEGER), 'bad name'), (4, 'block not longer than a sample'), (6, 'bad name'), (8, 'unknown storage type')) t(request, reason)")
+def geometry_validate(spark, sf_dir):
+    _, refused = catalog.create(series(spark, sf_dir), spark.createDataFrame(REQUESTS, REQUEST_SCHEMA))
+    return refused.select("request", "reason")
+
+
+@registered(SQL_SERIES + f"SELECT series_id, CASE series_id WHEN 2 THEN 'renamed' ELSE name END AS name, CASE series_id WHEN 3 THEN 'a=2,b=1' ELSE {LABELS_SQL.removesuffix(' AS labels_text')} END AS labels_text FROM srs")
+def series_update(spark, sf_dir):
+    patches = spark.createDataFrame([(2, "renamed", None), (3, None, [("b", "1"), ("a", "1"), ("a", "2")])], f"series_id long, name string, labels {catalog.LABELS}")
+    return _text(catalog.update(series(spark, sf_dir), patches))
+
+
+@registered(SQL_SUMMARY + "SELECT series_id, count(*) AS blocks FROM sm WHERE series_id NOT IN (2, 4) GROUP BY series_id")
+def series_delete(spark, sf_dir):
+    ids = spark.createDataFrame([(2,), (4,), (99,)], "series_id long")
+    left, owned = catalog.delete(series(spark, sf_dir), ids, _summaries(spark, sf_dir))
+    return left.join(owned, "series_id").groupBy("series_id").agg(F.count("*").alias("blocks"))
+
+
+@registered(SQL_SERIES + "SELECT series_id, name FROM srs WHERE zone = 'UTC' OR unit = 'eur'")
+def labels_match_any(spark, sf_dir):
+    return catalog.match_any(series(spark, sf_dir), [("zone", "UTC"), ("unit", "eur")]).select("series_id", "name")
+
+
+@registered(SQL_SERIES + "SELECT series_id, name FROM srs WHERE zone = 'UTC' AND unit = 'usd'")
+def labels_match_all(spark, sf_dir):
+    return catalog.match_all(series(spark, sf_dir), [("unit", "usd"), ("zone", "UTC")]).select("series_id", "name")
+
+
+@registered("WITH p AS (SELECT event_id, 'l' || event_id % 3 AS n1, 'l' || event_id % 2 AS n2, event_type AS v1, CAST(user_id AS VARCHAR) AS v2 FROM events) SELECT event_id, CASE WHEN n1 = n2 THEN n1 || '=' || v2 WHEN n1 < n2 THEN n1 || '=' || v1 || ',' || n2 || '=' || v2 ELSE n2 || '=' || v2 || ',' || n1 || '=' || v1 END AS labels FROM p")
+def labels_normalize(spark, sf_dir):
+    label = lambda n, v: F.struct(F.concat(F.lit("l"), (F.col("event_id") % n).cast("string")).alias("name"), F.col(v).cast("string").alias("value"))
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", catalog.normalized_labels(F.array(label(3, "event_type"), label(2, "user_id"))).alias("l"))
+    return rows.select("event_id", F.array_join(F.transform("l", lambda x: F.concat(x["name"], F.lit("="), x["value"])), ",").alias("labels"))
+
+
+# ---- ingest
+
+def _requests(spark, sf_dir):
+    """A request for each user and event type; some are made wrong."""
+    rows = samples(spark, sf_dir).withColumn("part", grid.whole(F.col("tx"), 50))
+    r = rows.groupBy("series_id", "part").agg(F.array_sort(F.collect_list(F.struct("tx", "ts_ms", "quality", "value"))).alias("s"))
+    kind = F.col("part") % 6
+    return r.select(
+        F.col("part").alias("tx"), F.when(kind == 1, F.col("series_id") + 100).otherwise(F.col("series_id")).alias("series"), F.when(kind == 2, "I32").otherwise("f64").alias("type"),
+        F.when(kind == 3, F.reverse(F.col("s.ts_ms"))).otherwise(F.col("s.ts_ms")).alias("ts"), F.when(kind == 4, F.slice(F.col("s.quality").cast("array<short>"), 2, 1000)).otherwise(F.col("s.quality").cast("array<short>")).alias("qs"),
+        F.col("s.value").alias("values"),
+    )
+
+
+REQUEST_SQL = SQL_SAMPLES + ", p AS (SELECT series_id, tx // 50 AS part, count(*) AS n, min(ts_ms) < max(ts_ms) AS moves FROM smp GROUP BY 1, 2), j AS (SELECT part AS tx, CASE WHEN part % 6 = 1 THEN series_id + 100 ELSE series_id END AS series, n, CASE part % 6 WHEN 1 THEN 'unknown series' WHEN 2 THEN 'type mismatch' WHEN 3 THEN CASE WHEN moves THEN 'timestamps not sorted' END WHEN 4 THEN 'length mismatch' END AS reason FROM p) "
+
+
+@registered(REQUEST_SQL + "SELECT tx, series, reason FROM j")
+def ingest_validate(spark, sf_dir):
+    return ingest.validated(_requests(spark, sf_dir), series(spark, sf_dir)).select("tx", "series", "reason")
+
+
+@registered(REQUEST_SQL + "SELECT series AS series_id, CAST(sum(n) AS BIGINT) AS samples, count(*) AS requests FROM j WHERE reason IS NULL GROUP BY series")
+def ingest_series_lookup(spark, sf_dir):
+    good = ingest.validated(_requests(spark, sf_dir), series(spark, sf_dir)).where("reason is null")
+    rows = ingest.placed_by_catalog(ingest.samples(good), series(spark, sf_dir))
+    return rows.groupBy("series_id").agg(F.count("*").alias("samples"), F.count_distinct("tx").alias("requests"))
+
+
+# ---- generator, typed sums
+
+@registered("SELECT range * 1000 AS ts_ms, round(10 * sin(range * 0.1), 9) AS value FROM range(1000)")
+def generate_sine(spark, sf_dir):
+    return generator.generate(spark, 1, 1000, "sine", "float64").select("ts_ms", F.round("value", 9).alias("value"))
+
+
+@registered("SELECT range * 1000 AS ts_ms, CAST(42 AS INTEGER) AS value FROM range(1000)")
+def generate_constant(spark, sf_dir):
+    return generator.generate(spark, 1, 1000, "constant", "int32").select("ts_ms", "value")
+
+
+@registered("SELECT range * 1000 AS ts_ms, CAST(range % 255 AS SMALLINT) AS value FROM range(1000)")
+def generate_ramp(spark, sf_dir):
+    return generator.generate(spark, 1, 1000, "ramp", "enumeration").select("ts_ms", "value")
+
+
+TYPED = {"float64": "CAST(sum(CAST(value AS DECIMAL(38,2))) AS VARCHAR)", "int32": "CAST(sum(trunc(value - 20)) AS BIGINT)", "int64": "CAST(sum(CAST(trunc(value - 20) AS BIGINT)) AS BIGINT)", "uint32": "CAST(sum(trunc(abs(value - 20))) AS BIGINT)", "uint64": "CAST(sum(trunc(abs(value - 20))) AS BIGINT)", "enumeration": "CAST(sum(trunc(abs(value - 20)) % 255) AS BIGINT)"}
+
+
+@registered(SQL_SLOTS + "SELECT series_id, " + ", ".join(f"CAST({e} AS VARCHAR) AS sum_{t}" for t, e in TYPED.items()) + " FROM slt WHERE quality & 64 = 64 GROUP BY series_id")
+def typed_sums(spark, sf_dir):
+    valid = slots(spark, sf_dir).where(quality.is_valid(F.col("quality")))
+    raw = F.col("value") - 20
+    sums = [F.sum(F.col("value").cast("decimal(38,2)")).cast("decimal(38,2)").cast("string").alias("sum_float64")]
+    sums += [values.exact_sum(values.from_raw(raw, t), t).cast("string").alias(f"sum_{t}") for t in TYPED if t != "float64"]
+    return valid.groupBy("series_id").agg(*sums)
