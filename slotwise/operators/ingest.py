@@ -69,10 +69,11 @@ def split_counts(rows: DataFrame) -> DataFrame:
 
 
 def last_writes(rows: DataFrame) -> DataFrame:
-    """Of each slot the write with the largest (tx, pos): partial aggregation
-    runs before the shuffle, so a slot written often costs one row a task."""
-    last = F.max_by(F.struct("value", "quality", "tx", "pos"), F.struct("tx", "pos"))
-    return rows.groupBy("series_id", "block_id", "slot").agg(last.alias("w")).select("series_id", "block_id", "slot", "w.*")
+    """Of each slot the write with the largest (tx, pos), value and quality
+    deciding ties: partial aggregation runs before the shuffle, so a slot
+    written often costs one row a task."""
+    last = F.max(F.struct("tx", "pos", "value", "quality"))
+    return rows.groupBy("series_id", "block_id", "slot").agg(last.alias("w")).select("series_id", "block_id", "slot", "w.value", "w.quality", "w.tx", "w.pos")
 
 
 def merged(stored: DataFrame, new: DataFrame) -> DataFrame:

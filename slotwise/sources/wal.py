@@ -27,6 +27,7 @@ TAGS = {1: "WRITE", 2: "FLUSH"}
 LARGEST = 100 * 2**20
 HEAD = struct.Struct("<BQQQ")
 FRAME = struct.Struct("<II")
+FRAME_BYTES = FRAME.size
 #: NumPy type of each storage type in the log.
 DTYPES = {"float32": "<f4", "float64": "<f8", "int32": "<i4", "int64": "<i8", "uint32": "<u4", "uint64": "<u8", "enumeration": "u1"}
 SCHEMA = "file string, pos long, len long, crc long, tag string, tx decimal(20,0), series_id decimal(20,0), block_id decimal(20,0), ts array<decimal(20,0)>, value_bytes binary, qs array<short>, error string"
@@ -124,7 +125,7 @@ def read(spark: SparkSession, path: str, mode: str = "FAILFAST", arrays: bool =
                     for at, n, crc, payload in frames(bytes(data)):
                         last = at
                         rows.append({"file": path, "pos": at, "len": n, "crc": crc, "error": None} | decoded(payload, arrays))
-                        last = at + FRAME.size + n
+                        last = at + FRAME_BYTES + n
                 except WalError as e:
                     if mode == "FAILFAST":
                         raise
