@@ -131,3 +131,11 @@ def head(slots: DataFrame, n: int = 10) -> DataFrame:
     """The first n slots by block and slot, with readable quality, for inspection."""
     q = F.col("quality").cast("int")
     return slots.orderBy("series_id", "block_id", "slot").limit(n).select("series_id", "block_id", "slot", "value", quality.bits(q).alias("quality_bits"), quality.debug_name(q).alias("quality_name"))
+
+
+def inspected(summary: DataFrame, slots: DataFrame, series_id: int, block_id: int, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """What a person wants to see of a block: its summary, with the masks in
+    grouped bits, and its first n slots."""
+    here = (F.col("series_id") == series_id) & (F.col("block_id") == block_id)
+    masks = {f"{c}_bits": quality.grouped_bits(F.col(c)) for c in ("qual_acc_or", "qual_acc_and")}
+    return summary.where(here).withColumns(masks), head(slots.where(here), n)

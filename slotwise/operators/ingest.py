@@ -17,6 +17,17 @@ from slotwise.functions.values import storage_of_tag
 REQUEST = "series long, type string, ts array<long>, qs array<short>, values array<double>"
 WIDE_REQUEST = REQUEST.replace("values array<double>", "values array<decimal(20,0)>")  # 64-bit integers
 
+#: HTTP status of each refusal, here and in the catalog.
+STATUS = {
+    "missing array": 400, "length mismatch": 400, "type mismatch": 400, "bad element": 400, "no timestamps": 422, "timestamps not sorted": 422, "unknown series": 404, "unknown block": 404,
+    "bad name": 400, "unknown storage type": 400, "bad sample duration": 400, "block not longer than a sample": 400, "empty patch": 400,
+}
+
+
+def status(reason: Column) -> Column:
+    """HTTP status of a refusal, 200 if there is none."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))[reason], F.lit(200))
+
 
 def sorted_ts(ts: Column) -> Column:
     """Whether timestamps never fall; equal ones may follow each other."""

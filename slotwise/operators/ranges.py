@@ -8,7 +8,7 @@ offset), and masks combine bitwise.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import grid
@@ -98,3 +98,16 @@ def limit_flags(slots: DataFrame, low: float, high: float) -> DataFrame:
     """Valid samples outside the limits of their engineering unit."""
     valid = slots.where(F.col("quality").bitwiseAND(F.lit(64)) == 64)
     return valid.withColumn("breach", F.when(F.col("value") < low, "low").when(F.col("value") > high, "high")).where("breach is not null")
+
+
+def pattern_distances(slots: DataFrame, series_id: int, pattern: list[float], block_ms: int, sample_ms: int) -> DataFrame:
+    """Euclidean distance of a pattern to each run of consecutive valid slots
+    within one block; a run with a gap has none. Runs over a block's edge are
+    not compared, so a window stays within a block's bounded slots."""
+    m = len(pattern)
+    run = Window.partitionBy("series_id", "block_id").orderBy("slot").rowsBetween(Window.currentRow, m - 1)
+    valid = slots.where((F.col("series_id") == series_id) & (F.col("quality").bitwiseAND(F.lit(64)) == 64))
+    rows = valid.withColumns({"run": F.collect_list("value").over(run), "end": F.max("slot").over(run)}).where((F.size("run") == m) & (F.col("end") - F.col("slot") == m - 1))
+    wanted = F.array(*(F.lit(float(x)) for x in pattern))
+    squares = F.aggregate(F.zip_with("run", wanted, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return rows.select("series_id", "block_id", "slot", F.sqrt(squares).alias("distance"))

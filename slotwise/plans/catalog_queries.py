@@ -299,6 +299,21 @@ def limit_breaches(spark, sf_dir):
     return ranges.limit_flags(slots(spark, sf_dir), 1.0, 50.0).select("series_id", "block_id", "slot", "value", "breach")
 
 
+@registered(SQL_SLOTS + """, v AS (SELECT *, list(value) OVER w AS run, max(slot) OVER w AS last FROM slt WHERE series_id = 5 AND quality & 64 = 64
+    WINDOW w AS (PARTITION BY series_id, block_id ORDER BY slot ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING))
+    SELECT series_id, block_id, slot, round(sqrt((run[1] - 10) * (run[1] - 10) + (run[2] - 20) * (run[2] - 20)), 9) AS distance FROM v WHERE len(run) = 2 AND last - slot = 1""")
+def pattern_match(spark, sf_dir):
+    found = ranges.pattern_distances(slots(spark, sf_dir), 5, [10.0, 20.0], BLOCK_MS, SAMPLE_MS)
+    return found.withColumn("distance", F.round("distance", 9))
+
+
+@registered(SQL_SUMMARY + f"SELECT series_id, block_id, count_valid, trim(regexp_replace(lpad(bin(qual_acc_or), 32, '0'), '(.{{4}})', '\\1 ', 'g')) AS or_bits FROM sm WHERE series_id = 4 AND block_id = {BLOCK}")
+def inspect_block(spark, sf_dir):
+    rows = slots(spark, sf_dir)
+    summary, _ = blocks.inspected(blocks.summaries(rows, SLOTS), rows, 4, BLOCK)
+    return summary.select("series_id", "block_id", "count_valid", F.col("qual_acc_or_bits").alias("or_bits"))
+
+
 # ---- catalog
 
 SERIES_TEXT = ("series_id", "name", "labels_text")
@@ -409,6 +424,12 @@ def ingest_series_lookup(spark, sf_dir):
     return rows.groupBy("series_id").agg(F.count("*").alias("samples"), F.count_distinct("tx").alias("requests"))
 
 
+@registered(REQUEST_SQL + "SELECT CAST(CASE reason WHEN 'unknown series' THEN 404 WHEN 'timestamps not sorted' THEN 422 WHEN 'length mismatch' THEN 400 WHEN 'type mismatch' THEN 400 ELSE 200 END AS INTEGER) AS status, count(*) AS requests FROM j GROUP BY 1")
+def ingest_status(spark, sf_dir):
+    judged = ingest.validated(_requests(spark, sf_dir), series(spark, sf_dir))
+    return judged.groupBy(ingest.status(F.col("reason")).alias("status")).agg(F.count("*").alias("requests"))
+
+
 # ---- generator, typed sums
 
 @registered("SELECT range * 1000 AS ts_ms, round(10 * sin(range * 0.1), 9) AS value FROM range(1000)")
