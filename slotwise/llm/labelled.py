@@ -32,7 +32,7 @@ def sample(labels: DataFrame, kind: str, size: int = SAMPLE) -> DataFrame:
 def isotonic(n: np.ndarray, positive: np.ndarray) -> np.ndarray:
     """Rising shares of positives over ordered bins, by pooling adjacent
     violators; a share is smoothed by one observation at the mean, and empty
-    bins lie between their neighbours."""
+    bins lie between the pools beside them."""
     if n.sum() == 0:
         return np.full(len(n), 0.5)
     base = positive.sum() / n.sum()
@@ -44,5 +44,6 @@ def isotonic(n: np.ndarray, positive: np.ndarray) -> np.ndarray:
             pools[-1][0] += w
             pools[-1][1] += p
             pools[-1][3] = last
-    share = [(p + base) / (w + 1) for w, p, _, _ in pools]
-    return np.interp(np.arange(len(n)), [(a + b) / 2 for _, _, a, b in pools], np.maximum.accumulate(share))
+    share = np.maximum.accumulate([(p + base) / (w + 1) for w, p, _, _ in pools])
+    ends = np.array([(a, b) for _, _, a, b in pools], float).ravel()
+    return np.interp(np.arange(len(n)), ends, np.repeat(share, 2))
