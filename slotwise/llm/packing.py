@@ -16,8 +16,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -106,9 +106,11 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFram
     # the checksum spreads rows that repeat an id
     dealt = sizes.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+    def run(rows: pa.Table) -> pa.Table:
+        longest_first = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]
+        rows = rows.take(pc.sort_indices(rows, sort_keys=longest_first))
         number, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="part").assign(sequence_id=rows["part"].to_numpy() * 2**32 + number, offset=offset)
+        ids = rows["part"].to_numpy().astype(np.int64) * 2**32 + number
+        return rows.drop_columns(["part"]).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("part").applyInPandas(run, PIECES + ", sequence_id long, offset long")
+    return dealt.groupBy("part").applyInArrow(run, PIECES + ", sequence_id long, offset long")
