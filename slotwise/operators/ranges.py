@@ -69,9 +69,9 @@ def aggregate(slots: DataFrame, low_ms: int, high_ms: int, block_ms: int, sample
 def aggregate_from_summaries(summary: DataFrame, slots: DataFrame, low_ms: int, high_ms: int, block_ms: int, sample_ms: int) -> DataFrame:
     """The same result; samples are read for the blocks at the edges only."""
     first, last = whole_blocks(low_ms, high_ms, block_ms)
-    edge = sorted({low_ms // block_ms, (high_ms - 1) // block_ms} - set(range(first, last + 1)) if last - first < 4 else {b for b in (low_ms // block_ms, (high_ms - 1) // block_ms) if not first <= b <= last})
+    edge = {b for b in (low_ms // block_ms, (high_ms - 1) // block_ms) if not first <= b <= last}
     ts = grid.slot_ts_ms(F.col("block_id"), F.col("slot"), block_ms, sample_ms)
-    edges = partial(slots.where(F.col("block_id").isin(*edge) & (ts >= low_ms) & (ts < high_ms)), block_ms, sample_ms)
+    edges = partial(slots.where(F.col("block_id").isin(*sorted(edge)) & (ts >= low_ms) & (ts < high_ms)), block_ms, sample_ms)
     inner = with_times(summary.where(F.col("block_id").between(first, last)), block_ms, sample_ms)
     return folded(inner.select(edges.columns).unionByName(edges))
 
