@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SALTS = 256  # parts that a block's rows are dealt to before they are added up
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -34,13 +36,21 @@ def cut(df: DataFrame) -> DataFrame:
 
 def added(per_task: DataFrame) -> dict[int, np.ndarray]:
     """The sums over all tasks of (block, values): arrays of float64 as bytes,
-    of one fixed length a block. The number of blocks must be bounded."""
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(v) for v in rows["values"])
-        return pd.DataFrame({"block": rows["block"].iloc[:1], "values": [total.tobytes()]})
-
-    sums = per_task.groupBy("block").applyInPandas(add, "block int, values binary")
+    of one fixed length a block. The number of blocks must be bounded. Rows are
+    added as they stream by, in two steps, so that a block's rows from very
+    many tasks neither meet in one group nor in one task."""
+    kinds = "block int, values binary"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, values in zip(batch.column("block").to_pylist(), batch.column("values"), strict=True):
+                x = np.frombuffer(values.as_buffer())
+                total[block] = total[block] + x if block in total else x.copy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["block", "values"])
+
+    dealt = per_task.withColumn("salt", F.spark_partition_id() % SALTS).repartition("block", "salt").select("block", "values")
+    sums = dealt.mapInArrow(add, kinds).repartition("block").mapInArrow(add, kinds)
     return {row["block"]: np.frombuffer(row["values"]) for row in sums.collect()}
 
 
