@@ -79,10 +79,13 @@ def split_counts(rows: DataFrame) -> DataFrame:
     return rows.groupBy("series_id", "tx", "block_id").agg(F.count("*").alias("samples"), F.min("ts_ms").alias("first_ts_ms"), F.max("ts_ms").alias("last_ts_ms"))
 
 
-def last_writes(rows: DataFrame) -> DataFrame:
+def last_writes(rows: DataFrame, by_block: bool = False) -> DataFrame:
     """Of each slot the write with the largest (tx, pos), value and quality
-    deciding ties: partial aggregation runs before the shuffle, so a slot
-    written often costs one row a task."""
+    deciding ties. Partial aggregation runs before the shuffle, so a slot
+    written often costs one row a task. With ``by_block`` the rows are dealt by
+    block instead, and a summary of the result needs no further shuffle; that
+    is the better plan unless slots are overwritten many times."""
+    rows = rows.repartition("series_id", "block_id") if by_block else rows
     last = F.max(F.struct("tx", "pos", "value", "quality"))
     return rows.groupBy("series_id", "block_id", "slot").agg(last.alias("w")).select("series_id", "block_id", "slot", "w.value", "w.quality", "w.tx", "w.pos")
 

@@ -34,7 +34,7 @@ def registered(sql: str | None = None):
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.summaries(slots(spark, sf_dir), SLOTS)
+    return blocks.summaries(slots(spark, sf_dir, by_block=True), SLOTS)
 
 
 # ---- grid

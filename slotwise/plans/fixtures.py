@@ -34,8 +34,8 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.placed(named.select("series_id", ts.alias("ts_ms"), "value", quality.alias("quality"), F.col("event_id").alias("tx"), F.lit(0).alias("pos")), BLOCK_MS, SAMPLE_MS)
 
 
-def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.last_writes(samples(spark, sf_dir))
+def slots(spark: SparkSession, sf_dir: str, by_block: bool = False) -> DataFrame:
+    return ingest.last_writes(samples(spark, sf_dir), by_block)
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:

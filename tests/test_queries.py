@@ -38,7 +38,13 @@ def test_entry_has_rows(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
-def test_every_row_dataset_is_pruned(spark):
-    """Only the needed columns are read, and the block filter reaches the scan."""
-    plan = catalog_queries.QUERIES["valid_samples"](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
-    assert "user_id" not in plan
+def test_plans(spark):
+    """Only the needed columns are read, and a summary of writes dealt by block
+    needs one exchange."""
+    from slotwise.operators import blocks, ingest
+    from slotwise.plans.fixtures import SLOTS
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "user_id" not in plan(catalog_queries.QUERIES["valid_samples"](spark, SF_DIR))
+    rows = spark.createDataFrame([(1, 0, 0, 1.0, 192, 1, 0)], "series_id long, block_id long, slot int, value double, quality int, tx long, pos int")
+    assert plan(blocks.summaries(ingest.last_writes(rows, by_block=True), SLOTS)).count("Exchange hashpartitioning") == 1
