@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions import grid, quality, values
 from slotwise.operators import blocks, catalog, ingest, ranges
 from slotwise.plans.fixtures import BLOCK_MS, HIGH_MS, LOW_MS, SAMPLE_MS, SLOTS, SQL_SAMPLES, SQL_SERIES, SQL_SLOTS, SQL_SUMMARY, samples, series, slots
-from slotwise.sources import generator
+from slotwise.sources import generator, wal
+from slotwise.streaming import ingest as stream
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -430,6 +434,39 @@ def ingest_status(spark, sf_dir):
     return judged.groupBy(ingest.status(F.col("reason")).alias("status")).agg(F.count("*").alias("requests"))
 
 
+# ---- streams and the log
+
+def _shared(spark: SparkSession) -> str:
+    """A new folder that all executors see: under spark.checkpoint.dir, or a
+    local one where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="slotwise-")) + f"/grid-{uuid.uuid4().hex}"
+
+
+def _block_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each series and block, its samples in order of time."""
+    r = samples(spark, sf_dir).groupBy("series_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "tx", "quality", "value"))).alias("s"))
+    return r.select("series_id", "block_id", F.col("s.tx")[0].alias("tx"), F.col("s.ts_ms").alias("ts"), F.col("s.quality").alias("qs"), F.col("s.value").alias("values"))
+
+
+@registered(SQL_SUMMARY + f"SELECT series_id, block_id, {SUMMARY_SQL} FROM sm")
+def stream_ingest(spark, sf_dir):
+    folder = _shared(spark)
+    _block_requests(spark, sf_dir).select(F.col("series_id").alias("series"), F.lit("F64").alias("type"), "ts", "qs", "values").write.json(f"{folder}/in")
+    stream.start(spark, f"{folder}/in", series(spark, sf_dir), f"{folder}/out", f"{folder}/checkpoint", once=True, files_per_batch=2).awaitTermination()
+    return _doubles(stream.current_summaries(spark, f"{folder}/out").select("series_id", "block_id", *SUMMARY))
+
+
+@registered(SQL_SAMPLES + "SELECT 'WRITE' AS tag, series_id, block_id, min(tx) AS tx, CAST(count(*) AS INTEGER) AS samples FROM smp GROUP BY series_id, block_id")
+def wal_frame_scan(spark, sf_dir):
+    import os
+
+    folder = _shared(spark).removeprefix("file://")
+    os.makedirs(folder)
+    wal.write(_block_requests(spark, sf_dir).withColumn("tag", F.lit("WRITE")), folder, "float64").write.parquet(f"file://{folder}/written")
+    longs = [F.col(c).cast("long").alias(c) for c in ("series_id", "block_id", "tx")]
+    return wal.inspected(wal.read(spark, f"file://{folder}")).select("tag", *longs, "samples")
+
+
 # ---- generator, typed sums
 
 @registered("SELECT range * 1000 AS ts_ms, round(10 * sin(range * 0.1), 9) AS value FROM range(1000)")
