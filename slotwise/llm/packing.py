@@ -46,6 +46,26 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _tokenizer(vocabulary: str):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary)
+    t.encode_special_tokens = True
+    return t
+
+
+def ids_of(text: str, vocabulary: str) -> np.ndarray:
+    """A document's ids, then 0. White space by the hundred thousand is more
+    than tiktoken's regular expressions can hold; the tokenizers library takes
+    over where they give up."""
+    try:
+        ids = encoder(vocabulary).encode_to_numpy(text, disallowed_special=())
+    except ValueError:
+        ids = np.array(_tokenizer(vocabulary).encode(text, add_special_tokens=False).ids)
+    return np.append(ids, 0).astype("<u4")
+
+
 def pieces_of(ids: np.ndarray, capacity: int) -> Iterator[tuple[int, int, int]]:
     """(start, length, crc32) per piece; of a longer document all pieces but
     the first have ``capacity`` tokens."""
@@ -82,12 +102,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def tokenised(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).encode_to_numpy
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encode(text.as_py(), disallowed_special=()), 0).astype("<u4")
-                rows += [(doc_id, k, *x) for k, x in enumerate(pieces_of(ids, capacity))]
+                rows += [(doc_id, k, *x) for k, x in enumerate(pieces_of(ids_of(text.as_py(), vocabulary), capacity))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.mapInArrow(run, PIECES)

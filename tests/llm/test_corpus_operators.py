@@ -100,6 +100,8 @@ def test_tokens_equal_the_tokenizer():
     t.encode_special_tokens = True
     texts = ["", "it's  \n\n x", "<|endoftext|> a", " " * 300, "a" * 300, "　x é́ 1234 ½"] + ["".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x300), r.randrange(0x300, 0xD000), r.randrange(0x1F000, 0x1FAFF)])) for _ in range(50)) for _ in range(400)]
     assert all(t.encode(x, add_special_tokens=False).ids == e.encode_ordinary(x) for x in texts)
+    long = "a" + " " * 1_000_000
+    assert packing.ids_of(long, path).tolist() == [*t.encode(long, add_special_tokens=False).ids, 0]
 
 
 def test_packing(spark):
