@@ -85,7 +85,7 @@ def create(series: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame
     reason. Ids follow the largest one, in the order of ``request``; requests
     come by the few, the window over them is small."""
     judged = with_geometry(requests).withColumn("reason", refusal(requests))
-    top = series.agg(F.coalesce(F.max("series_id"), F.lit(0)).alias("top"))
+    top = series.agg(F.coalesce(F.max("series_id"), F.lit(0))).first()[0]
     largest = [(n, u) for n, u in (("h", grid.UNIT_MS["h"]), ("min", grid.UNIT_MS["min"]), ("s", grid.UNIT_MS["s"]), ("ms", 1))]
     length, unit = F.col("block_ms"), F.lit("ms")
     for name, ms in reversed(largest):
@@ -93,8 +93,8 @@ def create(series: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame
         length, unit = F.when(fits, grid.whole(F.col("block_ms"), ms)).otherwise(length), F.when(fits, name).otherwise(unit)
     given = F.col("given_ms").isNotNull()
     rank = F.row_number().over(Window.orderBy("request"))
-    made = judged.where("reason is null").withColumn("n", rank).join(F.broadcast(top)).select(  # top is one row
-        (F.col("top") + F.col("n")).cast("long").alias("series_id"), "name", "storage_type",
+    made = judged.where("reason is null").withColumn("n", rank).select(
+        (F.lit(top) + F.col("n")).cast("long").alias("series_id"), "name", "storage_type",
         F.when(given, F.col("block_len")).otherwise(length).cast("long").alias("block_len"), F.when(given, F.col("block_res")).otherwise(unit).alias("block_res"),
         F.col("sample_len").cast("long").alias("sample_len"), "sample_res", normalized_labels(F.col("labels")).alias("labels"),
     )
