@@ -14,11 +14,15 @@ agree in a sample with a probability equal to their weighted Jaccard
 similarity. Bands of samples give buckets of candidates. Buckets are split into
 parts of bounded size; in a part the samples of all members are compared and
 only the edges of a spanning forest leave it, and of large buckets each part's
-best-connected members meet again on the next level. So candidates grow with
-the number of members, not with their pairs. Candidates are verified on the
-texts by exact weighted Jaccard similarity, each text's strongest edge first;
-edges between texts that are by then linked to one neighbour need no check. The
-classes are the connected components of the verified links.
+best-connected members meet again on the next level. Candidates are verified on
+the texts by exact weighted Jaccard similarity, each text's strongest edge
+first; edges between texts that are by then linked to one neighbour need no
+check. What the forests left out is made up for afterwards: the members of each
+bucket that the verified links don't connect are compared with each other,
+block by block, first the strongest pair of each two components is verified and
+then every plausible pair between those that are still apart. So candidates
+grow with the pairs of members only where these are not linked. The classes are
+the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -206,12 +210,17 @@ def compared(members: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key long, a binary, b binary, estimate double")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Plausible edges (a, b, estimate) between different texts, from (node,
-    sk, keys)."""
+def bucketed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, key), and the buckets (key, n, low, high) of several nodes, from
+    (node, sk, keys)."""
     rows = nodes.select("node", F.explode("keys").alias("key"))
     buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("print")).where("n > 1")
-    buckets = cut(buckets.dropDuplicates(["n", "low", "high", "print"]))  # members that share several bands meet once
+    return rows, cut(buckets.dropDuplicates(["n", "low", "high", "print"]))  # members that share several bands meet once
+
+
+def candidates(nodes: DataFrame, rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Plausible edges (a, b, estimate) between different texts: spanning
+    forests, which ``crossing`` completes."""
     pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
     sk = nodes.select("node", "sk")
     pairs = pairs.join(sk.select(F.col("node").alias("a"), F.col("sk").alias("sk_a")), "a").join(sk.select(F.col("node").alias("b"), F.col("sk").alias("sk_b")), "b").select("a", "b", _agreement().alias("estimate"))
@@ -226,14 +235,72 @@ def candidates(nodes: DataFrame) -> DataFrame:
         if large.isEmpty():
             break
         # parts of one bucket meet again through their heads, unless hardly any
-        # members are alike: then what they share is a passage, and pairs that
-        # are alike in the rest meet in the buckets of other bands
+        # members are alike: then what they share is a passage, and another
+        # level would not be smaller; ``crossing`` compares them whole
         heads = level.where("b is null").select("key", F.col("a").alias("node")).join(large, "key")
         wide = cut(heads.groupBy("key").agg(F.count("*").alias("n"), F.max("was").alias("was")).where("n > 1 and n <= 0.9 * was").select("key", "n"))
         members = heads.select("key", "node").join(wide, "key").join(sk, "node")
     return edges.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
 
 
+def crossing(rows: DataFrame, buckets: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame, every: bool) -> DataFrame:
+    """Plausible edges (a, b, estimate, root_a, root_b) between members of one
+    bucket that lie in different components (``labels``), without the edges
+    ``done``: every one, or of each block the strongest of each two components.
+
+    A bucket's members are dealt to parts, small components together and large
+    ones apart, and each two parts, but those of one component, make a block."""
+    tagged = cut(rows.join(buckets.where("n > 2").select("key"), "key").join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    apart = tagged.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("key")
+    tagged = tagged.join(apart, "key")
+    sizes = tagged.groupBy("key", "root").agg(F.count("*").alias("size"))
+    small = F.lit(b"")
+    sizes = sizes.withColumn("g", F.when(F.col("size") < PART, small).otherwise(F.col("root")))
+    # how many parts each group of a bucket has: a large component is a group, all small ones are another
+    groups = cut(sizes.groupBy("key", "g").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts")))
+    in_group = sizes.where("size >= %d" % PART).select("key", "root", "g")
+    members = tagged.join(in_group, ["key", "root"], "left").withColumn("g", F.coalesce("g", small)).join(groups, ["key", "g"])
+    dealt = F.when(F.col("g") == small, F.xxhash64("root", "key")).otherwise(F.xxhash64("node", "key"))
+    members = members.withColumn("i", F.pmod(dealt, "parts").cast("int")).join(nodes.select("node", "sk"), "node").select("key", "g", "i", "node", "sk", "root")
+    other = groups.select("key", F.col("g").alias("h"), F.col("parts").alias("of_h"))
+    both = groups.join(other, "key").where((F.col("g") < F.col("h")) | ((F.col("g") == F.col("h")) & (F.col("g") == small)))
+    blocks = both.select("key", "g", "h", "of_h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")).select("key", "g", "h", "i", F.explode(F.sequence(F.lit(0), F.col("of_h") - 1)).alias("j"))
+    blocks = blocks.where("g < h or i <= j")
+    left = blocks.join(members, ["key", "g", "i"]).withColumn("side", F.lit(0))
+    right = blocks.join(members.withColumnsRenamed({"g": "h", "i": "j"}), ["key", "h", "j"]).where("g < h or i < j").withColumn("side", F.lit(1))
+    block = ["key", "g", "h", "i", "j"]
+    met = left.select(*block, "side", "node", "sk", "root").unionByName(right.select(*block, "side", "node", "sk", "root"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _parts(batches, len(block)):
+            node, side = group.column("node").to_pylist(), group.column("side").to_numpy()
+            root = group.column("root").to_pylist()
+            number = {r: x for x, r in enumerate(set(root))}
+            of = np.array([number[r] for r in root])
+            sk = np.frombuffer(b"".join(group.column("sk").to_pylist()), np.uint8).reshape(len(node), SAMPLES)
+            ones = np.flatnonzero(side == 0)
+            others = np.flatnonzero(side == 1) if side.any() else ones
+            itself = not side.any()
+            for at in range(0, len(ones), 64):
+                here = ones[at : at + 64]
+                like = (sk[here, None, :] == sk[None, others, :]).mean(axis=2, dtype=np.float32)
+                ok = (like >= PLAUSIBLE) & (of[here][:, None] != of[others][None, :])
+                if itself:
+                    ok &= here[:, None] < others[None, :]
+                i, j = np.nonzero(ok)
+                out = sorted(((float(like[x, y]), int(here[x]), int(others[y])) for x, y in zip(i, j, strict=True)), reverse=True)
+                pairs = [(node[x], node[y], e, root[x], root[y]) if node[x] < node[y] else (node[y], node[x], e, root[y], root[x]) for e, x, y in out]
+                if pairs:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pairs, strict=True), (pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["a", "b", "estimate", "root_a", "root_b"])
+
+    found = met.repartition(*block).sortWithinPartitions(*block, "node").mapInArrow(run, "a binary, b binary, estimate double, root_a binary, root_b binary")
+    wide = found.join(done.select("a", "b"), ["a", "b"], "left_anti")
+    if every:
+        return wide.dropDuplicates(["a", "b"])
+    two = [F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")]
+    return wide.groupBy(*two).agg(F.max(F.struct("estimate", "a", "b", "root_a", "root_b")).alias("e")).select("e.*")
+
+
 def _agreement() -> Column:
     """Share of equal bytes of sk_a and sk_b."""
     a, b = F.hex("sk_a"), F.hex("sk_b")
@@ -257,29 +324,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold."""
+    """The pairs (a, b) whose texts reach the threshold. Of pairs that name
+    their components (root_a, root_b), those that a task's links before them
+    connect are left out."""
+    names = ["a", "b", *(c for c in ("root_a", "root_b") if c in pairs.columns)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = lru_cache(maxsize=64)(lambda text: weighted(text, idf.value))
+        above: dict[bytes, bytes] = {}
+
+        def top(x: bytes) -> bytes:
+            while x in above:
+                x = above[x]
+            return x
+
         for batch in batches:
-            good = [jaccard(kept(x.as_py()), kept(y.as_py())) >= THRESHOLD for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
+            good = []
+            roots = zip(batch.column("root_a").to_pylist(), batch.column("root_b").to_pylist(), strict=True) if len(names) > 2 else [(None, None)] * batch.num_rows
+            for x, y, (r, s) in zip(batch.column("text_a"), batch.column("text_b"), roots, strict=True):
+                r, s = (top(r), top(s)) if r else (r, s)
+                good.append(not (r and r == s) and jaccard(kept(x.as_py()), kept(y.as_py())) >= THRESHOLD)
+                if r and good[-1]:
+                    above[r] = s
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.select(*names).join(one, "a").join(other, "b").select(*names, "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def linked(docs: DataFrame, lows: DataFrame, edges: DataFrame, idf) -> DataFrame:
-    """node, root over the verified edges. The text of a node is read from the
-    row with its smallest id (``lows``), so copies don't meet in one task. First every node checks its strongest
-    edge; then all other edges are checked but those between nodes that are
-    already linked to one neighbour."""
+def texts_of(docs: DataFrame, lows: DataFrame, edges: DataFrame) -> DataFrame:
+    """node, text of the nodes of the edges, read from the row with a node's
+    smallest id (``lows``), so copies don't meet in one task."""
     ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     one_each = ends.join(lows, "node").select("node", "low")
     rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
     held = rows.join(one_each, (rows["node"] == one_each["node"]) & rows["doc_id"].eqNullSafe(one_each["low"]), "left_semi")
-    texts = cut(held.select("node", "text").dropDuplicates(["node"]))
+    return held.select("node", "text").dropDuplicates(["node"])
+
+
+def linked(edges: DataFrame, texts: DataFrame, idf) -> DataFrame:
+    """The verified ones of the edges (a, b). First every node checks its
+    strongest edge; then all other edges are checked but those between nodes
+    that are already linked to one neighbour."""
     sides = edges.select(F.explode(F.array("a", "b")).alias("node"), F.struct("estimate", "a", "b").alias("e"))
     chosen = cut(sides.groupBy("node").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct())
     good = cut(verified(chosen, texts, idf))
@@ -287,7 +374,34 @@ def linked(docs: DataFrame, lows: DataFrame, edges: DataFrame, idf) -> DataFrame
     rest = edges.select("a", "b").join(chosen, ["a", "b"], "left_anti")
     rest = rest.join(near.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b", "left")
     rest = rest.where(~F.coalesce(F.col("low_a") == F.col("low_b"), F.lit(False))).select("a", "b")
-    return components(good.unionByName(verified(rest, texts, idf)))
+    return good.unionByName(verified(rest, texts, idf))
+
+
+def fresh(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut and without the estimate of its size: joins
+    multiply estimates, so over several rounds these would grow to numbers
+    that take longer to compute than the rounds."""
+    spark, j = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(j.queryExecution().toRdd(), j.schema(), False), spark)
+
+
+def connected(docs: DataFrame, lows: DataFrame, nodes: DataFrame, idf) -> DataFrame:
+    """node, root over the verified links of the forests, and then over those
+    between what these leave apart."""
+    rows, buckets = bucketed(nodes)
+    edges = cut(candidates(nodes, rows, buckets))
+    good = fresh(linked(edges, cut(texts_of(docs, lows, edges)), idf))
+    done, labels = edges.select("a", "b"), fresh(components(good))
+    for every in (False, True):
+        more = fresh(crossing(rows, buckets, nodes, labels, done, every))
+        if more.isEmpty():
+            break
+        new = fresh(verified(more, cut(texts_of(docs, lows, more)), idf))
+        done = done.unionByName(more.select("a", "b"))
+        if not new.isEmpty():
+            good = good.unionByName(new)
+            labels = fresh(components(good))
+    return labels
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -306,7 +420,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = signed.select("node", "sk", "keys").dropDuplicates(["node"])
     # copies of a text are one row, with their smallest id, until the end
     lows = cut(signed.groupBy("node").agg(F.min("doc_id").alias("low")))
-    labels = linked(rows, lows, cut(candidates(nodes)), idf)
+    labels = connected(rows, lows, nodes, idf)
     groups = lows.join(labels, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     classes = groups.groupBy("root").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("head"))
     named = groups.join(classes, "root").select("node", "class_id", (F.col("node") == F.col("head.node")).alias("head"))

@@ -196,6 +196,33 @@ def test_large_group_and_edges(spark, monkeypatch):
     assert sorted(str(r["class_id"]) for r in ids) == ["7", "7", "None"] and sum(r["first"] for r in ids) == 2
 
 
+def test_links_that_the_forests_leave_out(spark, monkeypatch):
+    """Families of texts around the threshold, their buckets in one part and in
+    several: the classes are those of comparing every pair."""
+    r = random.Random(12)
+    texts = []
+    for _ in range(12):
+        base = prose(r, 130).split()
+        for _ in range(14):
+            w = list(base)
+            for at in r.sample(range(len(w)), r.randint(1, 3)):
+                w[at] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = frame(spark, texts)
+    idf = neardup.rarity(neardup.frequencies(docs), len(texts))
+    sets = [neardup.weighted(t, idf) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i - i % 14, i):
+            if neardup.jaccard(sets[i], sets[j]) >= neardup.THRESHOLD and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    for part in (256, 4):
+        monkeypatch.setattr(neardup, "PART", part)
+        found = {x["doc_id"]: x["class_id"] for x in neardup.near_duplicates(docs).collect()}
+        assert [found[i] for i in range(len(texts))] == root, part
+
+
 def test_consistent_samples_estimate_similarity():
     r, idf = random.Random(7), np.ones(neardup.BUCKETS, np.float32)
     differences = []
