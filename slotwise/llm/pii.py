@@ -14,6 +14,8 @@ also shown in disguised forms, and of generated windows.
 
 from __future__ import annotations
 
+import hashlib
+import heapq
 import math
 import random
 import re
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as SqlWindow
 from pyspark.sql import functions as F
 
 from slotwise.llm.common import documents
@@ -39,13 +42,11 @@ PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 SAMPLE_DOCS = 4000  # expected number of documents that the field learns from, at most
-SAMPLE_WINDOWS = 400  # windows kept of a task, at most
+SAMPLE_WINDOWS = 400  # windows of a kind, at most
 GENERATED = 240  # generated windows
 EPOCHS, RATE, DECAY = 6, 0.4, 1e-3
 LONGEST = (24, 15, 15, 16)  # tokens of a segment, at most
 CERTAIN = 0.95  # marginal probability of a reported segment, at least
-GROUPS = 8  # runs of digits in a number, at most
-NUMERIC = frozenset("+-()./[]")  # marks inside a number, beside white space
 REACH = 16  # characters beside an anchor that belong to its window
 
 
@@ -111,14 +112,13 @@ class Window:
         self.start = [p for _, p in self.tokens] + [b]
         self.before = {w.lower() for w in re.findall(r"[^\W\d_]+", text[max(0, a - 24) : a])}
 
-    def segments(self, shapes: frozenset[str] | None = None) -> Iterator[tuple[int, int, int, list[str]]]:
-        """(first token, end token, kind, features) of each candidate; of cards
-        and phones, only those with one of the given shapes."""
+    def segments(self) -> Iterator[tuple[int, int, int, list[str]]]:
+        """(first token, end token, kind, features) of each candidate."""
         t = [x for x, _ in self.tokens]
         for i, first in enumerate(t):
             if not (first.isalnum() or first in "+(") or first[0].isspace():
                 continue
-            digits, letters, signs, groups, plain = "", 0, 0, 0, True
+            digits, letters, signs = "", 0, 0
             seen: list[str] = []
             for j in range(i, min(len(t), i + max(LONGEST))):
                 x = t[j]
@@ -126,28 +126,23 @@ class Window:
                     break
                 if x.isdigit() and x.isascii():
                     digits += x
-                    groups += 1
-                    if groups > GROUPS and not letters:
-                        break
                 elif x[0].isalpha():
                     letters += 1
                     signs += x in AT and j > i
                 elif x == "@":
                     signs += 1
-                elif x not in NUMERIC and not x.isspace():
-                    plain = False
                 seen.append(x)
                 if not x.isalnum() or j + 1 - i < 3 and len(digits) < 7:
                     continue
-                for k in self._kinds(seen, digits, letters, signs, plain):
-                    if j + 1 - i <= LONGEST[k] and (k in (EMAIL, IP) or shapes is None or f"{KINDS[k]} {_shape(seen)}" in shapes):
+                for k in self._kinds(seen, digits, letters, signs):
+                    if j + 1 - i <= LONGEST[k]:
                         yield i, j + 1, k, self._features(k, t, i, j + 1, digits)
 
     @staticmethod
-    def _kinds(seen: list[str], digits: str, letters: int, signs: int, plain: bool) -> list[int]:
+    def _kinds(seen: list[str], digits: str, letters: int, signs: int) -> list[int]:
         if signs == 1 and letters and seen[0] not in "+(":
             return [EMAIL]
-        if letters or signs or not plain or not digits or len(digits) > 19:
+        if letters or not digits or len(digits) > 19:
             return []
         return [IP] * (len(digits) <= 12 and sum(x.isdigit() for x in seen) == 4 and "." in seen) + [CARD] * (len(digits) >= 12 and seen[0].isdigit()) + [PHONE] * (7 <= len(digits) <= 15)
 
@@ -214,8 +209,8 @@ def _log_add(x: float, y: float) -> float:
     return max(x, y) + math.log1p(math.exp(-abs(x - y)))
 
 
-def lattice(window: Window, weights: dict[str, float], shapes: frozenset[str]) -> list[tuple[int, int, int, list[str], float]]:
-    return [(i, j, k, f, sum(weights.get(x, 0.0) for x in f)) for i, j, k, f in window.segments(shapes)]
+def lattice(window: Window, weights: dict[str, float]) -> list[tuple[int, int, int, list[str], float]]:
+    return [(i, j, k, f, sum(weights.get(x, 0.0) for x in f)) for i, j, k, f in window.segments()]
 
 
 def marginals(n: int, segments: list[tuple]) -> list[float]:
@@ -345,14 +340,12 @@ def examples(seen: list[tuple[int, str, str, str]], seed: int = 3) -> list[tuple
 class Finder:
     def __init__(self, weights: dict[str, float]):
         self.weights = weights
-        # cards and phones of a shape that no weight speaks for are no candidates
-        self.shapes = frozenset(x for x, w in weights.items() if " shape=" in x and w > 0)
 
     def added(self, text: str, base: list[Span]) -> list[Span]:
         """Segments beside the base spans that the field is certain of."""
         out = []
         for w in windows(text, base):
-            segments = lattice(w, self.weights, self.shapes)
+            segments = lattice(w, self.weights)
             if any(s[4] > 0 for s in segments):
                 p = marginals(len(w.tokens), segments)
                 out += [(segments[x][2], w.start[segments[x][0]], w.start[segments[x][1]]) for x in decoded(len(w.tokens), segments) if p[x] >= CERTAIN]
@@ -370,16 +363,20 @@ def fit(docs: DataFrame) -> Finder:
     chosen = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < int(share * 2**30))
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = []
+        kept: list[list[tuple]] = [[] for _ in KINDS]
         for batch in batches:
             for text in batch.column("text"):
                 text = text.as_py()
                 for k, a, b in base_spans(text):
-                    if len(kept) < SAMPLE_WINDOWS and b - a <= 80:
-                        kept.append((k, text[max(0, a - REACH) : a], text[a:b], text[b : b + REACH]))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*kept, strict=True) if kept else [[]] * 4, (pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["kind", "left", "span", "right"])
-
-    found = chosen.mapInArrow(seen, "kind int, left string, span string, right string").orderBy("kind", "span", "left", "right").limit(SAMPLE_WINDOWS)
+                    if b - a <= 80:
+                        row = text[max(0, a - REACH) : a], text[a:b], text[b : b + REACH]
+                        kept[k].append((hashlib.md5("\0".join(row).encode("utf-8", "surrogatepass")).digest(), k, *row))
+            kept = [heapq.nsmallest(SAMPLE_WINDOWS, x) for x in kept]
+        rows = [x for of_kind in kept for x in of_kind]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.binary(), pa.int32(), pa.string(), pa.string(), pa.string()), strict=True)], ["hash", "kind", "left", "span", "right"])
+
+    rank = F.row_number().over(SqlWindow.partitionBy("kind").orderBy("hash"))  # of bounded size
+    found = chosen.mapInArrow(seen, "hash binary, kind int, left string, span string, right string").withColumn("rank", rank).where(F.col("rank") <= SAMPLE_WINDOWS).orderBy("kind", "rank").select("kind", "left", "span", "right")
     return Finder(train(examples([tuple(r) for r in found.collect()])))
 
 

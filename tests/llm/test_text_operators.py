@@ -65,6 +65,22 @@ def test_field_leaves_plain_numbers_alone(finder):
         assert finder.spans(text) == ([], [])
 
 
+@pytest.mark.parametrize(("kind", "text"), [(pii.PHONE, "020 7946 0958"), (pii.PHONE, "06 12 34 56 78"), (pii.CARD, "3782.822463.10005")])
+def test_unseen_shapes_are_scored(kind, text):
+    weights = {f"{pii.KINDS[kind]} bias": 5.0, f"{pii.KINDS[kind]} n={sum(c.isdigit() for c in text)}": 15.0}
+    assert (kind, 5, 5 + len(text)) in pii.Finder(weights).added("call " + text, [])
+
+
+def test_every_kind_is_sampled(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_WINDOWS", 5)
+    seen = []
+    monkeypatch.setattr(pii, "train", lambda x: seen.extend(x) or {})
+    monkeypatch.setattr(pii, "GENERATED", 0)
+    docs = spark.createDataFrame([(i, f"a{i}@b.com and +1 (555) 010-{1000 + i} then") for i in range(40)], "doc_id long, text string")
+    pii.fit(docs)
+    assert {k for _, gold in seen for k, _, _ in gold} == {pii.EMAIL, pii.PHONE}
+
+
 def test_field_marginals_equal_enumeration():
     segments = [(0, 2, 0, [], 1.0), (1, 3, 1, [], 0.5), (2, 3, 2, [], -0.3), (0, 1, 3, [], 0.2)]
 
