@@ -23,17 +23,53 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of long-lived intermediate results, from the session's
+    spark.checkpoint.dir. A local one is made only for a local session without
+    that setting, as in tests."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    return folder
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a reliable checkpoint in the folder that
-    the session names in spark.checkpoint.dir; a fresh folder is used only
-    where no folder is set, as in local tests."""
+    """``df`` with its lineage cut by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` marked for a broadcast if it has at most ``most`` rows; a larger
+    one is joined through a shuffle. Its rows must be of bounded size."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def joined_to_key(rows: DataFrame, few: DataFrame, key: str, sizes: DataFrame, each: int = 100_000) -> DataFrame:
+    """``rows`` joined to the one row that ``few`` has for their key. ``sizes``
+    (key, n) tells how many rows a key has: those of a key with more than
+    ``each`` are dealt to several tasks. At most one key in ``each`` rows is
+    such, which bounds what is broadcast. ``rows`` should be checkpointed, so that
+    a task that is tried again deals them alike."""
+    hot = F.broadcast(sizes.where(F.col("n") > each).select(key, F.ceil(F.col("n") / each).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), parts)).drop("parts")
+    right = few.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("parts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def added(per_task: DataFrame) -> dict[int, np.ndarray]:
     """The sums over all tasks of (block, values): arrays of float64 as bytes,
     of one fixed length a block. The number of blocks must be bounded. Rows are

@@ -7,22 +7,19 @@ broadcast is bounded; it is accurate for shingles in more than about a
 thousandth of the documents, and rarer ones all count as rare. Both factors
 are damped (at most 1.25 for a rare shingle against one in every document), so
 that a group of copies, however large, does not take the weight from its own
-shingles.
+shingles; the damped inverse frequency has eight levels, so that the samples of
+shingles that occur once come from tables.
 
 Each distinct text gets consistent weighted samples (Ioffe 2010): two texts
 agree in a sample with a probability equal to their weighted Jaccard
-similarity. Bands of samples give buckets of candidates. Buckets are split into
-parts of bounded size; in a part the samples of all members are compared and
-only the edges of a spanning forest leave it, and of large buckets each part's
-best-connected members meet again on the next level. Candidates are verified on
-the texts by exact weighted Jaccard similarity, each text's strongest edge
-first; edges between texts that are by then linked to one neighbour need no
-check. What the forests left out is made up for afterwards: the members of each
-bucket that the verified links don't connect are compared with each other,
-block by block, first the strongest pair of each two components is verified and
-then every plausible pair between those that are still apart. So candidates
-grow with the pairs of members only where these are not linked. The classes are
-the connected components of the verified links.
+similarity. Bands of samples give buckets of candidates. Buckets are dealt to
+blocks of bounded size, which hold the texts of their members; in a block every
+pair that agrees plausibly is verified by exact weighted Jaccard similarity,
+unless the links found so far connect it anyway. Of a bucket with several
+blocks, one member of each linked group meets those of the other blocks; then
+what is still in different classes is compared across blocks, so that no
+plausible pair of one bucket is left unverified between two classes. The
+classes are the connected components of the verified links.
 """
 
 from __future__ import annotations
@@ -34,26 +31,41 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import added, blocks_of, cut, documents
-from slotwise.llm.words import mix, shingles, word_hashes
+from slotwise.llm.common import added, blocks_of, cut, documents, joined_to_key, small, unused
+from slotwise.llm.words import batch_hashes, mix, runs, shingles
 
 SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 20, 4  # at a similarity of 0.8 a pair shares no band once in 37,000
 SAMPLES = BANDS * ROWS
-PLAUSIBLE = 0.64  # share of equal samples (standard error 0.045 at 0.8) below which no text is read
+PLAUSIBLE = 0.64  # share of equal samples (standard error 0.045 at 0.8) below which no pair is verified
 BUCKETS = 2**18  # of the document frequency sketch
 BLOCK = 4096  # sketch buckets in a row while it is added up
 PART = 256  # expected members compared with each other at a time
-VARIATES = 2**15  # rows of random variates, chosen by shingle hash
-
-
-def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles of a text, ascending, and how often each occurs."""
-    return np.unique(shingles(word_hashes(text)[0], SHINGLE), return_counts=True)
+VARIATES = 2**14  # rows of random variates, chosen by shingle hash
+LEVELS = 1 + 0.25 * np.arange(8) / 7  # damped inverse document frequency, from frequent to rare
+DENSE = 2**23  # entries of a block's table of weights, at most
+
+
+def batch_counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, shingle and how often it occurs there, ascending, for the
+    distinct shingles of several texts. A text of fewer words than a shingle
+    has one of all its words."""
+    words, text = batch_hashes(texts)
+    wide = shingles(words, SHINGLE) if len(words) >= SHINGLE else words[:0]
+    whole = text[: len(wide)] == text[SHINGLE - 1 :][: len(wide)]
+    count = np.bincount(text, minlength=len(texts))
+    begin = np.cumsum(count) - count
+    short = np.flatnonzero((count > 0) & (count < SHINGLE))
+    own = [shingles(words[begin[i] : begin[i] + count[i]], SHINGLE) for i in short]
+    number, found = np.concatenate([text[: len(wide)][whole], short]), np.concatenate([wide[whole], *own])
+    order = np.lexsort((found, number))
+    number, found = number[order], found[order]
+    first = np.flatnonzero(np.r_[True, (found[1:] != found[:-1]) | (number[1:] != number[:-1])][: len(found)])
+    return number[first], found[first], np.diff(np.r_[first, len(found)])
 
 
 def bucket_of(shingle: np.ndarray) -> np.ndarray:
@@ -66,8 +78,8 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for text in batch.column("text"):
-                np.add.at(total, bucket_of(counted(text.as_py())[0]), 1)
+            for _, texts in runs(batch.column("text").to_pylist()):
+                total += np.bincount(bucket_of(batch_counted(texts)[1]), minlength=BUCKETS)
         yield blocks_of(total.reshape(-1, BLOCK))
 
     blocks = added(docs.select("text").mapInArrow(count, "block int, values binary"))
@@ -75,15 +87,19 @@ def frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def rarity(frequency: np.ndarray, n: int) -> np.ndarray:
-    """Damped inverse document frequency per bucket: 1 for a shingle in every
-    document, 1.25 for one in a thousandth or less."""
+    """Level of the damped inverse document frequency per bucket: the lowest
+    for a shingle in every document, the highest for one in a thousandth or less."""
     share = np.maximum(frequency, 1) / max(n, 1)
-    return (1 + 0.25 * np.clip(-np.log(np.minimum(share, 1)) / math.log(1000), 0, 1)).astype(np.float32)
+    return np.rint(7 * np.clip(-np.log(np.minimum(share, 1)) / math.log(1000), 0, 1)).astype(np.uint8)
+
 
+def weights(shingle: np.ndarray, tf: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    return (1 + np.log(tf)) * LEVELS[levels[bucket_of(shingle)]]
 
-def weighted(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    shingle, tf = counted(text)
-    return shingle, (1 + np.log(tf)) * idf[bucket_of(shingle)]
+
+def weighted(text: str, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, shingle, tf = batch_counted([text])
+    return shingle, weights(shingle, tf, levels)
 
 
 def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -94,83 +110,137 @@ def jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 @lru_cache(maxsize=1)
-def _variates() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _variates() -> tuple[np.ndarray, ...]:
+    """The variates r, log c and beta, and for weights of each level the
+    quantised weight and the value that the samples minimise."""
     g = np.random.Generator(np.random.PCG64(31))
     r = g.gamma(2, 1, (VARIATES, SAMPLES)).astype(np.float32)
-    return r, np.log(g.gamma(2, 1, (VARIATES, SAMPLES))).astype(np.float32), g.random((VARIATES, SAMPLES), np.float32)
+    log_c, beta = np.log(g.gamma(2, 1, (VARIATES, SAMPLES))).astype(np.float32), g.random((VARIATES, SAMPLES), np.float32)
+    step = [np.floor(np.float32(math.log(w)) / r + beta) for w in LEVELS]
+    value = np.concatenate([log_c - r * (t - beta + 1) for t in step])
+    return r, log_c, beta, np.concatenate(step).astype(np.int16), value
 
 
-def samples(shingle: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """The consistent weighted samples of a set; a sample names the shingle and
-    the quantised weight. An empty set has the samples of an empty set."""
-    r, log_c, beta = _variates()
+def samples(shingle: np.ndarray, tf: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The consistent weighted samples of a set, ascending by hash; a sample
+    names the shingle and the quantised weight. An empty set has the samples of
+    an empty set."""
+    r, log_c, beta, steps, values = _variates()
     best, chosen = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64)
     column = np.arange(SAMPLES)
-    log_w = np.log(weight).astype(np.float32)[:, None]
-    for a in range(0, len(shingle), 512):  # sorted by hash: equal variates fall to the smaller one
-        row = (shingle[a : a + 512] >> np.uint64(40)).astype(np.int64) & (VARIATES - 1)
-        rr, bb = r[row], beta[row]
-        t = np.floor(log_w[a : a + 512] / rr + bb)
-        value = log_c[row] - rr * (t - bb + 1)
-        first = value.argmin(axis=0)
+    row = (shingle >> np.uint64(40)).astype(np.int64) & (VARIATES - 1)
+    often = np.flatnonzero(tf > 1)
+    for a in range(0, len(shingle), 1024):
+        at = row[a : a + 1024] + level[a : a + 1024].astype(np.int64) * VARIATES
+        value = values[at]
+        here = often[(often >= a) & (often < a + 1024)]
+        if len(here):
+            rr, bb = r[row[here]], beta[row[here]]
+            log_w = np.log((1 + np.log(tf[here])) * LEVELS[level[here]]).astype(np.float32)[:, None]
+            t_often = np.floor(log_w / rr + bb)
+            value[here - a] = log_c[row[here]] - rr * (t_often - bb + 1)
+        first = value.argmin(axis=0)  # equal variates fall to the smaller hash
         low = value[first, column]
+        t = steps[at[first], column].astype(np.int64)
+        if len(here):
+            place = np.full(len(at), -1)
+            place[here - a] = np.arange(len(here))
+            mine = place[first]
+            t = np.where(mine >= 0, t_often[np.maximum(mine, 0), column].astype(np.int64), t)
+        ids = mix(shingle[a : a + 1024][first] + t.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         better = low < best
-        ids = mix(shingle[a : a + 512][first] + t[first, column].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         best, chosen = np.where(better, low, best), np.where(better, ids, chosen)
     return chosen
 
 
-def sketch(text: str, idf: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """One byte per sample, and the key of each band."""
-    s = samples(*weighted(text, idf))
-    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(s: np.ndarray) -> np.ndarray:
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(s), BANDS))
     for k in range(ROWS):
-        keys = mix(keys * np.uint64(0xA24BAED4963EE407) + s.reshape(BANDS, ROWS)[:, k])
-    return (s & np.uint64(255)).astype(np.uint8).tobytes(), keys.view(np.int64)
+        keys = mix(keys * np.uint64(0xA24BAED4963EE407) + s.reshape(len(s), BANDS, ROWS)[:, :, k])
+    return keys.view(np.int64)
+
+
+def _digest(text: str) -> bytes:
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
 
 
-def sketched(docs: DataFrame, idf) -> DataFrame:
-    """doc_id, node (MD5 of the text), sk, keys."""
+def sketched(docs: DataFrame, levels) -> DataFrame:
+    """doc_id, node (MD5 of the text), sk (one byte a sample), keys (one a band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node, sk, keys = [], [], []
-            for text in batch.column("text"):
-                text = text.as_py()
-                node.append(hashlib.md5(text.encode("utf-8", "surrogatepass")).digest())
-                one, key = sketch(text, idf.value)
-                sk.append(one)
-                keys.append(key)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(keys) + 1, BANDS), pa.int32()), pa.array(np.concatenate(keys) if keys else [], pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(sk, pa.binary()), lists], ["doc_id", "node", "sk", "keys"])
+            every = batch.column("text").to_pylist()
+            s = np.zeros((len(every), SAMPLES), np.uint64)
+            for a, texts in runs(every):
+                number, shingle, tf = batch_counted(texts)
+                level = levels.value[bucket_of(shingle)]
+                ends = np.searchsorted(number, np.arange(len(texts) + 1))
+                for i, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    s[a + i] = samples(shingle[low:high], tf[low:high], level[low:high])
+            keys = band_keys(s)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(every) + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+            sk = [x.tobytes() for x in (s & np.uint64(255)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_digest(t) for t in every], pa.binary()), pa.array(sk, pa.binary()), lists], ["doc_id", "node", "sk", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, sk binary, keys array<long>")
 
 
-def forest(sk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Edges (i, j, estimate) of a maximum spanning forest over the pairs whose
-    samples agree plausibly, and the best-connected member of each tree."""
-    n = len(sk)
-    like = np.zeros((n, n), np.float32)
-    for a in range(0, n, 64):
-        like[a : a + 64] = (sk[a : a + 64, None, :] == sk[None, :, :]).mean(axis=2)
-    np.fill_diagonal(like, 0)
-    degree = np.where(like >= PLAUSIBLE, like, 0).sum(axis=1)
-    near, to = np.zeros(n, np.float32), np.full(n, -1)
-    left, heads, edges = np.ones(n, bool), [], []
-    while left.any():
-        reach = np.where(left, near, -1)
-        i = int(reach.argmax())
-        if reach[i] >= PLAUSIBLE:
-            edges.append((to[i], i, near[i]))
-        else:  # the next tree starts with its best-connected member
-            i = int(np.where(left, degree, -1).argmax())
-            heads.append(i)
-        left[i] = False
-        closer = left & (like[i] > near)
-        near[closer], to[closer] = like[i][closer], i
-    i, j, e = zip(*edges, strict=True) if edges else ((), (), ())
-    return np.array(i, int), np.array(j, int), np.array(e, np.float32), np.array(heads, int)
+# ---- blocks
+
+
+def agreement(sk: np.ndarray) -> np.ndarray:
+    """Share of equal samples of each two rows."""
+    like = np.empty((len(sk), len(sk)), np.float32)
+    for a in range(0, len(sk), 64):
+        like[a : a + 64] = (sk[a : a + 64, None, :] == sk[None, :, :]).mean(axis=2, dtype=np.float32)
+    return like
+
+
+def similarities(texts: list[str], levels: np.ndarray):
+    """A function (i, [j]) that gives the exact weighted Jaccard similarities
+    of text i to some others."""
+    number, shingle, tf = batch_counted(texts)
+    w = weights(shingle, tf, levels)
+    total = np.bincount(number, w, minlength=len(texts))
+    names, column, count = np.unique(shingle, return_inverse=True, return_counts=True)
+    shared = count[column.ravel()] > 1  # what one text alone holds is in no intersection
+    place = np.cumsum(count > 1) - 1
+    width = int((count > 1).sum())
+    if len(texts) * width <= DENSE:
+        table = np.zeros((len(texts), width))
+        table[number[shared], place[column.ravel()[shared]]] = w[shared]
+
+        def common(i: int, others: np.ndarray) -> np.ndarray:
+            return np.minimum(table[i], table[others]).sum(axis=1)
+    else:  # very long texts
+        ends = np.searchsorted(number, np.arange(len(texts) + 1))
+        sets = [(shingle[a:b], w[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+        def common(i: int, others: np.ndarray) -> np.ndarray:
+            out = []
+            for j in others:
+                _, x, y = np.intersect1d(sets[i][0], sets[j][0], assume_unique=True, return_indices=True)
+                out.append(np.minimum(sets[i][1][x], sets[j][1][y]).sum())
+            return np.array(out)
+
+    def of(i: int, others: np.ndarray) -> np.ndarray:
+        both = common(i, others)
+        united = total[i] + total[others] - both
+        return np.where(united > 0, both / np.maximum(united, 1e-300), 1.0)
+
+    return of
+
+
+def families(plausible: np.ndarray, similarity, group: np.ndarray) -> np.ndarray:
+    """The class of each member after all plausible pairs of different classes
+    are verified; ``group`` gives the classes at the start."""
+    group = group.copy()
+    for i in np.argsort(-plausible.sum(axis=1), kind="stable"):  # the best connected first
+        others = np.flatnonzero(plausible[i] & (group != group[i]))
+        if len(others):
+            for j in others[similarity(i, others) >= THRESHOLD - 1e-12]:
+                group[group == group[j]] = group[i]
+    return group
 
 
 def _parts(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -194,118 +264,84 @@ def _parts(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held)
 
 
-def compared(members: DataFrame) -> DataFrame:
-    """Spanning edges (a, b, estimate) of each part of each bucket, and a row
-    with the key for each tree's head (b null), from (key, part, node, sk)."""
+def _sketches(group: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(group.column("sk").to_pylist()), np.uint8).reshape(-1, SAMPLES)
+
+
+def _links(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, kinds, strict=True)], ["key", "a", "b"])
+
+
+def linked(members: DataFrame, levels) -> DataFrame:
+    """From (key, part, node, sk, text): for each member of a block the link
+    (key, a, b) from its class there to it, a being the class's smallest node.
+    A class's own smallest node comes as (key, a, a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _parts(batches, 2):
-            node = group.column("node").to_pylist()
-            i, j, e, heads = forest(np.frombuffer(b"".join(group.column("sk").to_pylist()), np.uint8).reshape(len(node), SAMPLES))
+            node = group.column("node").to_pylist()  # ascending
+            plausible = agreement(_sketches(group)) >= PLAUSIBLE
+            np.fill_diagonal(plausible, False)
+            found = np.arange(len(node))
+            if plausible.any():
+                found = families(plausible, similarities(group.column("text").to_pylist(), levels.value), found)
+            low = {c: i for i, c in reversed(list(enumerate(found.tolist())))}
             key = group.column("key")[0].as_py()
-            out = [(key, node[a], node[b], float(x)) if node[a] < node[b] else (key, node[b], node[a], float(x)) for a, b, x in zip(i, j, e, strict=True)] + [(key, node[h], None, None) for h in heads]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.float64()), strict=True)], ["key", "a", "b", "estimate"])
-
-    dealt = members.select("key", "part", "node", "sk").repartition("key", "part").sortWithinPartitions("key", "part", "node")
-    return dealt.mapInArrow(run, "key long, a binary, b binary, estimate double")
-
+            yield _links([(key, node[low[c]], node[i]) for i, c in enumerate(found.tolist())])
 
-def bucketed(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, key), and the buckets (key, n, low, high) of several nodes, from
-    (node, sk, keys)."""
-    rows = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("print")).where("n > 1")
-    return rows, cut(buckets.dropDuplicates(["n", "low", "high", "print"]))  # members that share several bands meet once
+    dealt = members.select("key", "part", "node", "sk", "text").repartition("key", "part").sortWithinPartitions("key", "part", "node")
+    return dealt.mapInArrow(run, "key long, a binary, b binary")
 
 
-def candidates(nodes: DataFrame, rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Plausible edges (a, b, estimate) between different texts: spanning
-    forests, which ``crossing`` completes."""
-    pairs = buckets.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    sk = nodes.select("node", "sk")
-    pairs = pairs.join(sk.select(F.col("node").alias("a"), F.col("sk").alias("sk_a")), "a").join(sk.select(F.col("node").alias("b"), F.col("sk").alias("sk_b")), "b").select("a", "b", _agreement().alias("estimate"))
-    pairs = pairs.where(F.col("estimate") >= PLAUSIBLE)
+def crossed(tagged: DataFrame, members: DataFrame, levels) -> DataFrame:
+    """Links (a, b) between classes that share a bucket: from (key, node, root)
+    of buckets with several classes, and (node, sk, text).
 
-    wide = buckets.where("n > 2").select("key", "n")
-    members, edges = rows.join(wide, "key").join(sk, "node"), pairs
-    while True:
-        level = cut(compared(members.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / PART)).cast("int"))))
-        edges = edges.unionByName(level.where("b is not null").select("a", "b", "estimate"))
-        large = wide.where(F.col("n") > PART).withColumnRenamed("n", "was")
-        if large.isEmpty():
-            break
-        # parts of one bucket meet again through their heads, unless hardly any
-        # members are alike: then what they share is a passage, and another
-        # level would not be smaller; ``crossing`` compares them whole
-        heads = level.where("b is null").select("key", F.col("a").alias("node")).join(large, "key")
-        wide = cut(heads.groupBy("key").agg(F.count("*").alias("n"), F.max("was").alias("was")).where("n > 1 and n <= 0.9 * was").select("key", "n"))
-        members = heads.select("key", "node").join(wide, "key").join(sk, "node")
-    return edges.groupBy("a", "b").agg(F.max("estimate").alias("estimate"))
-
-
-def crossing(rows: DataFrame, buckets: DataFrame, nodes: DataFrame, labels: DataFrame, done: DataFrame, every: bool) -> DataFrame:
-    """Plausible edges (a, b, estimate, root_a, root_b) between members of one
-    bucket that lie in different components (``labels``), without the edges
-    ``done``: every one, or of each block the strongest of each two components.
-
-    A bucket's members are dealt to parts, small components together and large
-    ones apart, and each two parts, but those of one component, make a block."""
-    tagged = cut(rows.join(buckets.where("n > 2").select("key"), "key").join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    apart = tagged.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("key")
-    tagged = tagged.join(apart, "key")
+    A bucket's members are dealt to parts, small classes together and large
+    ones apart, and each two parts, but those of one class, make a block. First
+    only the samples meet; the texts go where a pair agrees plausibly."""
     sizes = tagged.groupBy("key", "root").agg(F.count("*").alias("size"))
-    small = F.lit(b"")
-    sizes = sizes.withColumn("g", F.when(F.col("size") < PART, small).otherwise(F.col("root")))
-    # how many parts each group of a bucket has: a large component is a group, all small ones are another
+    none = F.lit(b"")
+    sizes = sizes.withColumn("g", F.when(F.col("size") < PART, none).otherwise(F.col("root")))
     groups = cut(sizes.groupBy("key", "g").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts")))
-    in_group = sizes.where("size >= %d" % PART).select("key", "root", "g")
-    members = tagged.join(in_group, ["key", "root"], "left").withColumn("g", F.coalesce("g", small)).join(groups, ["key", "g"])
-    dealt = F.when(F.col("g") == small, F.xxhash64("root", "key")).otherwise(F.xxhash64("node", "key"))
-    members = members.withColumn("i", F.pmod(dealt, "parts").cast("int")).join(nodes.select("node", "sk"), "node").select("key", "g", "i", "node", "sk", "root")
+    own = sizes.where(F.col("size") >= PART).select("key", "root", "g")
+    placed = tagged.join(own, ["key", "root"], "left").withColumn("g", F.coalesce("g", none)).join(groups, ["key", "g"])
+    dealt = F.when(F.col("g") == none, F.xxhash64("root", "key")).otherwise(F.xxhash64("node", "key"))
+    placed = placed.withColumn("i", F.pmod(dealt, "parts").cast("int")).select("key", "g", "i", "node", "root")
     other = groups.select("key", F.col("g").alias("h"), F.col("parts").alias("of_h"))
-    both = groups.join(other, "key").where((F.col("g") < F.col("h")) | ((F.col("g") == F.col("h")) & (F.col("g") == small)))
+    both = groups.join(other, "key").where((F.col("g") < F.col("h")) | ((F.col("g") == F.col("h")) & (F.col("g") == none)))
     blocks = both.select("key", "g", "h", "of_h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("i")).select("key", "g", "h", "i", F.explode(F.sequence(F.lit(0), F.col("of_h") - 1)).alias("j"))
-    blocks = blocks.where("g < h or i <= j")
-    left = blocks.join(members, ["key", "g", "i"]).withColumn("side", F.lit(0))
-    right = blocks.join(members.withColumnsRenamed({"g": "h", "i": "j"}), ["key", "h", "j"]).where("g < h or i < j").withColumn("side", F.lit(1))
-    block = ["key", "g", "h", "i", "j"]
-    met = left.select(*block, "side", "node", "sk", "root").unionByName(right.select(*block, "side", "node", "sk", "root"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _parts(batches, len(block)):
-            node, side = group.column("node").to_pylist(), group.column("side").to_numpy()
+    blocks = cut(blocks.where("g < h or i <= j").withColumn("block", F.xxhash64("key", "g", "h", "i", "j")))
+    sides = blocks.select("key", "g", "i", "block", F.lit(0).alias("side")).unionByName(blocks.where("g < h or i < j").select("key", F.col("h").alias("g"), F.col("j").alias("i"), "block", F.lit(1).alias("side")))
+    met = sides.join(placed, ["key", "g", "i"]).select("block", "side", "node", "root")
+
+    def plausible(group: pa.Table) -> np.ndarray:
+        side, root = group.column("side").to_numpy(), np.array(group.column("root").to_pylist(), dtype=object)
+        ok = (agreement(_sketches(group)) >= PLAUSIBLE) & (root[:, None] != root[None, :])
+        return ok & (side[:, None] != side[None, :]) if side.any() else ok
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _parts(batches, 1):
+            keep = plausible(group).any(axis=1)
+            yield from group.drop_columns(["sk"]).filter(pa.array(keep)).to_batches()
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _parts(batches, 1):
             root = group.column("root").to_pylist()
-            number = {r: x for x, r in enumerate(set(root))}
-            of = np.array([number[r] for r in root])
-            sk = np.frombuffer(b"".join(group.column("sk").to_pylist()), np.uint8).reshape(len(node), SAMPLES)
-            ones = np.flatnonzero(side == 0)
-            others = np.flatnonzero(side == 1) if side.any() else ones
-            itself = not side.any()
-            for at in range(0, len(ones), 64):
-                here = ones[at : at + 64]
-                like = (sk[here, None, :] == sk[None, others, :]).mean(axis=2, dtype=np.float32)
-                ok = (like >= PLAUSIBLE) & (of[here][:, None] != of[others][None, :])
-                if itself:
-                    ok &= here[:, None] < others[None, :]
-                i, j = np.nonzero(ok)
-                out = sorted(((float(like[x, y]), int(here[x]), int(others[y])) for x, y in zip(i, j, strict=True)), reverse=True)
-                pairs = [(node[x], node[y], e, root[x], root[y]) if node[x] < node[y] else (node[y], node[x], e, root[y], root[x]) for e, x, y in out]
-                if pairs:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*pairs, strict=True), (pa.binary(), pa.binary(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["a", "b", "estimate", "root_a", "root_b"])
-
-    found = met.repartition(*block).sortWithinPartitions(*block, "node").mapInArrow(run, "a binary, b binary, estimate double, root_a binary, root_b binary")
-    wide = found.join(done.select("a", "b"), ["a", "b"], "left_anti")
-    if every:
-        return wide.dropDuplicates(["a", "b"])
-    two = [F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")]
-    return wide.groupBy(*two).agg(F.max(F.struct("estimate", "a", "b", "root_a", "root_b")).alias("e")).select("e.*")
-
-
-def _agreement() -> Column:
-    """Share of equal bytes of sk_a and sk_b."""
-    a, b = F.hex("sk_a"), F.hex("sk_b")
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(SAMPLES - 1)), F.lit(0), lambda s, i: s + F.when(F.substring(a, 2 * i + 1, F.lit(2)) == F.substring(b, 2 * i + 1, F.lit(2)), 1).otherwise(0))
-    return same / F.lit(float(SAMPLES))
+            number = {r: i for i, r in enumerate(sorted(set(root)))}
+            start = np.array([number[r] for r in root])
+            found = families(plausible(group), similarities(group.column("text").to_pylist(), levels.value), start)
+            ends = {(int(c), r) for c, r in zip(found, root, strict=True)}
+            low: dict[int, bytes] = {}
+            for c, r in sorted(ends, key=lambda e: e[1]):
+                low.setdefault(c, r)
+            yield _links([(0, low[c], r) for c, r in sorted(ends) if low[c] != r])
+
+    by_block = lambda rows: rows.repartition("block").sortWithinPartitions("block", "side", "node")
+    close = by_block(met.join(members.select("node", "sk"), "node").select("block", "side", "node", "root", "sk")).mapInArrow(near, "block long, side int, node binary, root binary")
+    full = cut(close).join(members, "node").select("block", "side", "node", "root", "sk", "text")
+    return by_block(full).mapInArrow(verify, "key long, a binary, b binary").select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -317,66 +353,12 @@ def components(edges: DataFrame) -> DataFrame:
         seen = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("low"))
         hooked = labels.join(seen, labels["node"] == seen["a"]).select("node", F.col("root").alias("was"), F.least("root", "low").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        nxt = cut(hooked.join(up, "root").select("node", F.least("root", "above").alias("root"), "was"))
+        nxt = fresh(hooked.join(up, "root").select("node", F.least("root", "above").alias("root"), "was"))
         labels = nxt.select("node", "root")
         if nxt.where("root <> was").isEmpty():
             return labels
 
 
-def verified(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold. Of pairs that name
-    their components (root_a, root_b), those that a task's links before them
-    connect are left out."""
-    names = ["a", "b", *(c for c in ("root_a", "root_b") if c in pairs.columns)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = lru_cache(maxsize=64)(lambda text: weighted(text, idf.value))
-        above: dict[bytes, bytes] = {}
-
-        def top(x: bytes) -> bytes:
-            while x in above:
-                x = above[x]
-            return x
-
-        for batch in batches:
-            good = []
-            roots = zip(batch.column("root_a").to_pylist(), batch.column("root_b").to_pylist(), strict=True) if len(names) > 2 else [(None, None)] * batch.num_rows
-            for x, y, (r, s) in zip(batch.column("text_a"), batch.column("text_b"), roots, strict=True):
-                r, s = (top(r), top(s)) if r else (r, s)
-                good.append(not (r and r == s) and jaccard(kept(x.as_py()), kept(y.as_py())) >= THRESHOLD)
-                if r and good[-1]:
-                    above[r] = s
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
-    other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select(*names).join(one, "a").join(other, "b").select(*names, "text_a", "text_b").mapInArrow(run, "a binary, b binary")
-
-
-def texts_of(docs: DataFrame, lows: DataFrame, edges: DataFrame) -> DataFrame:
-    """node, text of the nodes of the edges, read from the row with a node's
-    smallest id (``lows``), so copies don't meet in one task."""
-    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    one_each = ends.join(lows, "node").select("node", "low")
-    rows = docs.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
-    held = rows.join(one_each, (rows["node"] == one_each["node"]) & rows["doc_id"].eqNullSafe(one_each["low"]), "left_semi")
-    return held.select("node", "text").dropDuplicates(["node"])
-
-
-def linked(edges: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """The verified ones of the edges (a, b). First every node checks its
-    strongest edge; then all other edges are checked but those between nodes
-    that are already linked to one neighbour."""
-    sides = edges.select(F.explode(F.array("a", "b")).alias("node"), F.struct("estimate", "a", "b").alias("e"))
-    chosen = cut(sides.groupBy("node").agg(F.max("e").alias("e")).select("e.a", "e.b").distinct())
-    good = cut(verified(chosen, texts, idf))
-    near = good.select(F.explode(F.array("a", "b")).alias("node"), F.least("a", "b").alias("low")).groupBy("node").agg(F.min("low").alias("low"))
-    rest = edges.select("a", "b").join(chosen, ["a", "b"], "left_anti")
-    rest = rest.join(near.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b", "left")
-    rest = rest.where(~F.coalesce(F.col("low_a") == F.col("low_b"), F.lit(False))).select("a", "b")
-    return good.unionByName(verified(rest, texts, idf))
-
-
 def fresh(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut and without the estimate of its size: joins
     multiply estimates, so over several rounds these would grow to numbers
@@ -385,22 +367,40 @@ def fresh(df: DataFrame) -> DataFrame:
     return DataFrame(spark._jsparkSession.internalCreateDataFrame(j.queryExecution().toRdd(), j.schema(), False), spark)
 
 
-def connected(docs: DataFrame, lows: DataFrame, nodes: DataFrame, idf) -> DataFrame:
-    """node, root over the verified links of the forests, and then over those
-    between what these leave apart."""
-    rows, buckets = bucketed(nodes)
-    edges = cut(candidates(nodes, rows, buckets))
-    good = fresh(linked(edges, cut(texts_of(docs, lows, edges)), idf))
-    done, labels = edges.select("a", "b"), fresh(components(good))
-    for every in (False, True):
-        more = fresh(crossing(rows, buckets, nodes, labels, done, every))
-        if more.isEmpty():
-            break
-        new = fresh(verified(more, cut(texts_of(docs, lows, more)), idf))
-        done = done.unionByName(more.select("a", "b"))
-        if not new.isEmpty():
-            good = good.unionByName(new)
-            labels = fresh(components(good))
+def connected(rows: DataFrame, nodes: DataFrame, levels) -> DataFrame:
+    """node, root over all verified links, from the documents and
+    (node, low, n, sk, keys); nodes without a link may be missing."""
+    exploded = nodes.select("node", F.explode("keys").alias("key"))
+    buckets = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("print")).where("n > 1")
+    # members that share several bands meet once
+    buckets = cut(buckets.dropDuplicates(["n", "low", "high", "print"]).select("key", "n"))
+    in_bucket = exploded.join(small(buckets), "key").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("b"))  # at most one a band
+    needed = cut(in_bucket.join(nodes.select("node", "low", "sk"), "node"))
+    texts = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
+    chosen = small(needed.select("node", "low"))
+    # the row with the smallest id, so that copies don't meet in one task
+    held = texts.join(chosen.withColumnRenamed("node", "want"), (F.col("node") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "text").dropDuplicates(["node"])
+    members = cut(needed.join(held, "node").select("node", "sk", "text", "b"))
+    in_buckets = members.select("node", "sk", "text", F.explode("b").alias("b")).select("node", "sk", "text", "b.key", "b.n")
+    level = cut(linked(in_buckets.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / PART)).cast("int")), levels))
+    edges, large = level.where("a <> b").select("a", "b"), buckets.where(F.col("n") > PART)
+    again = large
+    while not again.isEmpty():
+        # one member of each class in a block meets those of the bucket's other blocks, as long as they halve
+        heads = level.where("a = b").select("key", F.col("a").alias("node")).join(again.withColumnRenamed("n", "was"), "key")
+        fewer = cut(heads.groupBy("key").agg(F.count("*").alias("n"), F.max("was").alias("was")).where("n > 1 and n <= was / 2").select("key", "n"))
+        meet = heads.select("key", "node").join(fewer, "key").join(members.select("node", "sk", "text"), "node")
+        level = cut(linked(meet.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / PART)).cast("int")), levels))
+        edges, again = edges.unionByName(level.where("a <> b").select("a", "b")), fewer.where(F.col("n") > PART)
+    labels = components(edges)
+    if not large.isEmpty():
+        tagged = members.select("node", F.explode("b.key").alias("key")).join(large.select("key"), "key").join(labels, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        apart = tagged.groupBy("key").agg(F.min("root").alias("l"), F.max("root").alias("h")).where("l <> h").select("key")
+        tagged = fresh(tagged.join(apart, "key"))
+        if not tagged.isEmpty():
+            more = cut(crossed(tagged, members.select("node", "sk", "text"), levels))
+            if not more.isEmpty():
+                labels = components(edges.unionByName(more))
     return labels
 
 
@@ -410,28 +410,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     the rows of one text with that id, so for one row if ids are unique.
 
     Equal texts are always of one class, whatever their length; so are all
-    empty and null texts. A text of fewer than five words is one shingle. Rows
-    with a null doc_id take part, and have a null class_id where the class
-    holds no id. An empty table gives no rows.
+    empty and null texts. A text of fewer than five words is one shingle, and a
+    very long one is compared whole. Rows with a null doc_id take part, and
+    have a null class_id where the class holds no id; repeated rows are of one
+    class, and further columns, whatever their names, play no part. An empty
+    table gives no rows.
     """
     rows = documents(docs)
-    idf = docs.sparkSession.sparkContext.broadcast(rarity(frequencies(rows), rows.count()))
-    signed = cut(sketched(rows, idf))
-    nodes = signed.select("node", "sk", "keys").dropDuplicates(["node"])
+    levels = docs.sparkSession.sparkContext.broadcast(rarity(frequencies(rows), rows.count()))
+    signed = cut(sketched(rows, levels))
     # copies of a text are one row, with their smallest id, until the end
-    lows = cut(signed.groupBy("node").agg(F.min("doc_id").alias("low")))
-    labels = connected(rows, lows, nodes, idf)
-    groups = lows.join(labels, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    classes = groups.groupBy("root").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("head"))
-    named = groups.join(classes, "root").select("node", "class_id", (F.col("node") == F.col("head.node")).alias("head"))
+    nodes = cut(signed.groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"), F.first("sk").alias("sk"), F.first("keys").alias("keys")))
+    labels = connected(rows, nodes, levels)
+    groups = cut(nodes.select("node", "low", "n").join(labels, "node", "left").select("node", "low", "n", F.coalesce("root", "node").alias("root")))
+    classes = groups.groupBy("root").agg(F.min("low").alias("class_id"), F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("head"), F.count("*").alias("nodes"))
+    several = groups.groupBy("root").agg(F.count("*").alias("n"))
+    named = joined_to_key(groups.select("node", "root"), classes.select("root", "class_id", "head"), "root", several).select("node", "class_id", (F.col("node") == F.col("head.node")).alias("head"))
+    every = joined_to_key(signed.select("doc_id", "node"), named, "node", groups.select("node", "n"))
     first = F.col("head") & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return signed.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id", first.alias("first"))
+    return every.select("doc_id", "node", "class_id", first.alias("first"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (all columns) that stay: one of each class."""
-    stay = near_duplicates(docs).where("first").select(F.col("doc_id").alias("_id"), F.col("node").alias("_node")).distinct()
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumns({"_id": F.col("doc_id"), "_node": F.unhex(F.md5(text))})
-    kept = marked.join(stay, marked["_id"].eqNullSafe(stay["_id"]) & (marked["_node"] == stay["_node"]), "left_semi")
-    return kept.dropDuplicates(["_id", "_node"]).drop("_id", "_node")
+    """The rows of ``docs`` that stay, with all columns: one of each class. A
+    row that repeats another in id and text goes, too. Nulls, short and long
+    texts, empty tables: as in ``near_duplicates``."""
+    found = cut(near_duplicates(docs).groupBy("doc_id", "node").agg(F.max("first").alias("first"), F.count("*").alias("n")))
+    own, of = unused(docs, "own_id"), unused(docs, "text_hash")
+    marked = docs.withColumns({own: F.col("doc_id").cast("long"), of: F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))})
+
+    def among(which: DataFrame, how: str, rows: DataFrame) -> DataFrame:
+        which = small(which.select(F.col("doc_id").alias("gone_id"), F.col("node").alias("gone_node")))
+        return rows.join(which, F.col(own).eqNullSafe(F.col("gone_id")) & (F.col(of) == F.col("gone_node")), how)
+
+    kept = among(found.where(~F.col("first")), "left_anti", marked)
+    again = found.where("first and n > 1")
+    if not again.isEmpty():
+        kept = among(again, "left_anti", kept).unionByName(among(again, "left_semi", kept).dropDuplicates([own, of]))
+    return kept.drop(own, of)

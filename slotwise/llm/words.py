@@ -8,6 +8,8 @@ same in every task and session.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 SPACE = np.zeros(256, bool)
@@ -60,6 +62,37 @@ def word_hashes(text: str, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.n
     return mix((total[end] - total[start]) * _power(_INVERSE, len(data) + 1)[start]), start, end
 
 
+def batch_hashes(texts: list[str], breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and text number of each word of several texts, in order; the same
+    hashes as those of ``word_hashes``."""
+    lower = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b"\n".join(lower), np.uint8)
+    inside = np.empty(len(data) + 2, np.int8)
+    inside[0] = inside[-1] = 0
+    inside[1:-1] = ~breaks[data]
+    edge = np.flatnonzero(np.diff(inside))
+    start, end = edge[::2], edge[1::2]
+    if not len(start):
+        return np.empty(0, np.uint64), np.empty(0, int)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTES[data] * _power(_BASE, len(data)), out=total[1:])
+    begins = np.cumsum([0, *(len(x) + 1 for x in lower[:-1])])
+    return mix((total[end] - total[start]) * _power(_INVERSE, len(data) + 1)[start]), np.searchsorted(begins, start, "right") - 1
+
+
+def runs(texts: list[str], size: int = 2**20) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``size`` characters, with the first one's number."""
+    first, held, n = 0, [], 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        n += len(t)
+        if n >= size:
+            yield first, held
+            first, held, n = i + 1, [], 0
+    if held:
+        yield first, held
+
+
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` words; of all words, if there are fewer."""
     n = len(hashes)
