@@ -1,18 +1,23 @@
 """Secret scan with a recursive decoding worklist.
 
 Every text is scanned by the base patterns. Then encoded stretches are
-unwrapped: percent escapes, Unicode escapes, base64, and compressed bytes
-inside base64. Each decoded layer is put on a worklist, scanned again and
-unwrapped again until nothing new appears; a layer whose text has been seen is
-not entered again, so cycles end. Each layer keeps, for every character, the
-stretch of the original text that it came from, and a finding is reported with
-the original stretch.
+unwrapped: percent and Unicode escapes, base64 (also wrapped into lines, with a
+path or other base64 characters before it, or of UTF-16), and compressed bytes
+inside base64 or inside compressed bytes. Each decoded layer is put on a
+worklist, scanned again and unwrapped again until nothing new appears; a layer
+that has been seen at its place is not entered again, so cycles end. Each layer
+keeps, for every character, the stretch of the original text that it came from,
+and a finding is reported with the original stretch.
+
+Escapes that decode to escapes are unwrapped to their fixpoint in one pass over
+a stack of characters, in linear time; a base64 run is decoded once in each of
+its four alignments, and every readable stretch of the bytes is a layer. The
+patterns are of ASCII characters, so other bytes only part stretches.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
@@ -34,10 +39,20 @@ ASSIGNED = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x
 ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16,}")  # whole runs: a shorter run holds no longer one
 HEX_RUN = re.compile(r"[0-9a-f]{24,}")
 
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9_-]{16,}={0,2}")
-EXPANSION = 64 * 2**20  # bytes that one compressed layer may expand to; a larger one is reported as opaque
+ESCAPE = re.compile(r"[%\\]")
+HEX_DIGITS = frozenset("0123456789abcdefABCDEF")
+NESTED = re.compile(r"%(?:25)+(?=[0-9A-Fa-f]{2})")  # a percent sign, escaped many times over
+PLAIN = re.compile(r"%([0-9A-Fa-f]{2})")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]{4,})*")  # the shortest finding has 12 characters
+ONE_ALPHABET = bytes.maketrans(b"-_", b"+/")
+READABLE = re.compile(rb"[\t\n\r\x20-\x7e]{12,}")
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}")  # UTF-16, in either order of bytes
+#: First bytes of compressed data, and how many of them tell it apart anywhere.
+PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]1AY&SY|\xfd7zXZ\x00|x[\x01\x5e\x9c\xda]")
+PIECE = 4 * 2**20  # bytes of expanded data that are scanned together
+OVERLAP = 2**18  # bytes that a piece shares with the one before
+MOST = 2**31  # bytes that the layers of one text may expand to; what is beyond is reported as opaque
+BYTE = 0x10FF00  # a byte over 127 from an escape, until those beside it are known
 
 
 def scan(text: str) -> list[Span]:
@@ -58,134 +73,248 @@ class Layer:
     def __init__(self, text: str, start: np.ndarray, end: np.ndarray, new: np.ndarray):
         self.text, self.start, self.end, self.new = text, start, end, new
 
-
-def _replaced(layer: Layer, parts: list[tuple[int, int, str]]) -> Layer:
-    """The layer with stretches (a, b) replaced by decoded text."""
-    text, start, end, new, at = [], [], [], [], 0
-    for a, b, x in parts:
-        text += [layer.text[at:a], x]
-        start += [layer.start[at:a], np.full(len(x), layer.start[a])]
-        end += [layer.end[at:a], np.full(len(x), layer.end[b - 1])]
-        new += [np.zeros(a - at, bool), np.ones(len(x), bool)]
-        at = b
-    text.append(layer.text[at:])
-    start.append(layer.start[at:])
-    end.append(layer.end[at:])
-    new.append(np.zeros(len(layer.text) - at, bool))
-    return Layer("".join(text), np.concatenate(start), np.concatenate(end), np.concatenate(new))
-
-
-def _percent(layer: Layer) -> Layer | None:
-    parts = []
-    for m in PERCENT.finditer(layer.text) if "%" in layer.text else ():
-        raw = bytes.fromhex(m[0].replace("%", ""))
-        x = raw.decode("utf-8", "replace")
-        if raw.isascii():  # each escape maps to itself
-            parts += [(m.start() + 3 * i, m.start() + 3 * i + 3, c) for i, c in enumerate(x)]
-        else:
-            parts.append((m.start(), m.end(), x))
-    return _replaced(layer, parts) if parts else None
-
-
-def _unicode(layer: Layer) -> Layer | None:
-    parts = []
-    for m in UNICODE.finditer(layer.text) if "\\" in layer.text else ():
-        if m[0].startswith(("\\u{", "\\x")):
-            point = int(m[0].strip("\\ux{}"), 16) if m[0][2:].strip("{}") else 0
-            parts.append((m.start(), m.end(), chr(point) if point < 0x110000 else "\ufffd"))
-        else:
-            units = [int(x, 16) for x in m[0].split("\\u")[1:]]
-            x = b"".join(u.to_bytes(2, "little") for u in units).decode("utf-16-le", "replace")
-            if len(x) == len(units):
-                parts += [(m.start() + 6 * i, m.start() + 6 * i + 6, c) for i, c in enumerate(x)]
+    def findings(self) -> list[Span]:
+        """One that lies wholly in characters which decoding left alone belongs
+        to the layer above."""
+        return [(k, int(self.start[a:b].min()), int(self.end[a:b].max())) for k, a, b in scan(self.text) if self.new[a:b].any()]
+
+
+def _escape(tail: list[str]) -> tuple[int, int] | None:
+    """Length and code of the escape that ends a list of characters."""
+    n = len(tail)
+    last = tail[-1]
+    if last == "}":
+        for k in range(5, min(n, 10) + 1):  # \\u{1} to \\u{10FFFF}
+            if tail[-k] == "\\":
+                digits = tail[-k + 3 : -1]
+                if tail[-k + 1] == "u" and tail[-k + 2] == "{" and 1 <= len(digits) <= 6 and HEX_DIGITS.issuperset(digits):
+                    return k, int("".join(digits), 16)
+                return None
+        return None
+    if last not in HEX_DIGITS:
+        return None
+    if n >= 3 and tail[-3] == "%" and tail[-2] in HEX_DIGITS:
+        b = int(tail[-2] + last, 16)
+        return 3, b if b < 128 else BYTE + b
+    if n >= 4 and tail[-4] == "\\" and tail[-3] == "x" and tail[-2] in HEX_DIGITS:
+        return 4, int(tail[-2] + last, 16)
+    if n >= 6 and tail[-6] == "\\" and tail[-5] == "u" and HEX_DIGITS.issuperset(tail[-4:-1]):
+        return 6, int("".join(tail[-4:]), 16)
+    return None
+
+
+def unescaped(layer: Layer) -> Layer | None:
+    """The layer with its percent and Unicode escapes unwrapped until none is
+    left; None if it has none."""
+    text, out, start, end, new = layer.text, [], [], [], []
+    at, n, near, any_new = 0, len(text), 0, False
+    while at < n:
+        if not near:  # nothing open: the stretch up to the next sign stays as it is
+            m = ESCAPE.search(text, at)
+            stop = m.start() if m else n
+            out.extend(text[at:stop])
+            start.extend(range(at, stop))
+            end.extend(range(at, stop))
+            new.extend(bytes(stop - at))
+            at = stop
+            if at == n:
+                break
+        c, here, made = text[at], at, 0
+        if c == "%":
+            if m := NESTED.match(text, at):
+                at, made = m.end() - 1, 1
+            elif m := PLAIN.match(text, at):
+                b, at, made = int(m[1], 16), at + 2, 1
+                c = chr(b if b < 128 else BYTE + b)
+        out.append(c)
+        start.append(here)
+        end.append(at)
+        new.append(made)
+        any_new |= bool(made)
+        at += 1
+        near = 10 if made or c in "%\\" else near - 1
+        while near and (out[-1] in HEX_DIGITS or out[-1] == "}") and (found := _escape(out[-10:])):
+            k, code = found
+            a, b = start[-k], end[-1]
+            del out[-k:], start[-k:], end[-k:], new[-k:]
+            out.append(chr(code) if code < 0x110000 else "\ufffd")
+            start.append(a)
+            end.append(b)
+            new.append(1)
+            any_new, near = True, 10
+    if not any_new:
+        return None
+    first, last = layer.start[np.array(start)], layer.end[np.array(end)]
+    made = np.array(new, bool) | layer.new[np.array(start)]
+    return Layer("".join(c if ord(c) < BYTE and not 0xD800 <= ord(c) < 0xE000 else "\ufffd" for c in out), first, last, made)
+
+
+class Worklist:
+    """The layers behind one text."""
+
+    def __init__(self, text: str):
+        self.found: list[Span] = []
+        self.seen: set = set()
+        self.left = MOST
+        n = len(text)
+        self.work = [Layer(text, np.arange(n), np.arange(1, n + 1), np.zeros(n, bool))]
+
+    def add(self, layer: Layer | None) -> None:
+        """Scan a layer and put it on the list, unless it has been seen there."""
+        if layer is not None and layer.text:
+            key = (hash(layer.text), len(layer.text), int(layer.start[0]), int(layer.end[-1]))
+            if key not in self.seen:
+                self.seen.add(key)
+                self.found += layer.findings()
+                self.work.append(layer)
+
+    def run(self) -> list[Span]:
+        while self.work:
+            layer = self.work.pop()
+            self.add(unescaped(layer) if "%" in layer.text or "\\" in layer.text else None)
+            for m in BASE64.finditer(layer.text):
+                self.base64(layer, m.start(), m[0])
+        return self.found
+
+    def base64(self, layer: Layer, at: int, run: str) -> None:
+        """The readable and the compressed stretches of a run in each alignment."""
+        data, place = run.encode("ascii").translate(ONE_ALPHABET, b" \t\r\n"), None
+        for shift in range(4):
+            part = data[shift:]
+            part = part[: len(part) - (len(part) % 4 == 1)]
+            raw = base64.b64decode(part + b"=" * (-len(part) % 4))
+            if not (READABLE.search(raw) or WIDE.search(raw) or PACKED.search(raw)):
+                continue
+            if place is None:
+                place = np.flatnonzero(np.frombuffer(run.encode("ascii"), np.uint8) > 32) + at
+            # byte i comes from the characters that carry its bits
+            i = np.arange(len(raw))
+            left, right = layer.start[place[shift + i * 4 // 3]], layer.end[place[shift + np.minimum((i * 8 + 7) // 6, len(part) - 1)]]
+            self.stretches(raw, left, right)
+            done = -1
+            for m in PACKED.finditer(raw):
+                # two bytes are no proof: they count where a payload can begin
+                begins = shift == 0 and m.start() == 0 or m.start() * 4 % 3 == 0 and self._after_sign(data, shift + m.start() * 4 // 3)
+                if m.start() >= done and (len(m[0]) > 2 or begins):
+                    done = m.start() + self.expanded(raw[m.start() :], int(left[m.start()]), right[m.start() :])
+
+    @staticmethod
+    def _after_sign(data: bytes, at: int) -> bool:
+        return at > 0 and data[at - 1] in (43, 47)
+
+    def stretches(self, raw: bytes, left: np.ndarray, right: np.ndarray) -> None:
+        """The readable stretches of bytes, and those of UTF-16, as layers."""
+        for m in READABLE.finditer(raw):
+            a, b = m.span()
+            self.add(Layer(m[0].decode("ascii"), left[a:b], right[a:b], np.broadcast_to(True, b - a)))
+        for m in WIDE.finditer(raw):
+            a, b = m.span()
+            self.add(Layer(m[0][::2].decode("ascii"), left[a:b:2], right[a + 1 : b : 2], np.broadcast_to(True, (b - a) // 2)))
+
+    def expanded(self, raw: bytes, start: int, ends: np.ndarray) -> int:
+        """Scan what compressed bytes at the start of ``raw`` expand to, piece
+        by piece; the bytes used. Bytes that aren't compressed give nothing."""
+        end = [start]
+        held, whole = b"", 0
+        for piece, used in _pieces(raw):
+            end[0] = int(ends[min(used, len(ends)) - 1]) if used else start
+            self.left -= len(piece)
+            if self.left < 0:
+                self.found.append((OPAQUE, start, int(ends[-1])))
+                return len(raw)
+            whole += len(piece)
+            both = held + piece
+            self.bytes(both, start, end[0], first=not held)
+            held = both[-OVERLAP:]
+        return used_of(raw) if whole else 0
+
+    def bytes(self, raw: bytes, start: int, end: int, first: bool) -> None:
+        """Expanded bytes: all come from one stretch of the text."""
+        key = ("bytes", hash(raw), len(raw), start, end)
+        if key in self.seen:
+            return
+        self.seen.add(key)
+        at = np.broadcast_to(np.int64(start), len(raw)), np.broadcast_to(np.int64(end), len(raw))
+        self.stretches(raw, *at)
+        done = -1
+        for m in PACKED.finditer(raw):
+            if m.start() >= done and (len(m[0]) > 2 or first and m.start() == 0):
+                done = m.start() + self.expanded(raw[m.start() :], start, at[1][m.start() :])
+
+
+def _decoder(raw: bytes):
+    if raw.startswith(b"\x1f\x8b"):
+        return zlib.decompressobj(31)
+    if raw.startswith(b"BZh"):
+        return bz2.BZ2Decompressor()
+    if raw.startswith(b"\xfd7zXZ"):
+        return lzma.LZMADecompressor()
+    return zlib.decompressobj()
+
+
+def _pieces(raw: bytes) -> Iterator[tuple[bytes, int]]:
+    """What compressed bytes expand to, in pieces of bounded size, with the
+    number of bytes used; broken data give what comes before the break."""
+    d, rest, out, size = _decoder(raw), raw, [], 0
+    while True:
+        try:
+            if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                got = d.decompress(rest, 2**20)
+                rest = b""
+                more = not d.eof and not d.needs_input
             else:
-                parts.append((m.start(), m.end(), x))
-    return _replaced(layer, parts) if parts else None
-
-
-def _expanded(raw: bytes) -> bytes | None:
-    """Compressed bytes unwrapped; empty if they aren't compressed, None if
-    they expand too far."""
-    makers = {b"\x1f\x8b": lambda: zlib.decompressobj(31), b"BZh": bz2.BZ2Decompressor, b"\xfd7zXZ": lzma.LZMADecompressor, b"x\x01": zlib.decompressobj, b"x\x9c": zlib.decompressobj, b"x\xda": zlib.decompressobj, b"x^": zlib.decompressobj}
-    for magic, make in makers.items():
-        if raw.startswith(magic):
-            try:
-                out = make().decompress(raw, EXPANSION + 1)
-                return None if len(out) > EXPANSION else out
-            except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-                return b""
-    return b""
-
-
-def _readable(raw: bytes) -> str:
-    """The bytes as text, empty if they aren't one."""
+                got = d.decompress(rest, 2**20)
+                rest = d.unconsumed_tail
+                more = not d.eof and bool(rest)
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            got, more = b"", False
+        out.append(got)
+        size += len(got)
+        if size >= PIECE or not more:
+            if size:
+                yield b"".join(out), len(raw) - len(d.unused_data)
+            out, size = [], 0
+        if not more:
+            return
+
+
+def used_of(raw: bytes) -> int:
+    """Bytes of the compressed data at the start; a second member follows there."""
+    d, rest = _decoder(raw), raw
     try:
-        x = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return ""
-    return x if x and sum(c.isprintable() or c in "\r\n\t" for c in x) >= 0.95 * len(x) else ""
-
-
-def _base64(layer: Layer) -> tuple[list[Layer], list[tuple[int, int]]]:
-    """A layer for each stretch that decodes to text, perhaps through
-    compression, and the stretches that expand too far."""
-    layers, opaque = [], []
-    for m in BASE64.finditer(layer.text):
-        x = m[0].rstrip("=")
-        if len(x) % 4 == 1 or x.isalpha() and (x.islower() or x.isupper() or x[1:].islower()):
-            continue
-        try:
-            raw = base64.b64decode(x.replace("-", "+").replace("_", "/") + "=" * (-len(x) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        a, text = m.start(), _readable(raw)
-        if text and raw.isascii():  # byte i comes from the characters that carry its bits
-            i = np.arange(len(text))
-            left, right = a + i * 4 // 3, np.minimum(a + (i * 8 + 7) // 6, a + len(x) - 1)
-            layers.append(Layer(text, layer.start[left], layer.end[right], np.ones(len(text), bool)))
-            continue
-        if not text:
-            packed = _expanded(raw)
-            if packed is None:
-                opaque.append((int(layer.start[a]), int(layer.end[m.end() - 1])))
-                continue
-            text = _readable(packed)
-        if text:
-            n = len(text)
-            layers.append(Layer(text, np.full(n, layer.start[a]), np.full(n, layer.end[m.end() - 1]), np.ones(n, bool)))
-    return layers, opaque
+        while not d.eof:
+            if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
+                d.decompress(rest, 2**20)
+                rest = b""
+                if d.needs_input:
+                    return len(raw)
+            else:
+                d.decompress(rest, 2**20)
+                rest = d.unconsumed_tail
+                if not rest and not d.eof:
+                    return len(raw)
+    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+        return 2
+    return len(raw) - len(d.unused_data)
 
 
 def hidden(text: str) -> list[Span]:
-    """Findings in decoded layers, mapped to the text; one that lies wholly in
-    characters which decoding left alone belongs to the layer above."""
-    n = len(text)
+    """Findings in decoded layers, mapped to the text."""
     if not ("%" in text or "\\" in text or BASE64.search(text)):
         return []
-    found: list[Span] = []
-    work, seen = [Layer(text, np.arange(n), np.arange(1, n + 1), np.zeros(n, bool))], {text}
-    while work:
-        layer = work.pop()
-        inner, opaque = _base64(layer)
-        found += [(OPAQUE, a, b) for a, b in opaque]
-        for nxt in [_percent(layer), _unicode(layer), *inner]:
-            # the same text at another place is another layer
-            if nxt is None or (key := nxt.text if nxt.new.size != nxt.new.sum() else (nxt.text, int(nxt.start[0]))) in seen:
-                continue
-            seen.add(key)
-            work.append(nxt)
-            found += [(k, int(nxt.start[a]), int(nxt.end[b - 1])) for k, a, b in scan(nxt.text) if nxt.new[a:b].any()]
-    return found
+    return Worklist(text).run()
 
 
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans: one row per
     document. The counts and the digest are of the base spans in the text as it
     stands; ``spans`` also holds the findings of decoded layers, and compressed
-    stretches too large to expand as ``opaque``.
+    stretches that expand beyond ``MOST`` bytes as ``opaque``.
 
-    A null or empty text has no spans; repeated rows give repeated results and
-    a null doc_id is kept. An empty table gives no rows.
+    A null or empty text has no spans; texts are read whole, whatever their
+    length; repeated rows give repeated results and a null doc_id is kept;
+    further columns, whatever their names, play no part. An empty table gives
+    no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,12 @@
 """Spans, words, toxicity and quality on small inputs."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -120,12 +123,18 @@ SECRET = 'token = "abcdef123456"'
 @pytest.mark.parametrize("hide", [
     urllib.parse.quote, lambda s: urllib.parse.quote(urllib.parse.quote(s)), lambda s: base64.b64encode(s.encode()).decode(), lambda s: base64.b64encode(gzip.compress(s.encode())).decode(),
     lambda s: base64.b64encode(base64.b64encode(s.encode())).decode(), lambda s: "".join(f"\\u{ord(c):04x}" for c in s), lambda s: urllib.parse.quote(base64.b64encode(zlib.compress(s.encode())).decode()),
+    lambda s: base64.b64encode(gzip.compress(gzip.compress(s.encode()))).decode(), lambda s: base64.b64encode(lzma.compress(bz2.compress(zlib.compress(s.encode())))).decode(),
+    lambda s: base64.b64encode(gzip.compress(b"one") + gzip.compress(s.encode())).decode(), lambda s: base64.b64encode(s.encode("utf-16-le")).decode(), lambda s: base64.b64encode(s.encode("utf-16-be")).decode(),
+    lambda s: base64.encodebytes(b"words that come before, line by line " * 4 + s.encode() + b" and some after it" * 4).decode(), lambda s: base64.b64encode(b"\xff" + s.encode() + b"\xfe").decode(),
+    lambda s: "files/" + base64.b64encode(s.encode()).decode(), lambda s: "files/" + base64.b64encode(zlib.compress(s.encode())).decode(), lambda s: "".join(f"\\u{{{ord(c):x}}}" for c in s),
+    lambda s: "".join(f"%5Cu{ord(c):04x}" for c in s), lambda s: "".join("%" + "25" * 9 + f"{ord(c):02x}" for c in s), lambda s: base64.b64encode(gzip.compress(b"\0" * (2 * secrets.PIECE) + s.encode() + b"\0" * 99)).decode(),
 ])
 def test_hidden_secrets(hide):
     inner = hide(SECRET)
     text = f"before {inner} after"
-    assert secrets.scan(text) == [] and [k for k, _, _ in secrets.hidden(text)] == [secrets.ASSIGN]
-    (_, a, b), = secrets.hidden(text)
+    assert secrets.scan(text) == [] and {k for k, _, _ in secrets.hidden(text)} == {secrets.ASSIGN}
+    _, a, b = max(secrets.hidden(text), key=lambda s: s[2] - s[1])
+    inner = inner.rstrip()
     assert 7 <= a < b <= 7 + len(inner)
 
 
@@ -138,12 +147,48 @@ def test_secret_scan_equals_plain_patterns():
         assert sorted(plain) == sorted(secrets.scan(text))
 
 
-def test_layers_end():
+def test_wrapped_and_compressed():
+    """A payload over several lines is one layer, also if it is compressed."""
+    r = random.Random(2)
+    text = "x\n" + base64.encodebytes(gzip.compress(r.randbytes(300) + SECRET.encode() + r.randbytes(90))).decode()
+    assert any(k == secrets.ASSIGN and a == 2 for k, a, _ in secrets.hidden(text))
+
+
+def test_layers_end(monkeypatch):
     assert secrets.hidden("%25" * 50) == [] and secrets.hidden("QUFB" * 30) == [] and secrets.hidden("\\u0025" * 40) == []
-    bomb = base64.b64encode(zlib.compress(b"0" * (secrets.EXPANSION + 10))).decode()
+    bomb = base64.b64encode(zlib.compress(b"\0" * 2**23)).decode()
+    assert secrets.hidden(bomb) == []
+    monkeypatch.setattr(secrets, "MOST", 2**20)
     assert {k for k, _, _ in secrets.hidden(bomb)} == {secrets.OPAQUE}
 
 
+def test_long_escapes_take_linear_time():
+    began = time.perf_counter()
+    assert secrets.hidden("%" + "25" * 500_000 + "41") == []
+    assert time.perf_counter() - began < 5  # half a second on an idle core; a quadratic way takes hours
+
+
+def test_escapes_reach_their_fixpoint():
+    """The stack's result is that of decoding whole texts again and again."""
+    r = random.Random(8)
+    for _ in range(3000):
+        text = "".join(r.choice(["%", "25", "2", "5", "41", "\\u00", "\\x", "5c", "7", "u", "{", "}", "a", " "]) for _ in range(r.randrange(25)))
+        expected = text
+        while True:
+            once = re.sub(r"%([0-7][0-9A-Fa-f])|\\x([0-7][0-9A-Fa-f])|\\u00([0-7][0-9A-Fa-f])|\\u\{0*([0-7]?[0-9A-Fa-f])\}", lambda m: chr(int(next(x for x in m.groups() if x), 16)), expected, count=1)
+            if once == expected:
+                break
+            expected = once
+        if re.search(r"%[89A-Fa-f]|\\x[89A-Fa-f]|\\u00[89a-fA-F]|\\u\{", text + expected):
+            continue
+        n = len(text)
+        layer = secrets.unescaped(secrets.Layer(text, np.arange(n), np.arange(1, n + 1), np.zeros(n, bool)))
+        got = layer.text if layer else text
+        assert not re.search(r"%[0-7][0-9A-Fa-f]|\\x[0-7][0-9A-Fa-f]|\\u00[0-7][0-9A-Fa-f]", got), (text, got)
+        if layer:
+            assert (layer.start < layer.end).all() and (np.diff(layer.start) > 0).all()
+
+
 def test_secret_edges(edge_docs, no_docs):
     found = secrets.find(edge_docs).collect()
     assert len(found) == len(EDGE_ROWS) and {r["spans"] for r in found} == {""}
