@@ -83,7 +83,7 @@ QUERIES = {
 ORACLES = {
     "op1_maxscore_topk": """
         WITH e AS (
-            SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
             FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
         q AS (SELECT vec_id AS query_id, min(v) AS qv FROM e WHERE vec_id % 100 = 0 GROUP BY vec_id),
