@@ -4,22 +4,23 @@ A revisit stands for the latest earlier full response of the same canonical
 URL. The as-of join is a carried-forward "last full response", in two levels,
 so that a URL that holds a large share of the records isn't one task: within
 slices of time each record looks back in its slice, and the last response of
-earlier slices is carried over one row a slice.
+earlier slices is carried over one row a slice. The slices are quantiles of a
+sample, so that bursts and outlying times don't fill one of them.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.functions import slices
+
 #: Headers that a not-modified response may update, and query
 #: parameters that don't name another page.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 TRACKING = r"^(utm_[^=]*|ref|fbclid|gclid)(=|$)"
 
-SLICE_ROWS = 10_000  # records in a slice of time, on average over all URLs
+SLICE_ROWS = 10_000  # records in a slice of time, on average over all URLs, up to slices.MOST of them
 
 
 def canonical(url: Column) -> Column:
@@ -62,15 +63,14 @@ def resolve(records: DataFrame) -> DataFrame:
     payload digest and the merged headers are given only if the outcome is
     "resolved". Records with a null url, time or type take no part, nor do
     records of other types. Of full responses that share time and id, the one
-    with the largest digest counts; repeated revisits give repeated rows. An
-    empty table gives no rows.
+    with the largest digest counts; repeated revisits give repeated rows;
+    further columns, whatever their names, play no part. An empty table gives
+    no rows.
     """
     fields = ("record_id", "time", "etag", "last_modified", "digest", "headers")
-    n, low, high = records.agg(F.count("*"), F.min("time"), F.max("time")).first()
-    slices = max(1, math.ceil((n or 0) / SLICE_ROWS))
-    width = max(1, math.ceil(((high or 0) - (low or 0) + 1) / slices))
-    rows = records.where("url is not null and time is not null and type in ('response', 'revisit')")
-    rows = rows.select(canonical(F.col("url")).alias("url_key"), F.floor((F.col("time") - (low or 0)) / width).alias("slice"), "type", F.struct(*fields).alias("r"))
+    known = records.where("url is not null and time is not null and type in ('response', 'revisit')")
+    points = slices.cuts(known, ("time", "record_id"), SLICE_ROWS)
+    rows = known.select(canonical(F.col("url")).alias("url_key"), slices.slice_of(("time", "record_id"), points).alias("slice"), "type", F.struct(*fields).alias("r"))
     order = F.struct("r.time", "r.record_id", F.col("type") == "response", "r.digest")
     rows = rows.withColumns({"order": order, "full": F.when(F.col("type") == "response", F.col("r"))})
 
