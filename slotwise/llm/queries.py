@@ -19,19 +19,25 @@ def op2_semi_markov_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_records(pages: DataFrame) -> DataFrame:
-    """Archive records of the pages in order of page_id, which is their time: a
-    third of them, mixed by id, are revisits, which assert the state of their
-    site at that time (it changes every 5,000 pages)."""
-    page, state = F.col("page_id"), F.floor(F.col("page_id") / 5000)
-    revisit = page % 65521 * 31337 % 65521 % 3 == 0
-    tag = F.concat(F.lit('"s'), state.cast("string"), F.lit('"'))
+    """Archive records of the pages, up to five of each: a response; a revisit
+    by another form of the URL, whose entity tag or time of last change may be
+    the same, changed or absent; of every second page a changed response; a
+    revisit after it; and of every eighth page a revisit before everything."""
+    page, c = F.col("page_id"), F.col("c")
+    rows = pages.select("page_id", "url", "html", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("c")).where((c != 2) | (page % 2 == 0)).where((c != 4) | (page % 8 == 0))
+    is_full = c.isin(0, 2)
+    time = page + F.element_at(F.array(*(F.lit(1_000_000 * x) for x in (0, 1, 2, 3, -1))), c + 1)
+    other = F.concat(F.regexp_replace("url", "^https?://", "https://www."), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_medium=mail"))
+    state = F.when((c == 2) | ((c == 3) & (page % 2 == 0)), "u").otherwise("t")
+    tag = F.concat(F.lit('"'), state, (page % 7).cast("string"), F.lit('"'))
+    tag = F.when(is_full & (page % 4 != 3), tag).when((c == 1) & (page % 3 == 0), F.lit('"new"')).when((c == 1) & (page % 6 != 1) | (c > 2), F.concat(F.lit("W/"), tag))
+    changed = F.when(page % 5 != 4, page % 11 + F.when((c == 1) & (page % 10 == 7), 1).otherwise(0))
     length = F.length(F.coalesce("html", F.lit(""))).cast("string")
-    full = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), length, F.lit("ETag"), tag, F.lit("Date"), page.cast("string"))
-    short = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("ETag"), F.concat(F.lit("W/"), tag), F.lit("Date"), page.cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"))
-    return pages.select(
-        page.alias("record_id"), "url", page.alias("time"), F.when(revisit, "revisit").otherwise("response").alias("type"),
-        F.when(revisit, F.concat(F.lit("W/"), tag)).otherwise(tag).alias("etag"), F.lit(None).cast("long").alias("last_modified"),
-        F.when(~revisit, F.md5("html")).alias("digest"), F.when(revisit, short).otherwise(full).alias("headers"),
+    full = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("Content-Length"), length, F.lit("ETag"), tag, F.lit("Date"), time.cast("string"))
+    short = F.create_map(F.lit("Content-Length"), F.lit("0"), F.lit("ETag"), tag, F.lit("Date"), time.cast("string"), F.lit("Cache-Control"), F.lit("max-age=60"))
+    return rows.select(
+        (page * 8 + c).alias("record_id"), F.when(c == 1, other).otherwise(F.col("url")).alias("url"), time.alias("time"), F.when(is_full, "response").otherwise("revisit").alias("type"),
+        tag.alias("etag"), changed.alias("last_modified"), F.when(is_full, F.md5(F.concat("html", c.cast("string")))).alias("digest"), F.map_filter(F.when(is_full, full).otherwise(short), lambda _, v: v.isNotNull()).alias("headers"),
     )
 
 
@@ -92,31 +98,40 @@ ORACLES = {
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
     "op3_revisit_resolution": """
-        WITH p AS (
-            SELECT *, regexp_replace(regexp_replace(url, '#[\\s\\S]*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS plain
-            FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL),
-        c AS (
-            SELECT page_id, html, page_id // 5000 AS state,
-                   regexp_replace(lower(regexp_extract(plain, '^([^/?]*)', 1)), '^www\\.|:80$|:443$', '', 'g')
+        WITH b AS (
+            SELECT page_id, html, c, page_id * 8 + c AS record_id, c IN (0, 2) AS is_full,
+                   CASE WHEN c = 1 THEN regexp_replace(url, '^https?://', 'https://www.') || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_medium=mail' ELSE url END AS url,
+                   page_id + 1000000 * CASE c WHEN 4 THEN -1 ELSE c END AS time,
+                   '"' || CASE WHEN c = 2 OR (c = 3 AND page_id % 2 = 0) THEN 'u' ELSE 't' END || page_id % 7 || '"' AS tag
+            FROM (SELECT page_id, url, html, unnest(range(5)) AS c FROM pages WHERE url IS NOT NULL AND page_id IS NOT NULL)
+            WHERE (c <> 2 OR page_id % 2 = 0) AND (c <> 4 OR page_id % 8 = 0)),
+        p AS (
+            SELECT *, CASE WHEN is_full AND page_id % 4 <> 3 THEN tag WHEN is_full THEN NULL WHEN c = 1 AND page_id % 3 = 0 THEN '"new"' WHEN c = 1 AND page_id % 6 = 1 THEN NULL ELSE 'W/' || tag END AS etag,
+                   CASE WHEN page_id % 5 <> 4 THEN page_id % 11 + CASE WHEN c = 1 AND page_id % 10 = 7 THEN 1 ELSE 0 END END AS last_modified,
+                   regexp_replace(regexp_replace(url, '#[\\s\\S]*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS plain
+            FROM b),
+        k AS (
+            SELECT *, regexp_replace(lower(regexp_extract(plain, '^([^/?]*)', 1)), '^www\\.|:80$|:443$', '', 'g')
                    || regexp_replace(regexp_extract(plain, '^[^/?]*([^?]*)', 1), '/+$', '') AS place,
                    list_sort(list_filter(string_split(regexp_extract(plain, '\\?([\\s\\S]*)$', 1), '&'),
                              lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|ref|fbclid|gclid)(=|$)'))) AS kept
             FROM p),
         r AS (
-            SELECT page_id, state, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key,
-                   CASE WHEN page_id % 65521 * 31337 % 65521 % 3 <> 0 THEN page_id END AS full_id, html
-            FROM c),
+            SELECT record_id, time, is_full, etag, last_modified, html, c, place || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END AS url_key,
+                   CASE WHEN is_full THEN record_id END AS full_id
+            FROM k),
         a AS (
-            SELECT *, last_value(full_id IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY page_id
+            SELECT *, last_value(full_id IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY time, record_id
                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS source_id
             FROM r),
         o AS (
-            SELECT a.*, f.html AS body, CASE WHEN source_id IS NULL THEN 'no earlier response' WHEN f.state = a.state THEN 'resolved' ELSE 'validator mismatch' END AS outcome
-            FROM a LEFT JOIN r f ON f.page_id = a.source_id WHERE a.full_id IS NULL)
-        SELECT page_id AS record_id, url_key, source_id, outcome,
-               CASE WHEN outcome = 'resolved' THEN md5(body) END AS digest,
-               CASE WHEN outcome = 'resolved' THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || length(coalesce(body, '')) || chr(10)
-                    || 'content-type: text/html' || chr(10) || 'date: ' || page_id || chr(10) || 'etag: W/"s' || state || '"' END AS headers
+            SELECT a.record_id, a.url_key, a.source_id, a.time, coalesce(a.etag, f.etag) AS tag, f.html, f.c,
+                   CASE WHEN a.etag IS NOT NULL AND f.etag IS NOT NULL THEN regexp_replace(a.etag, '^W/', '') = regexp_replace(f.etag, '^W/', '') ELSE a.last_modified = f.last_modified END AS same
+            FROM a LEFT JOIN r f ON f.record_id = a.source_id WHERE NOT a.is_full)
+        SELECT record_id, url_key, source_id, CASE WHEN source_id IS NULL THEN 'no earlier response' WHEN same IS NULL THEN 'no common validator' WHEN same THEN 'resolved' ELSE 'validator mismatch' END AS outcome,
+               CASE WHEN same THEN md5(html || c) END AS digest,
+               CASE WHEN same THEN 'cache-control: max-age=60' || chr(10) || 'content-length: ' || length(coalesce(html, '')) || chr(10)
+                    || 'content-type: text/html' || chr(10) || 'date: ' || time || CASE WHEN tag IS NULL THEN '' ELSE chr(10) || 'etag: ' || tag END END AS headers
         FROM o
     """,
 }
