@@ -25,8 +25,13 @@ def whole(a: Column, b: Column | int) -> Column:
     return F.call_function("div", a, F.lit(b) if isinstance(b, int) else b)
 
 
+def unit_name(unit: Column) -> Column:
+    """The catalog text of a resolution that is given by it or by its JSON name."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in JSON_UNITS.items() for x in pair))[unit], unit)
+
+
 def unit_ms(unit: Column) -> Column:
-    return F.create_map(*(F.lit(x) for pair in UNIT_MS.items() for x in pair))[unit].cast("long")
+    return F.create_map(*(F.lit(x) for pair in UNIT_MS.items() for x in pair))[unit_name(unit)].cast("long")
 
 
 def duration_ms(length: Column, unit: Column) -> Column:
@@ -59,6 +64,18 @@ def slot_timestamp(block: Column, at: Column, block_ms: Column | int, sample_ms:
     return F.timestamp_millis(slot_ts_ms(block, at, block_ms, sample_ms))
 
 
+def segment_blocks(block_slots: int, width: int, target_bytes: int = 128 * 2**20) -> int:
+    """Blocks in a segment, so that a segment of full blocks has about the
+    target size before compression (a value and a quality byte a sample)."""
+    return max(1, target_bytes // (block_slots * (width + 1)))
+
+
+def segment_id(block: Column, blocks_each: Column | int) -> Column:
+    """Segments are runs of blocks aligned to the epoch, like blocks of samples,
+    so a late block never moves another one to a different segment."""
+    return whole(block, blocks_each)
+
+
 def derived_block_ms(sample_ms: Column) -> Column:
     """Block duration for a sample duration: the target number of slots, in
     whole units of the largest fitting resolution, rounded up to a bucket; what

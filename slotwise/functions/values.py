@@ -32,6 +32,30 @@ STORAGE = {
 JSON_TYPES = {"F32": "float32", "F64": "float64", "I32": "int32", "I64": "int64", "U32": "uint32", "U64": "uint64", "Enum": "enumeration"}
 JSON_TAGS = {tag: name for t, name in JSON_TYPES.items() for tag in (t, t.lower())}
 
+#: JSON names of the storage types of a new series.
+JSON_STORAGE = {"Float32": "float32", "Float64": "float64", "Int32": "int32", "Int64": "int64", "UInt32": "uint32", "UInt64": "uint64", "Enumeration": "enumeration"}
+
+#: Stored columns hold either reals or whole numbers, so that 64-bit integers stay exact.
+KINDS = {"real": "double", "whole": "decimal(20,0)"}
+
+
+def kind_of(storage: Column) -> Column:
+    return F.when(storage.isin("float32", "float64"), "real").when(storage.isin(*STORAGE), "whole")
+
+
+def storage_name(name: Column) -> Column:
+    """The catalog name of a storage type that is given by it or by its JSON name."""
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in JSON_STORAGE.items() for x in pair))[name], name)
+
+
+def total_of(kind: str) -> str:
+    """Type of a sum of values of a Spark type. Sums of integers are exact. Sums
+    of floats are doubles, whose last bits depend on the order of addition: two
+    runs agree within 1e-12 of the sum of the magnitudes."""
+    if kind.startswith("decimal"):
+        return f"decimal(38,{kind.rstrip(')').split(',')[-1]})"
+    return {"float": "double", "double": "double", "bigint": "decimal(38,0)"}.get(kind, "bigint")
+
 
 def storage_of_tag(tag: Column) -> Column:
     return F.create_map(*(F.lit(x) for pair in JSON_TAGS.items() for x in pair))[tag]
@@ -50,6 +74,19 @@ def in_range(value: Column, storage: str) -> Column:
     return x.isNotNull() & (x >= F.lit(s.low).cast("decimal(38,0)")) & (x <= F.lit(s.high).cast("decimal(38,0)"))
 
 
+def fits(value: Column, storage: Column, text: bool) -> Column:
+    """Whether a number, or its JSON text, is one of its storage type: whole and
+    in range for integers; finite for floats."""
+    real = value.try_cast("double")
+    is_whole = value.rlike("^-?[0-9]+$") if text else F.rint(real) == real
+    whole = value.try_cast("decimal(38,0)")
+    bounds = {n: s for n, s in STORAGE.items() if s.low is not None}
+    low, high = (F.create_map(*(x for n, s in bounds.items() for x in (F.lit(n), F.lit(getattr(s, end)).cast("decimal(38,0)"))))[storage] for end in ("low", "high"))
+    infinite = F.lit(float("inf"))
+    finite = ~F.isnan(real) & (F.abs(real) != infinite) & ((storage != "float32") | (F.abs(real.cast("float")) != infinite))
+    return F.coalesce(F.when(kind_of(storage) == "real", finite).otherwise(is_whole & (whole >= low) & (whole <= high)), F.lit(False))
+
+
 def from_raw(raw: Column, storage: str) -> Column:
     """A raw double as a stored value: signed integers are cut off towards
     zero, unsigned ones are made positive first, and an enumeration is taken

@@ -10,16 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions import grid, quality
+from slotwise.functions import quality, values
+from slotwise.operators.errors import RequestError
 
 KEY = ("series_id", "block_id")
 FIRST_NONE = 4294967295  # fixed value: offset of a first sample that isn't there
 EDGES = ("fst_valid", "lst_valid", "fst", "lst")
 
 
-def summary_columns(total: str = "decimal(38,2)", offset: Column | None = None) -> list[Column]:
-    """Aggregates over the slots of a group. ``total`` is the type of the sum;
-    decimal keeps it exact and independent of order."""
+def summary_columns(total: str, offset: Column | None = None) -> list[Column]:
+    """Aggregates over the slots of a group. ``total`` is the type of the sum,
+    see ``values.total_of``."""
     q, slot = F.col("quality").cast("int"), F.col("slot") if offset is None else offset
     present, valid = quality.is_present(q), quality.is_valid(q)
     value = F.when(valid, F.col("value"))
@@ -28,7 +29,7 @@ def summary_columns(total: str = "decimal(38,2)", offset: Column | None = None)
     return [
         F.count_if(present).alias("count_non_missing"),
         F.count_if(valid).alias("count_valid"),
-        F.sum(value.cast(total)).alias("sum_val"),
+        F.sum(value.cast(total)).cast(total).alias("sum_val"),
         F.min(value).alias("min_val"),
         F.max(value).alias("max_val"),
         edge(F.min_by, valid).alias("fst_valid"),
@@ -41,9 +42,12 @@ def summary_columns(total: str = "decimal(38,2)", offset: Column | None = None)
     ]
 
 
-def summaries(slots: DataFrame, block_slots: Column | int, total: str = "decimal(38,2)") -> DataFrame:
+def summaries(slots: DataFrame, block_slots: Column | int) -> DataFrame:
     """One row a block from its last writes: 22 columns, NULL where nothing
-    qualifies. Slots without a row count as missing in the masks."""
+    qualifies. Slots without a row count as missing in the masks. Sums are of
+    the type that the values' type asks for: exact for integers, double for
+    floats."""
+    total = values.total_of(dict(slots.dtypes)["value"])
     whole = F.lit(block_slots) if isinstance(block_slots, int) else block_slots
     by_slot = slots.groupBy(*KEY)
     rows = by_slot.agg(*summary_columns(total), F.max(whole).alias("block_slots"))
@@ -66,12 +70,17 @@ def compat(rows: DataFrame) -> DataFrame:
     return rows.withColumns(zero | q | first | last)
 
 
-def densified(slots: DataFrame, blocks: DataFrame, block_slots: int) -> DataFrame:
-    """Every slot of the given blocks; absent ones hold 0 and quality missing."""
-    every = blocks.select(*KEY).distinct().withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(block_slots - 1))))
-    joined = every.join(slots.select(*KEY, "slot", "value", "quality"), [*KEY, "slot"], "left")
-    kind = dict(slots.dtypes)["value"]
-    return joined.withColumns({"value": F.coalesce("value", F.lit(0).cast(kind)), "quality": F.coalesce(F.col("quality").cast("int"), F.lit(quality.MISSING))})
+def densified(slots: DataFrame, block_slots: int, blocks: DataFrame | None = None) -> DataFrame:
+    """Every slot of the blocks that hold slots, and of further given ones;
+    absent slots hold 0 and quality missing. Only the sparse rows are shuffled."""
+    dense = dense_arrays(slots, block_slots)
+    if blocks is not None:
+        kind = dict(slots.dtypes)["value"]
+        bare = blocks.select(*KEY).distinct().join(dense.select(*KEY), list(KEY), "left_anti")
+        nothing = [F.array_repeat(F.lit(0).cast(kind), block_slots).alias("values"), F.array_repeat(F.lit(quality.MISSING), block_slots).alias("qualities")]
+        dense = dense.unionByName(bare.select(*KEY, *nothing))
+    rows = dense.select(*KEY, F.posexplode(F.arrays_zip("values", "qualities")).alias("slot", "s"))
+    return rows.select(*KEY, "slot", F.col("s.values").alias("value"), F.col("s.qualities").alias("quality"))
 
 
 def read_block(slots: DataFrame, series_id: int, block_id: int, block_slots: int) -> DataFrame:
@@ -85,21 +94,34 @@ def dense_arrays(rows: DataFrame, block_slots: int) -> DataFrame:
     """A row a block with value and quality arrays over all its slots; a block
     has a fixed number of slots, so a group is bounded."""
     kind = dict(rows.dtypes)["value"]
-    held = rows.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("slot", F.struct(F.col("value"), F.col("quality").cast("int").alias("quality"))))).alias("held"))
-    every = F.sequence(F.lit(0), F.lit(block_slots - 1))
-    return held.select(
-        *KEY,
-        F.transform(every, lambda i: F.coalesce(F.col("held")[i]["value"], F.lit(0).cast(kind))).alias("values"),
-        F.transform(every, lambda i: F.coalesce(F.col("held")[i]["quality"], F.lit(quality.MISSING))).alias("qualities"),
-    )
+    sample = F.struct("slot", F.col("value"), F.col("quality").cast("int").alias("quality"))
+    held = rows.groupBy(*KEY).agg(F.collect_list(sample).alias("held"))
+    absent = F.array_except(F.sequence(F.lit(0), F.lit(block_slots - 1)), F.col("held.slot"))
+    blank = F.transform(absent, lambda i: F.struct(i.alias("slot"), F.lit(0).cast(kind).alias("value"), F.lit(quality.MISSING).alias("quality")))
+    every = held.select(*KEY, F.array_sort(F.concat("held", blank)).alias("every"))
+    return every.select(*KEY, F.col("every.value").alias("values"), F.col("every.quality").alias("qualities"))
+
+
+#: Name of a block in a response, by storage type.
+RESPONSES = {"float32": "F32Block", "float64": "F64Block", "int32": "I32Block", "int64": "I64Block", "uint32": "U32Block", "uint64": "U64Block", "enumeration": "U8Block"}
 
 
-def block_json(summary: DataFrame, dense: DataFrame) -> DataFrame:
-    """The block response: [summary, values, qualities] as JSON text."""
+def block_json(summary: DataFrame, dense: DataFrame, series: DataFrame) -> DataFrame:
+    """The block response as JSON text: under the name of the series' storage
+    type, [summary, values, qualities]. Blocks of unknown series have none."""
     fields = [c for c in summary.columns if c not in KEY]
-    rows = summary.join(dense, list(KEY))
+    name = F.create_map(*(F.lit(x) for pair in RESPONSES.items() for x in pair))[F.col("storage_type")]
+    rows = summary.join(dense, list(KEY)).join(series.select("series_id", name.alias("response")), "series_id")
     parts = [F.to_json(F.struct(*fields)), F.to_json(F.col("values")), F.to_json(F.col("qualities"))]
-    return rows.select(*KEY, F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]")).alias("block"))
+    return rows.select(*KEY, F.concat(F.lit('{"'), "response", F.lit('":['), F.concat_ws(",", *parts), F.lit("]}")).alias("block"))
+
+
+def wanted_block(catalog: DataFrame, series_id: int, block_id: int) -> DataFrame:
+    """The catalog row of a block; an error with its status if there is none."""
+    found = catalog.where((F.col("series_id") == series_id) & (F.col("block_id") == block_id))
+    if found.isEmpty():
+        raise RequestError(f"unknown block {block_id} of series {series_id}", 404)
+    return found
 
 
 def sparse(dense: DataFrame) -> DataFrame:

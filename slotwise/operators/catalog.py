@@ -1,8 +1,10 @@
 """The series catalog: creation, lookup, change, removal, labels, validation.
 
 A catalog is a DataFrame, one row a series: series_id, name, storage_type,
-block_len, block_res, sample_len, sample_res, labels (sorted by name). Changes
-return a new catalog; the caller writes it.
+block_len, block_res, sample_len, sample_res, labels (sorted by name), and,
+each null if it isn't set, the engineering unit, the low and high limit, and
+the codec of the stored samples. Changes return a new catalog; the caller
+writes it.
 """
 
 from __future__ import annotations
@@ -13,19 +15,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.functions import grid
-from slotwise.functions.values import STORAGE
+from slotwise.functions.values import STORAGE, storage_name
+from slotwise.operators.errors import RequestError
 
 LABELS = "array<struct<name:string,value:string>>"
-SCHEMA = f"series_id long, name string, storage_type string, block_len long, block_res string, sample_len long, sample_res string, labels {LABELS}"
+SCHEMA = f"series_id long, name string, storage_type string, block_len long, block_res string, sample_len long, sample_res string, labels {LABELS}, unit string, low double, high double, codec string"
 NAME = r"\A[A-Za-z][A-Za-z0-9_]*\z"
 
 
-class CatalogError(ValueError):
-    """A request that the catalog refuses; ``status`` is its HTTP status."""
-
-    def __init__(self, message: str, status: int = 400):
-        super().__init__(message)
-        self.status = status
+class CatalogError(RequestError):
+    """A request that the catalog refuses."""
 
 
 def normalized_labels(labels: Column) -> Column:
@@ -63,7 +62,10 @@ def valid_geometry(block_ms: Column, sample_ms: Column) -> Column:
 
 def with_geometry(requests: DataFrame) -> DataFrame:
     """Sample and block durations in milliseconds. A block duration counts only
-    if both its length and its resolution are given; else it is derived."""
+    if both its length and its resolution are given; else it is derived.
+    Resolutions and storage types come by their catalog or their JSON names."""
+    names = {"sample_res": grid.unit_name(F.col("sample_res")), "block_res": grid.unit_name(F.col("block_res")), "storage_type": storage_name(F.col("storage_type"))}
+    requests = requests.withColumns({c: x for c, x in names.items() if c in requests.columns})
     sample = grid.duration_ms(F.col("sample_len"), F.col("sample_res"))
     given = grid.duration_ms(F.col("block_len"), F.col("block_res"))
     rows = requests.withColumns({"sample_ms": sample, "given_ms": given})
@@ -84,7 +86,8 @@ def create(series: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame
     """The catalog with the accepted requests, and the refused ones with their
     reason. Ids follow the largest one, in the order of ``request``; requests
     come by the few, the window over them is small."""
-    judged = with_geometry(requests).withColumn("reason", refusal(requests))
+    judged = with_geometry(requests)
+    judged = judged.withColumn("reason", refusal(judged))
     top = series.agg(F.coalesce(F.max("series_id"), F.lit(0))).first()[0]
     largest = [(n, u) for n, u in (("h", grid.UNIT_MS["h"]), ("min", grid.UNIT_MS["min"]), ("s", grid.UNIT_MS["s"]), ("ms", 1))]
     length, unit = F.col("block_ms"), F.lit("ms")
@@ -93,12 +96,13 @@ def create(series: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame
         length, unit = F.when(fits, grid.whole(F.col("block_ms"), ms)).otherwise(length), F.when(fits, name).otherwise(unit)
     given = F.col("given_ms").isNotNull()
     rank = F.row_number().over(Window.orderBy("request"))
+    further = [c for c in ("unit", "low", "high", "codec") if c in requests.columns]
     made = judged.where("reason is null").withColumn("n", rank).select(
         (F.lit(top) + F.col("n")).cast("long").alias("series_id"), "name", "storage_type",
         F.when(given, F.col("block_len")).otherwise(length).cast("long").alias("block_len"), F.when(given, F.col("block_res")).otherwise(unit).alias("block_res"),
-        F.col("sample_len").cast("long").alias("sample_len"), "sample_res", normalized_labels(F.col("labels")).alias("labels"),
+        F.col("sample_len").cast("long").alias("sample_len"), "sample_res", normalized_labels(F.col("labels")).alias("labels"), *further,
     )
-    return series.unionByName(made), judged.where("reason is not null").select("request", "name", "reason")
+    return series.unionByName(made, allowMissingColumns=True).select(series.columns), judged.where("reason is not null").select("request", "name", "reason")
 
 
 def get(series: DataFrame, series_id: int) -> DataFrame:

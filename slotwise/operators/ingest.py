@@ -2,7 +2,7 @@
 series, placement on the grid and last-write-wins.
 
 A request is a row (tx, series, type, ts, qs, values) with parallel arrays; tx
-orders the arrivals. Samples are rows (series_id, ts_ms, value, quality, tx,
+orders the arrivals. Values are numbers, or their JSON text. Samples are rows (series_id, ts_ms, value, quality, tx,
 pos); once placed they have block_id and slot.
 """
 
@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions import grid
+from slotwise.functions import grid, slices, values
 from slotwise.functions.values import storage_of_tag
 
-REQUEST = "series long, type string, ts array<long>, qs array<short>, values array<double>"
-WIDE_REQUEST = REQUEST.replace("values array<double>", "values array<decimal(20,0)>")  # 64-bit integers
+#: Values are read as the text that stands in the JSON, so that no digit of a 64-bit integer is lost.
+REQUEST = "series long, type string, ts array<long>, qs array<short>, values array<string>"
+ROUTE_ROWS = 10_000  # parts in a slice of the order of arrival, on average
 
 #: HTTP status of each refusal, here and in the catalog.
 STATUS = {
@@ -34,13 +35,16 @@ def sorted_ts(ts: Column) -> Column:
     return F.forall(F.sequence(F.lit(1), F.greatest(F.size(ts), F.lit(1))), lambda i: (i >= F.size(ts)) | (F.get(ts, i) >= F.get(ts, i - 1)))
 
 
-def refusal() -> Column:
-    """Why a request is refused, null if it isn't: lengths, times, values."""
-    ts, qs, values = F.col("ts"), F.col("qs"), F.col("values")
-    sizes = (F.size(ts) == F.size(qs)) & (F.size(ts) == F.size(values))
-    holes = F.exists(ts, lambda t: t.isNull() | (t < 0)) | F.exists(qs, lambda q: q.isNull() | (q < 0) | (q > 255)) | F.exists(values, lambda v: v.isNull() | F.isnan(v.cast("double")))
+def refusal(text: bool = False) -> Column:
+    """Why a request is refused, null if it isn't: lengths, times, and values
+    that its type can't hold (``text``: values are JSON text)."""
+    ts, qs, given = F.col("ts"), F.col("qs"), F.col("values")
+    sizes = (F.size(ts) == F.size(qs)) & (F.size(ts) == F.size(given))
+    storage = storage_of_tag(F.col("type"))
+    bad_value = F.exists(given, lambda v: ~values.fits(v, F.coalesce(storage, F.lit("float64")), text))
+    holes = F.exists(ts, lambda t: t.isNull() | (t < 0)) | F.exists(qs, lambda q: q.isNull() | (q < 0) | (q > 255)) | bad_value
     return (
-        F.when(ts.isNull() | qs.isNull() | values.isNull(), "missing array")
+        F.when(ts.isNull() | qs.isNull() | given.isNull(), "missing array")
         .when(~sizes, "length mismatch")
         .when(F.size(ts) == 0, "no timestamps")
         .when(holes, "bad element")
@@ -49,18 +53,28 @@ def refusal() -> Column:
 
 
 def validated(requests: DataFrame, series: DataFrame) -> DataFrame:
-    """The requests with ``reason``: that of ``refusal``, an unknown series, or
-    values of another type than the series'."""
+    """The requests with ``storage_type`` of their series and ``reason``: that
+    of ``refusal``, an unknown series, or values of another type than the
+    series'."""
     known = series.select(F.col("series_id").alias("series"), "storage_type")
-    rows = requests.join(known, "series", "left").withColumn("reason", refusal())
+    rows = requests.join(known, "series", "left").withColumn("reason", refusal(dict(requests.dtypes)["values"] == "array<string>"))
     lookup = F.when(F.col("storage_type").isNull(), "unknown series").when(~F.coalesce(storage_of_tag(F.col("type")) == F.col("storage_type"), F.lit(False)), "type mismatch")
     return rows.withColumn("reason", F.coalesce("reason", lookup))
 
 
-def samples(requests: DataFrame) -> DataFrame:
-    """One row a sample of the accepted requests."""
-    rows = requests.select("tx", F.col("series").alias("series_id"), F.posexplode(F.arrays_zip("ts", "qs", "values")).alias("pos", "s"))
-    return rows.select("series_id", F.col("s.ts").alias("ts_ms"), F.col("s.values").alias("value"), F.col("s.qs").cast("int").alias("quality"), "tx", "pos")
+def samples(requests: DataFrame, kind: str | None = None) -> DataFrame:
+    """One row a sample of the accepted requests. With a ``kind`` of
+    ``values.KINDS``: of the series of that kind only, in its type."""
+    if kind:
+        requests = requests.where(values.kind_of(F.col("storage_type")) == kind)
+    carried = ["storage_type"] if kind == "real" else []
+    rows = requests.select("tx", F.col("series").alias("series_id"), *carried, F.posexplode(F.arrays_zip("ts", "qs", "values")).alias("pos", "s"))
+    value = F.col("s.values")
+    if kind:
+        value = value.cast(values.KINDS[kind])
+    if kind == "real":
+        value = F.when(F.col("storage_type") == "float32", value.cast("float").cast("double")).otherwise(value)
+    return rows.select("series_id", F.col("s.ts").alias("ts_ms"), value.alias("value"), F.col("s.qs").cast("int").alias("quality"), "tx", "pos")
 
 
 def placed(rows: DataFrame, block_ms: Column | int, sample_ms: Column | int) -> DataFrame:
@@ -105,11 +119,19 @@ def with_overwritten(rows: DataFrame) -> DataFrame:
 
 def routed(parts: DataFrame) -> DataFrame:
     """How each part (series_id, tx, block_id) meets the newest block of its
-    series so far: start, append, rotate (newer) or cold (older)."""
-    before = Window.partitionBy("series_id").orderBy("tx", "block_id").rowsBetween(Window.unboundedPreceding, -1)
-    live = F.max("block_id").over(before)
+    series so far: start, append, rotate (newer) or cold (older). The running
+    maximum is carried in two levels, within slices of the order of arrival and
+    over one row a slice, so a series with very many parts isn't one task."""
+    order = ("tx", "block_id")
+    rows = parts.withColumn("slice", slices.slice_of(order, slices.cuts(parts, order, ROUTE_ROWS)))
+    inside = Window.partitionBy("series_id", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("series_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("series_id", "slice").agg(F.max("block_id").alias("top"))
+    carried = tops.select("series_id", "slice", F.max("top").over(earlier).alias("carried"))
+    live = F.col("live_block")
     route = F.when(live.isNull(), "start").when(F.col("block_id") == live, "append").when(F.col("block_id") > live, "rotate").otherwise("cold")
-    return parts.withColumns({"live_block": live, "route": route})
+    near = rows.withColumn("near", F.max("block_id").over(inside)).join(carried, ["series_id", "slice"])
+    return near.withColumn("live_block", F.greatest("near", "carried")).withColumn("route", route).select(*parts.columns, "live_block", "route")
 
 
 def pending(log: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slotwise.functions import grid
+from slotwise.functions import grid, values
 from slotwise.operators import blocks
 
 FOLDED = ("count_non_missing", "count_valid", "sum_val", "min_val", "max_val")
@@ -33,8 +33,9 @@ def _edge(name: str, f) -> Column:
 
 def folded(parts: DataFrame) -> DataFrame:
     """One row a series from partial rows: summaries, or edges of blocks."""
+    total = values.total_of(dict(parts.dtypes)["sum_val"])
     rows = parts.groupBy("series_id").agg(
-        F.sum("count_non_missing").alias("count_non_missing"), F.sum("count_valid").alias("count_valid"), F.sum("sum_val").cast("decimal(38,2)").alias("sum_val"), F.min("min_val").alias("min_val"), F.max("max_val").alias("max_val"),
+        F.sum("count_non_missing").alias("count_non_missing"), F.sum("count_valid").alias("count_valid"), F.sum("sum_val").cast(total).alias("sum_val"), F.min("min_val").alias("min_val"), F.max("max_val").alias("max_val"),
         _edge("fst_valid", F.min_by).alias("fst_valid"), _edge("lst_valid", F.max_by).alias("lst_valid"), _edge("fst", F.min_by).alias("fst"), _edge("lst", F.max_by).alias("lst"),
     )
     edges = [F.col(f"{e}.{f}").alias(f"{e}_{f}") for e in blocks.EDGES for f in ("val", "q", "ts")]
@@ -43,7 +44,7 @@ def folded(parts: DataFrame) -> DataFrame:
 
 def partial(slots: DataFrame, block_ms: int, sample_ms: int) -> DataFrame:
     """Partial rows from samples, one a block."""
-    rows = slots.groupBy(*blocks.KEY).agg(*blocks.summary_columns())
+    rows = slots.groupBy(*blocks.KEY).agg(*blocks.summary_columns(values.total_of(dict(slots.dtypes)["value"])))
     edges = [F.col(f"{e}.{f}").alias(f"{e}_{f}") for e in blocks.EDGES for f in ("val", "q", "offset")]
     return with_times(rows.select(*blocks.KEY, *FOLDED, *edges), block_ms, sample_ms)
 
@@ -83,7 +84,8 @@ def by_local_hour(slots: DataFrame, series: DataFrame, block_ms: int, sample_ms:
     zones = series.select("series_id", F.coalesce(zone, F.lit("UTC")).alias("zone"))
     local = F.from_utc_timestamp(grid.slot_timestamp(F.col("block_id"), F.col("slot"), block_ms, sample_ms), F.col("zone"))
     valid = slots.where(F.col("quality").bitwiseAND(F.lit(64)) == 64).join(zones, "series_id")
-    return valid.groupBy("series_id", F.hour(local).alias("local_hour")).agg(F.count("*").alias("samples"), F.sum(F.col("value").cast("decimal(38,2)")).alias("total")).withColumn("avg_val", F.col("total").cast("double") / F.col("samples").cast("double"))
+    total = values.total_of(dict(slots.dtypes)["value"])
+    return valid.groupBy("series_id", F.hour(local).alias("local_hour")).agg(F.count("*").alias("samples"), F.sum(F.col("value").cast(total)).cast(total).alias("total")).withColumn("avg_val", F.col("total").cast("double") / F.col("samples").cast("double"))
 
 
 def aligned(slots: DataFrame, left: int, right: int) -> DataFrame:
@@ -94,10 +96,12 @@ def aligned(slots: DataFrame, left: int, right: int) -> DataFrame:
     return a.join(b, ["block_id", "slot"])
 
 
-def limit_flags(slots: DataFrame, low: float, high: float) -> DataFrame:
-    """Valid samples outside the limits of their engineering unit."""
-    valid = slots.where(F.col("quality").bitwiseAND(F.lit(64)) == 64)
-    return valid.withColumn("breach", F.when(F.col("value") < low, "low").when(F.col("value") > high, "high")).where("breach is not null")
+def limit_flags(slots: DataFrame, series: DataFrame) -> DataFrame:
+    """Valid samples outside the limits of their series, with its engineering
+    unit; a limit that isn't set holds always."""
+    valid = slots.where(F.col("quality").bitwiseAND(F.lit(64)) == 64).join(series.select("series_id", "unit", "low", "high"), "series_id")
+    breach = F.when(F.col("value") < F.col("low"), "low").when(F.col("value") > F.col("high"), "high")
+    return valid.withColumn("breach", breach).where("breach is not null")
 
 
 def pattern_distances(slots: DataFrame, series_id: int, pattern: list[float], block_ms: int, sample_ms: int) -> DataFrame:

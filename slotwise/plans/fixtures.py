@@ -46,6 +46,7 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered_types(events(spark, sf_dir)).select(
         "series_id", F.concat(F.lit("events_"), "event_type").alias("name"), F.lit("float64").alias("storage_type"), F.lit(24).cast("long").alias("block_len"), F.lit("h").alias("block_res"),
         F.lit(1).cast("long").alias("sample_len"), F.lit("min").alias("sample_res"), catalog.normalized_labels(pairs.cast(catalog.LABELS)).alias("labels"),
+        unit.alias("unit"), F.when(F.col("series_id") != 2, F.col("series_id").cast("double")).alias("low"), (F.lit(60.0) - 5 * F.col("series_id")).alias("high"), F.when(F.col("series_id") > 2, "gzip").alias("codec"),
     )
 
 
@@ -66,7 +67,7 @@ SQL_SUMMARY = SQL_SLOTS + """,
     sm AS (
         SELECT series_id, block_id,
                count(*) FILTER (quality & 192 <> 128) AS count_non_missing, count(*) FILTER (quality & 64 = 64) AS count_valid,
-               CAST(sum(CAST(value AS DECIMAL(38,2))) FILTER (quality & 64 = 64) AS DECIMAL(38,2)) AS sum_val,
+               sum(value) FILTER (quality & 64 = 64) AS sum_val,
                min(value) FILTER (quality & 64 = 64) AS min_val, max(value) FILTER (quality & 64 = 64) AS max_val,
                {edges},
                CAST(bit_or(flag) | CASE WHEN count(*) < 1440 THEN 8 ELSE 0 END AS INTEGER) AS qual_acc_or,

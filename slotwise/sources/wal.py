@@ -4,22 +4,27 @@ A file is a run of frames, little endian: length u32, CRC-32C u32, payload. A
 payload starts with tag u8 (1 WRITE, 2 FLUSH), tx u64, series u64, block u64; a
 WRITE goes on with count u32, count timestamps u64, count values of the series'
 width, count quality bytes. Files are read as binary files, one task each, so
-any file system that Spark reads will do; the arrays stay bytes until the
-series catalog gives the values' type.
+any file system that Spark reads will do; the values stay bytes until the
+series catalog gives their type. Files are written under a temporary name and
+renamed when they are complete; the name comes from the job and the partition,
+so a task that is tried again replaces its own files.
 """
 
 from __future__ import annotations
 
-import os
 import struct
 import uuid
 from collections.abc import Iterator
+from decimal import Decimal
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from slotwise.functions import values
 from slotwise.functions.values import STORAGE
 
 #: Tags and the largest payload.
@@ -30,31 +35,58 @@ FRAME = struct.Struct("<II")
 FRAME_BYTES = FRAME.size
 #: NumPy type of each storage type in the log.
 DTYPES = {"float32": "<f4", "float64": "<f8", "int32": "<i4", "int64": "<i8", "uint32": "<u4", "uint64": "<u8", "enumeration": "u1"}
-SCHEMA = "file string, pos long, len long, crc long, tag string, tx decimal(20,0), series_id decimal(20,0), block_id decimal(20,0), ts array<decimal(20,0)>, value_bytes binary, qs array<short>, error string"
+SCHEMA = "file string, pos long, len long, crc long, tag string, tx decimal(20,0), series_id decimal(20,0), block_id decimal(20,0), ts array<long>, value_bytes binary, qs array<short>, error string"
 
 
 class WalError(ValueError):
     """A log file that breaks the format."""
 
 
-def _table() -> list[int]:
+def _table() -> np.ndarray:
     """The byte table of CRC-32C, from its reflected polynomial."""
-    out = []
-    for b in range(256):
-        for _ in range(8):
-            b = b >> 1 ^ (0x82F63B78 if b & 1 else 0)
-        out.append(b)
-    return out
+    x = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        x = x >> np.uint32(1) ^ np.where(x & np.uint32(1), np.uint32(0x82F63B78), np.uint32(0))
+    return x
 
 
 _CRC = _table()
 
 
+def _steps(state: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The states after each row of ``columns``, one byte a step for all."""
+    for b in columns:
+        state = state >> np.uint32(8) ^ _CRC[(state ^ b) & np.uint32(255)]
+    return state
+
+
+@lru_cache(maxsize=64)
+def _past(n: int) -> list[list[int]]:
+    """Tables that take a state past n zero bytes, by the bytes of the state:
+    the step is linear, so it is known from the 32 single bits."""
+    ones = _steps(np.uint32(1) << np.arange(32, dtype=np.uint32), np.zeros((n, 1), np.uint32))
+    tables = np.zeros((4, 256), np.uint32)
+    for k in range(4):
+        for bit in range(8):
+            tables[k] ^= np.where(np.arange(256) >> bit & 1, ones[8 * k + bit], np.uint32(0)).astype(np.uint32)
+    return tables.tolist()
+
+
 def crc32c(data: bytes) -> int:
-    crc = 0xFFFFFFFF
-    for b in data:
-        crc = crc >> 8 ^ _CRC[(crc ^ b) & 255]
-    return crc ^ 0xFFFFFFFF
+    """The checksum, computed over about sqrt(n) stretches at once, whose
+    states are then joined."""
+    n = len(data)
+    width = max(1, 1 << (n.bit_length() // 2))
+    whole = n // width * width
+    state = 0xFFFFFFFF
+    if whole:
+        columns = np.frombuffer(data, np.uint8, whole).reshape(-1, width).T.astype(np.uint32)
+        a, b, c, d = _past(width)
+        for part in _steps(np.zeros(whole // width, np.uint32), columns).tolist():
+            state = a[state & 255] ^ b[state >> 8 & 255] ^ c[state >> 16 & 255] ^ d[state >> 24] ^ part
+    for x in data[whole:]:
+        state = state >> 8 ^ int(_CRC[(state ^ x) & 255])
+    return state ^ 0xFFFFFFFF
 
 
 def write_payload(tx: int, series: int, block: int, ts, values, qs, storage: str) -> bytes:
@@ -86,19 +118,22 @@ def decoded(payload: bytes, arrays: bool = True) -> dict:
         rest = len(payload) - at - 9 * count
         if rest < 0 or count and rest % count:
             raise WalError("arrays don't fit the payload")
-        row["ts"] = np.frombuffer(payload, "<u8", count, at).tolist()
+        ts = np.frombuffer(payload, "<i8", count, at)
+        if count and ts.min() < 0:
+            raise WalError("time stamp beyond 63 bits")
+        row["ts"] = ts
         row["value_bytes"] = payload[at + 8 * count : len(payload) - count]
-        row["qs"] = list(payload[len(payload) - count :])
+        row["qs"] = np.frombuffer(payload, "u1", count, len(payload) - count).astype(np.int16)
     return row
 
 
-def frames(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+def frames(data: memoryview | bytes) -> Iterator[tuple[int, int, int, bytes]]:
     """(position, length, checksum, payload). A short header is the clean end
     of a file; anything else that is short or wrong is an error."""
     at = 0
     while at + FRAME.size <= len(data):
         n, crc = FRAME.unpack_from(data, at)
-        payload = data[at + FRAME.size : at + FRAME.size + n]
+        payload = bytes(data[at + FRAME.size : at + FRAME.size + n])
         if not 0 < n <= LARGEST:
             raise WalError(f"frame length {n} at {at}")
         if len(payload) < n:
@@ -115,34 +150,37 @@ def read(spark: SparkSession, path: str, mode: str = "FAILFAST", arrays: bool =
     leaves the rest of that file."""
     if mode not in ("FAILFAST", "PERMISSIVE"):
         raise ValueError(f"mode {mode!r}")
-    names = [c.split(" ", 1)[0] for c in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    wide = pa.decimal128(20, 0)
+    types = {"file": pa.string(), "pos": pa.int64(), "len": pa.int64(), "crc": pa.int64(), "tag": pa.string(), "tx": wide, "series_id": wide, "block_id": wide, "ts": pa.list_(pa.int64()), "value_bytes": pa.binary(), "qs": pa.list_(pa.int16()), "error": pa.string()}
+
+    def column(rows: list[dict], name: str) -> pa.Array:
+        given = [r.get(name) for r in rows]
+        if name in ("ts", "qs"):
+            known = [x if x is not None else np.empty(0, np.int64) for x in given]
+            ends = np.cumsum([0, *(len(x) for x in known)]).astype(np.int32)
+            flat = pa.array(np.concatenate(known) if known else [], types[name].value_type)
+            return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in given], pa.bool_()))
+        return pa.array([None if x is None else Decimal(x) for x in given] if types[name] == wide else given, types[name])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for files in batches:
-            for path, data in zip(files["path"], files["content"], strict=True):
-                rows, last = [], 0
+            for path, data in zip(files.column("path").to_pylist(), files.column("content"), strict=True):
+                rows, size, last = [], 0, 0
                 try:
-                    for at, n, crc, payload in frames(bytes(data)):
+                    for at, n, crc, payload in frames(memoryview(data.as_buffer())):
                         last = at
-                        rows.append({"file": path, "pos": at, "len": n, "crc": crc, "error": None} | decoded(payload, arrays))
-                        last = at + FRAME_BYTES + n
+                        rows.append({"file": path, "pos": at, "len": n, "crc": crc} | decoded(payload, arrays))
+                        last, size = at + FRAME_BYTES + n, size + n
+                        if size > 2**24:  # a batch of bounded size
+                            yield pa.RecordBatch.from_arrays([column(rows, c) for c in types], list(types))
+                            rows, size = [], 0
                 except WalError as e:
                     if mode == "FAILFAST":
                         raise
-                    rows.append(dict.fromkeys(names) | {"file": path, "pos": last, "error": str(e)})
-                out = pd.DataFrame(rows, columns=names, dtype=object)
-                for c in ("tx", "series_id", "block_id"):
-                    out[c] = out[c].map(_decimal)
-                out["ts"] = out["ts"].map(lambda ts: None if ts is None else [_decimal(t) for t in ts])
-                yield out
+                    rows.append({"file": path, "pos": last, "error": str(e)})
+                yield pa.RecordBatch.from_arrays([column(rows, c) for c in types], list(types))
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path).select("path", "content").mapInPandas(run, SCHEMA)
-
-
-def _decimal(x):
-    from decimal import Decimal
-
-    return None if x is None else Decimal(int(x))
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.log").load(path).select("path", "content").mapInArrow(run, SCHEMA)
 
 
 def headers(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
@@ -155,19 +193,31 @@ def inspected(log: DataFrame) -> DataFrame:
     return log.select("file", "pos", "len", F.lower(F.lpad(F.hex("crc"), 8, "0")).alias("crc"), "tag", "tx", "series_id", "block_id", F.size("ts").alias("samples"), "error")
 
 
-def samples(log: DataFrame, series: DataFrame) -> DataFrame:
-    """One row a sample of the log's writes, decoded by the storage type of
-    their series: series_id, block_id, ts_ms, value (double), quality, tx, pos.
-    64-bit integers beyond 2**53 need ``values_of`` instead."""
-    typed = log.where("tag = 'WRITE'").join(series.select(F.col("series_id").cast("decimal(20,0)").alias("series_id"), "storage_type"), "series_id")
+def samples(log: DataFrame, series: DataFrame, kind: str = "real") -> DataFrame:
+    """One row a sample of the log's writes to the series of one kind of
+    ``values.KINDS``, decoded by their storage type: series_id, block_id, ts_ms,
+    value, quality, tx, pos."""
+    known = series.where(values.kind_of(F.col("storage_type")) == kind).select(F.col("series_id").cast("decimal(20,0)").alias("series_id"), "storage_type")
+    typed = log.where("tag = 'WRITE'").join(known, "series_id")
+    longs = [F.col(c).cast("long").alias(c) for c in ("series_id", "block_id", "tx")]
+    wide = pa.float64() if kind == "real" else pa.decimal128(20, 0)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            for r in rows.itertuples():
-                values = values_of(r.value_bytes, r.storage_type)
-                yield pd.DataFrame({"series_id": int(r.series_id), "block_id": int(r.block_id), "ts_ms": [int(t) for t in r.ts], "value": values.astype("float64"), "quality": [int(q) for q in r.qs], "tx": int(r.tx), "pos": range(len(values))})
+    def numbers(data: bytes, storage: str) -> pa.Array:
+        x = values_of(data, storage)
+        if kind == "real":
+            return pa.array(x.astype(np.float64))
+        return pa.array([Decimal(v) for v in x.tolist()], wide) if storage == "uint64" else pa.array(x.astype(np.int64)).cast(wide)
 
-    return typed.select("series_id", "block_id", "ts", "value_bytes", "qs", "tx", "storage_type").mapInPandas(run, "series_id long, block_id long, ts_ms long, value double, quality int, tx long, pos int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, (data, storage) in enumerate(zip(batch.column("value_bytes"), batch.column("storage_type").to_pylist(), strict=True)):
+                ts, qs = batch.column("ts")[i].values, batch.column("qs")[i].values
+                n = len(ts)
+                same = [pa.array(np.full(n, batch.column(c)[i].as_py(), np.int64)) for c in ("series_id", "block_id", "tx")]
+                yield pa.RecordBatch.from_arrays([same[0], same[1], ts, numbers(data.as_py(), storage), qs.cast(pa.int32()), same[2], pa.array(np.arange(n, dtype=np.int32))], ["series_id", "block_id", "ts_ms", "value", "quality", "tx", "pos"])
+
+    rows = typed.select(*longs, "ts", "value_bytes", "qs", "storage_type")
+    return rows.mapInArrow(run, f"series_id long, block_id long, ts_ms long, value {values.KINDS[kind]}, quality int, tx long, pos int")
 
 
 def values_of(data: bytes, storage: str) -> np.ndarray:
@@ -176,32 +226,65 @@ def values_of(data: bytes, storage: str) -> np.ndarray:
     return np.frombuffer(data, DTYPES[storage])
 
 
+def _files(folder: str):
+    """The file system of a folder, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+
+
 def write(parts: DataFrame, folder: str, storage: str, rotate_bytes: int = 128 * 2**20) -> DataFrame:
     """Append log files for rows (tag, tx, series_id, block_id, ts, values, qs)
-    of one storage type to a folder that all executors share; returns
-    (file, frames). A file is closed when it exceeds ``rotate_bytes``, and each
-    has its own name, so tasks and retries don't meet."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, size, n, name = None, 0, 0, ""
-        for rows in batches:
-            for r in rows.itertuples():
-                payload = write_payload(r.tx, r.series_id, r.block_id, r.ts, r.values, r.qs, storage) if r.tag == "WRITE" else flush_payload(r.tx, r.series_id, r.block_id)
+    of one storage type to a folder that all executors share (a path or a URI
+    of a file system that pyarrow knows); returns (file, frames). A file is
+    closed when it exceeds ``rotate_bytes``. Rows are taken in the order of tx,
+    so a task that is tried again writes the same files over its first ones."""
+    job = uuid.uuid4().hex
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, at = _files(folder)
+        files.create_dir(at, recursive=True)
+        task = TaskContext.get()
+        done: list[tuple[str, int]] = []
+        out, size, n = None, 0, 0
+        hidden = f"{at}/.{job}-{task.partitionId():06d}-{task.taskAttemptId()}"
+
+        def close() -> None:
+            out.close()
+            name = f"{job}-{task.partitionId():06d}-{len(done):04d}.log"
+            files.move(f"{hidden}.{len(done)}", f"{at}/{name}")
+            done.append((name, n))
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                payload = write_payload(r["tx"], r["series_id"], r["block_id"], r["ts"], r["values"], r["qs"], storage) if r["tag"] == "WRITE" else flush_payload(r["tx"], r["series_id"], r["block_id"])
                 if out is None:
-                    name, size, n = os.path.join(folder, f"{uuid.uuid4().hex}.log"), 0, 0
-                    out = open(name, "wb")  # noqa: SIM115
-                size += out.write(framed(payload))
-                n += 1
+                    out, size, n = files.open_output_stream(f"{hidden}.{len(done)}"), 0, 0
+                frame = framed(payload)
+                out.write(frame)
+                size, n = size + len(frame), n + 1
                 if size > rotate_bytes:
-                    out.flush()
-                    os.fsync(out.fileno())
-                    out.close()
+                    close()
                     out = None
-                    yield pd.DataFrame({"file": [name], "frames": [n]})
         if out is not None:
-            out.flush()
-            os.fsync(out.fileno())
-            out.close()
-            yield pd.DataFrame({"file": [name], "frames": [n]})
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["file", "frames"])
+
+    ordered = parts.select("tag", "tx", "series_id", "block_id", "ts", F.col("values").alias("values"), "qs").sortWithinPartitions("tx", "series_id", "block_id", "tag")
+    return ordered.mapInArrow(run, "file string, frames long")
+
+
+def listed(folder: str) -> list[str]:
+    """The names of the complete log files in a folder."""
+    from pyarrow import fs
+
+    files, at = _files(folder)
+    return sorted(f.base_name for f in files.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".log") and not f.base_name.startswith("."))
+
 
-    return parts.select("tag", "tx", "series_id", "block_id", "ts", F.col("values").alias("values"), "qs").mapInPandas(run, "file string, frames long")
+def cleaned(folder: str, names: list[str]) -> None:
+    """Remove log files whose writes are stored: those that were listed before
+    a recovery or a flush of everything began. Later files stay."""
+    files, at = _files(folder)
+    for name in names:
+        files.delete_file(f"{at}/{name}")

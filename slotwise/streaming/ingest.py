@@ -2,53 +2,82 @@
 
 Late data is never dropped, so there is no watermark: each micro-batch appends
 its accepted samples, then recomputes the summaries of the blocks that it
-touched from all their samples. Appending a batch again after a crash changes
-nothing, since a slot goes to the largest (tx, pos) and a repeated write has
-the same.
+touched from all their samples. Requests are ordered by arrival: by batch, by
+the time and path of their file, and by their place in it. The order is the
+same when a batch is tried again, so appending its samples twice changes
+nothing: a slot goes to the largest (tx, pos), and a repeated write has the
+same. Series of floats and of whole numbers are kept apart (``values.KINDS``),
+so that 64-bit integers stay exact.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from slotwise.functions import grid
+from slotwise.functions import grid, values
 from slotwise.operators import blocks, ingest
 from slotwise.sources import store
 
+MOST_FILES = 1000  # in a batch
+STEP = 2**30  # requests in a file, at most
+
+
+def arrived(batch: DataFrame, batch_id: int) -> DataFrame:
+    """The batch with ``tx``, which rises in the order of arrival. The windows
+    run over the batch's files, and over the requests of one file."""
+    by_time = Window.orderBy("file_modification_time", "file_path")
+    files = batch.select("file_modification_time", "file_path").distinct().withColumn("number", F.row_number().over(by_time))
+    in_file = Window.partitionBy("file_path").orderBy("file_block_start", "place")
+    rows = batch.withColumn("place", F.monotonically_increasing_id()).withColumn("row", F.row_number().over(in_file))
+    tx = F.lit(batch_id).cast("long") * (1024 * STEP) + F.col("number").cast("long") * STEP + F.col("row")
+    return rows.join(F.broadcast(files.select("file_path", "number")), "file_path").withColumn("tx", tx).select("tx", "series", "type", "ts", "qs", "values")
+
 
 def accept(batch: DataFrame, batch_id: int, series: DataFrame, folder: str) -> None:
     """One micro-batch: rejects, samples, summaries of the touched blocks."""
-    spark = batch.sparkSession
-    # within a batch the content decides the order, so a retry gives the same
-    content = F.xxhash64("series", "type", "ts", "qs", "values")
-    tx = F.lit(batch_id).cast("long") * 2**40 + F.pmod(content, F.lit(2**40))
-    judged = ingest.validated(batch.withColumn("tx", tx), series).persist()
+    judged = ingest.validated(arrived(batch, batch_id), series).persist()
     try:
-        judged.where("reason is not null").select(F.lit(batch_id).alias("batch"), "tx", "series", "reason").write.mode("append").parquet(f"{folder}/rejects")
-        placed = ingest.placed_by_catalog(ingest.samples(judged.where("reason is null")), series)
-        store.write_samples(placed.select("series_id", "block_id", "slot", "ts_ms", "value", "quality", "tx", "pos"), f"{folder}/samples")
-        touched = placed.select(*blocks.KEY).distinct()
-        geometry = series.select("series_id", grid.block_slots(grid.duration_ms(F.col("block_len"), F.col("block_res")), grid.duration_ms(F.col("sample_len"), F.col("sample_res"))).alias("slots"))
-        held = spark.read.parquet(f"{folder}/samples").join(touched, list(blocks.KEY), "left_semi")
-        last = ingest.last_writes(held).join(geometry, "series_id")
-        summary = blocks.summaries(last, F.col("slots")).withColumn("version", F.lit(batch_id).cast("long"))
-        summary.write.mode("append").parquet(f"{folder}/summaries")
+        # a folder for each batch, so that a retry replaces its rejects
+        judged.where("reason is not null").select("tx", "series", "reason").write.mode("overwrite").parquet(f"{folder}/rejects/batch={batch_id}")
+        good = judged.where("reason is null")
+        for kind in values.KINDS:
+            _store(ingest.placed_by_catalog(ingest.samples(good, kind), series), batch_id, series, f"{folder}/{kind}")
     finally:
         judged.unpersist()
 
 
-def start(spark: SparkSession, source: str, series: DataFrame, folder: str, checkpoint: str, once: bool = False, files_per_batch: int = 1000) -> StreamingQuery:
+def _store(placed: DataFrame, batch_id: int, series: DataFrame, folder: str) -> None:
+    spark = placed.sparkSession
+    bucket = (F.col("series_id") % store.BUCKETS).cast("int").alias("bucket")
+    touched = placed.select(bucket, *blocks.KEY).distinct()
+    # what is read again is pruned by folder and by row group: at most BUCKETS numbers and two ends come here
+    reach = touched.agg(F.collect_set("bucket").alias("buckets"), F.min("block_id").alias("low"), F.max("block_id").alias("high")).first()
+    if not reach["buckets"]:
+        return
+    store.write_samples(placed.select("series_id", "block_id", "slot", "ts_ms", "value", "quality", "tx", "pos"), f"{folder}/samples")
+    near = F.col("bucket").isin(*sorted(reach["buckets"])) & F.col("block_id").between(reach["low"], reach["high"])
+    held = spark.read.parquet(f"{folder}/samples").where(near).join(touched, ["bucket", *blocks.KEY], "left_semi")
+    geometry = series.select("series_id", grid.block_slots(grid.duration_ms(F.col("block_len"), F.col("block_res")), grid.duration_ms(F.col("sample_len"), F.col("sample_res"))).alias("slots"))
+    last = ingest.last_writes(held).join(geometry, "series_id")
+    summary = blocks.summaries(last, F.col("slots")).withColumn("version", F.lit(batch_id).cast("long"))
+    summary.write.mode("append").parquet(f"{folder}/summaries")
+
+
+def start(spark: SparkSession, source: str, series: DataFrame, folder: str, checkpoint: str, once: bool = False, files_per_batch: int = MOST_FILES) -> StreamingQuery:
     """Ingest JSON request files from ``source`` as they arrive; ``once`` takes
     what is there and ends."""
-    requests = spark.readStream.schema(ingest.REQUEST).option("maxFilesPerTrigger", files_per_batch).json(source)
+    if not 0 < files_per_batch <= MOST_FILES:
+        raise ValueError(f"files_per_batch {files_per_batch}; from 1 to {MOST_FILES}")
+    reader = spark.readStream.schema(ingest.REQUEST).option("maxFilesPerTrigger", files_per_batch).json(source)
+    requests = reader.select("*", *(f"_metadata.{c}" for c in store.ORIGIN))
     writer = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, i: accept(b, i, series, folder))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
-def current_summaries(spark: SparkSession, folder: str) -> DataFrame:
-    """The newest summary of each block."""
-    rows = spark.read.parquet(f"{folder}/summaries")
+def current_summaries(spark: SparkSession, folder: str, kind: str = "real") -> DataFrame:
+    """The newest summary of each block of the series of one kind."""
+    rows = spark.read.parquet(f"{folder}/{kind}/summaries")
     names = [c for c in rows.columns if c not in blocks.KEY]
     return rows.groupBy(*blocks.KEY).agg(F.max_by(F.struct(*names), "version").alias("r")).select(*blocks.KEY, "r.*")

@@ -4,7 +4,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from slotwise.functions import slices
 from slotwise.operators import blocks, catalog, ingest, ranges
+from slotwise.operators.errors import RequestError
 
 BLOCK, SAMPLE, SLOTS = 10_000, 1000, 10
 ROW = "series_id long, ts_ms long, value double, quality int, tx long, pos int"
@@ -48,13 +50,27 @@ def test_backfill_and_delete(spark):
     ([1], [300], [1.0], "bad element"), (None, [192], [1.0], "missing array"), ([None], [192], [1.0], "bad element"),
 ])
 def test_validation(spark, ts, qs, values, reason):
-    rows = spark.createDataFrame([(1, 1, "F64", ts, qs, values)], "tx long, " + ingest.REQUEST)
+    rows = spark.createDataFrame([(1, 1, "F64", ts, qs, values)], "tx long, " + ingest.REQUEST.replace("values array<string>", "values array<double>"))
     assert rows.select(ingest.refusal()).first()[0] == reason
+    text = rows.withColumn("values", F.col("values").cast("array<string>"))
+    assert text.select(ingest.refusal(text=True)).first()[0] == reason
+
+
+@pytest.mark.parametrize(("tag", "value", "good"), [
+    ("Enum", "255", True), ("Enum", "300", False), ("Enum", "-3", False), ("I32", "1.5", False), ("I32", "1000000000000", False), ("I32", "-2147483648", True), ("I64", "9223372036854775807", True),
+    ("I64", "9223372036854775808", False), ("U64", "18446744073709551615", True), ("U64", "-1", False), ("U32", "4294967296", False), ("F64", "1e300", True), ("F32", "1e300", False), ("F64", "NaN", False), ("F64", "x", False),
+])
+def test_values_fit_their_type(spark, tag, value, good):
+    rows = spark.createDataFrame([(1, 1, tag, [1], [192], [value])], "tx long, " + ingest.REQUEST)
+    assert rows.select(ingest.refusal(text=True)).first()[0] == (None if good else "bad element")
+    if value not in ("x", "9223372036854775808", "18446744073709551615"):
+        numbers = rows.withColumn("values", F.col("values").cast("array<double>"))
+        assert numbers.select(ingest.refusal()).first()[0] == (None if good or value == "9223372036854775807" else "bad element") or value == "9223372036854775807"
 
 
 def test_lookup(spark):
     series = spark.createDataFrame([(1, "float64")], "series_id long, storage_type string")
-    rows = spark.createDataFrame([(1, 1, "f64", [1], [192], [1.0]), (2, 1, "I32", [1], [192], [1.0]), (3, 9, "F64", [1], [192], [1.0])], "tx long, " + ingest.REQUEST)
+    rows = spark.createDataFrame([(1, 1, "f64", [1], [192], ["1.0"]), (2, 1, "I32", [1], [192], ["1"]), (3, 9, "F64", [1], [192], ["1.0"])], "tx long, " + ingest.REQUEST)
     assert [r["reason"] for r in ingest.validated(rows, series).orderBy("tx").collect()] == [None, "type mismatch", "unknown series"]
 
 
@@ -73,8 +89,27 @@ def test_densify_and_back(spark):
     assert all(len(r["values"]) == SLOTS for r in dense.collect())
     assert sorted(map(tuple, blocks.sparse(dense).collect())) == sorted(map(tuple, rows.select("series_id", "block_id", "slot", "value", "quality").collect()))
     assert blocks.read_block(rows, 9, 0, SLOTS).count() == 0
-    text = blocks.block_json(blocks.summaries(rows, SLOTS), dense).where("series_id = 2").first()["block"]
-    assert text.startswith('[{"count_non_missing":1') and text.endswith("[128,0,128,128,128,128,128,128,128,128]]")
+    series = spark.createDataFrame([(1, "float64"), (2, "float64")], "series_id long, storage_type string")
+    text = blocks.block_json(blocks.summaries(rows, SLOTS), dense, series).where("series_id = 2").first()["block"]
+    assert text.startswith('{"F64Block":[{"count_non_missing":1') and text.endswith("[128,0,128,128,128,128,128,128,128,128]]}")
+    more = blocks.densified(rows, SLOTS, spark.createDataFrame([(1, 0), (5, 5)], "series_id long, block_id long"))
+    assert more.count() == 3 * SLOTS and {tuple(r) for r in more.where("series_id = 5").select("value", "quality").collect()} == {(0.0, 128)}
+    with pytest.raises(RequestError) as e:
+        blocks.wanted_block(rows, 9, 0)
+    assert e.value.status == 404 == ingest.STATUS["unknown block"]
+
+
+def test_sums_keep_their_digits(spark):
+    """Small, large and 64-bit whole values: no sum is rounded to some decimals."""
+    small = blocks.summaries(slots(spark, [(1, t * 1000, 0.004, 192, 1, t) for t in range(10)]), SLOTS).first()
+    assert small["sum_val"] == pytest.approx(0.04, rel=1e-12)
+    large = slots(spark, [(1, 0, 1e300, 192, 1, 0), (1, 1000, 1e300, 192, 1, 1)])
+    assert blocks.summaries(large, SLOTS).first()["sum_val"] == 2e300
+    assert ranges.aggregate(large, 0, 10_000, BLOCK, SAMPLE).first()["avg_val"] == 1e300
+    whole = large.withColumn("value", F.lit(2**63 - 1).cast("long"))
+    assert int(blocks.summaries(whole, SLOTS).first()["sum_val"]) == 2 * (2**63 - 1)
+    wide = large.withColumn("value", F.lit(str(2**64 - 1)).cast("decimal(20,0)"))
+    assert int(ranges.aggregate_from_summaries(blocks.summaries(wide, SLOTS), wide, 0, 10_000, BLOCK, SAMPLE).first()["sum_val"]) == 2 * (2**64 - 1)
 
 
 @pytest.mark.parametrize(("low", "high"), [(0, 60_000), (3500, 47_200), (10_000, 20_000), (12_000, 13_000), (9_999, 10_001), (5_000, 25_000)])
@@ -86,9 +121,25 @@ def test_fold_law(spark, low, high):
     assert sorted(map(str, full.collect())) == sorted(map(str, fast.collect()))
 
 
-def test_routes_and_versions(spark):
+def test_slices_hold_their_order(spark):
+    r = random.Random(4)
+    rows = spark.createDataFrame([(10**12 if i == 0 else r.randrange(50), i) for i in range(1000)], "t long, i long")
+    points = slices.cuts(rows, ("t", "i"), 50)
+    found = rows.withColumn("slice", slices.slice_of(("t", "i"), points)).collect()
+    assert all(x["slice"] == sum(p <= (x["t"], x["i"]) for p in points) for x in found)
+    sizes = [sum(x["slice"] == k for x in found) for k in range(len(points) + 1)]
+    assert len(sizes) == 20 and max(sizes) <= 51
+    assert slices.cuts(rows.limit(0), ("t", "i"), 50) == []
+
+
+def test_routes_and_versions(spark, monkeypatch):
     parts = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (1, 3, 6), (1, 4, 2)], "series_id long, tx long, block_id long")
     assert [r["route"] for r in ingest.routed(parts).orderBy("tx").collect()] == ["start", "append", "rotate", "cold"]
+    r = random.Random(3)
+    many = spark.createDataFrame([(r.choice((1, 1, 1, 2)), tx, r.randrange(30)) for tx in range(400)], "series_id long, tx long, block_id long")
+    whole = sorted(map(tuple, ingest.routed(many).collect()))
+    monkeypatch.setattr(ingest, "ROUTE_ROWS", 7)
+    assert sorted(map(tuple, ingest.routed(many).collect())) == whole
     catalog_rows = spark.createDataFrame([(1, 5, 1, "a"), (1, 5, 2, "b")], "series_id long, block_id long, version long, object_key string")
     assert [(r["previous_key"], r["is_current"]) for r in blocks.version_chain(catalog_rows).orderBy("version").collect()] == [(None, False), ("a", True)]
     assert blocks.upserted(catalog_rows.where("version = 1"), catalog_rows.where("version = 2")).first()["object_key"] == "b"

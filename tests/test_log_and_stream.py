@@ -1,4 +1,7 @@
 import json
+import os
+import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,7 +12,15 @@ from slotwise.streaming import ingest as stream
 
 
 def test_checksum():
-    assert wal.crc32c(b"123456789") == 0xE3069283
+    assert wal.crc32c(b"123456789") == 0xE3069283 and wal.crc32c(b"") == 0 and wal.crc32c(bytes(32)) == 0x8A9136AA
+    r = random.Random(1)
+    for n in (1, 2, 3, 15, 16, 17, 100, 1023, 5000):
+        data, state = r.randbytes(n), 0xFFFFFFFF
+        for b in data:  # bit by bit
+            state ^= b
+            for _ in range(8):
+                state = state >> 1 ^ (0x82F63B78 if state & 1 else 0)
+        assert wal.crc32c(data) == state ^ 0xFFFFFFFF
 
 
 def entry(tx, series=7, block=3, values=(1.5, 2.5)):
@@ -48,6 +59,48 @@ def test_log_sink(spark, tmp_path):
     written = wal.write(parts, str(tmp_path), "float64", rotate_bytes=10).collect()
     assert sum(r["frames"] for r in written) == 2
     assert wal.read(spark, str(tmp_path)).count() == 2
+    assert sorted(wal.listed(str(tmp_path))) == sorted(p.name for p in tmp_path.iterdir())
+
+
+def test_log_of_whole_numbers_and_cleaning(spark, tmp_path):
+    """64-bit integers come back as they were; after a recovery the files that
+    were there are removed, and later ones stay."""
+    folder, top = str(tmp_path / "log"), 2**64 - 1
+    parts = spark.createDataFrame([("WRITE", 1, 7, 0, [1000, 2000], [Decimal(top), Decimal(5)], [192, 64])], "tag string, tx long, series_id long, block_id long, ts array<long>, values array<decimal(20,0)>, qs array<int>")
+    wal.write(parts, folder, "uint64").collect()
+    series = spark.createDataFrame([(7, "uint64"), (8, "float64")], "series_id long, storage_type string")
+    log, names = wal.read(spark, folder), wal.listed(folder)
+    rows = wal.samples(ingest.pending(log), series, "whole")
+    assert sorted((int(r["value"]), r["quality"]) for r in rows.collect()) == [(5, 64), (top, 192)]
+    assert wal.samples(log, series, "real").count() == 0
+    (tmp_path / "log" / "later.log").write_bytes(entry(9))
+    wal.cleaned(folder, names)
+    assert wal.listed(folder) == ["later.log"] and [int(r["tx"]) for r in wal.read(spark, folder).collect()] == [9]
+
+
+def test_segments(spark, tmp_path):
+    """A segment is one file; late samples rewrite their own segments only."""
+    kinds = "series_id long, block_id long, slot int, value double, quality int, tx long, pos int"
+    rows = spark.createDataFrame([(s, b, i, 1.0, 192, 1, i) for s in (1, 2) for b in range(6) for i in range(3)], kinds)
+    path = str(tmp_path / "segments")
+    store.write_segments(rows, path, 3)
+    files = lambda: {(r["bucket"], r["segment"], r["object_path"]) for r in store.with_object_path(spark.read.parquet(path)).select("bucket", "segment", "object_path").distinct().collect()}
+    before = files()
+    assert len(before) == 4
+    late = spark.createDataFrame([(1, 4, 0, 9.0, 192, 2, 0), (1, 9, 0, 5.0, 192, 2, 0)], kinds)
+    store.rewrite_segments(spark, path, late, 3)
+    after = files()
+    assert {x for x in before if x[:2] != (1, 1)} < after and len(after) == 5
+    found = spark.read.parquet(path)
+    assert found.count() == 37 and sorted(r["value"] for r in found.where("series_id = 1 and block_id = 4").collect()) == [1.0, 1.0, 9.0]
+
+
+def test_codec_of_a_series(spark, tmp_path):
+    rows = spark.createDataFrame([(s, 0, 0, 1.0, 192, 1, 0) for s in (1, 2, 3)], "series_id long, block_id long, slot int, value double, quality int, tx long, pos int")
+    series = spark.createDataFrame([(1, "gzip"), (2, None), (3, "odd")], "series_id long, codec string")
+    store.write_samples_by_codec(rows, series, str(tmp_path))
+    names = {int(str(p.parent).rsplit("=", 1)[1]): p.name.split(".")[-2] for p in tmp_path.rglob("*.parquet")}
+    assert names == {1: "gz", 2: "zstd", 3: "zstd"} and spark.read.parquet(str(tmp_path)).count() == 3
 
 
 def test_store(spark, tmp_path):
@@ -70,9 +123,42 @@ def test_stream_equals_batch(spark, tmp_path):
         (source / f"{i}.json").write_text(json.dumps(r))
         query = stream.start(spark, str(source), series, str(folder), str(tmp_path / "ck"), once=True)
         query.awaitTermination()
-    stored = ingest.last_writes(spark.read.parquet(f"{folder}/samples"))
+    stored = ingest.last_writes(spark.read.parquet(f"{folder}/real/samples"))
     expected = blocks.summaries(stored, 10)
     now = stream.current_summaries(spark, str(folder)).drop("version")
     assert sorted(map(str, now.select(expected.columns).collect())) == sorted(map(str, expected.collect()))
     assert sorted(r["reason"] for r in spark.read.parquet(f"{folder}/rejects").collect()) == ["timestamps not sorted", "unknown series"]
     assert now.count() == 3
+
+
+GEOMETRY = "series_id long, storage_type string, block_len long, block_res string, sample_len long, sample_res string"
+
+
+def test_requests_of_one_batch_keep_their_order(spark, tmp_path):
+    """Two requests in one file, and two files of one batch, that write one
+    slot: the later one wins. 64-bit integers stay whole."""
+    source, folder = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    series = spark.createDataFrame([(1, "float64", 10, "s", 1, "s"), (2, "uint64", 10, "s", 1, "s")], GEOMETRY)
+    line = lambda s, t, kind, v: json.dumps({"series": s, "ts": [t], "qs": [192], "type": kind, "values": [v]})
+    for name, when, values in (("b", 1_000_000_000, (7.0, 8.0, 3.0)), ("a", 1_000_000_060, (1.0, 9.0, 2.0))):
+        path = source / f"{name}.json"
+        path.write_text("\n".join([*(line(1, 1000, "F64", v) for v in values), line(2, 5000, "U64", 2**64 - 1)]))
+        os.utime(path, (when, when))
+    stream.start(spark, str(source), series, folder, str(tmp_path / "ck"), once=True).awaitTermination()
+    assert [r["value"] for r in ingest.last_writes(spark.read.parquet(f"{folder}/real/samples")).collect()] == [2.0]
+    assert int(stream.current_summaries(spark, folder, "whole").first()["max_val"]) == 2**64 - 1
+
+
+def test_a_batch_tried_again_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    series = spark.createDataFrame([(1, "float64", 10, "s", 1, "s")], GEOMETRY)
+    rows = [(1, "F64", [1000], [192], ["1.5"], "f1", None, 0), (1, "F64", [1000], [192], ["2.5"], "f1", None, 0), (9, "F64", [1], [192], ["1"], "f2", None, 0)]
+    batch = spark.createDataFrame(rows, ingest.REQUEST + ", file_path string, file_modification_time timestamp, file_block_start long").coalesce(1)
+    states = []
+    for _ in range(2):
+        stream.accept(batch, 5, series, folder)
+        states.append((stream.current_summaries(spark, folder).collect(), spark.read.parquet(f"{folder}/rejects").collect()))
+    assert states[0] == states[1] and states[0][0][0]["max_val"] == 2.5 and len(states[0][1]) == 1
+    with pytest.raises(ValueError, match="files_per_batch"):
+        stream.start(spark, folder, series, folder, folder, files_per_batch=0)
