@@ -1,14 +1,17 @@
 """Toxicity of texts that may be disguised: a noisy channel restores words that
-are written in leetspeak, spaced out or stretched, and a lexicon learned from
-labels scores the restored text.
+are written in leetspeak, spaced out or stretched, and a linear model over the
+words of the restored text, learned from labels, scores it.
 
 The channel is a lattice: each written character may stand for itself or for
-the letters that it looks like, separators inside a word may be nothing, and a
-stretched letter may stand for one or two. Viterbi decoding picks the most
-likely path under a character trigram model, counted over all documents. The
-lexicon holds words and word beginnings that occur in toxic documents; a text
-is as toxic as its strongest word, and the strength is calibrated by isotonic
-regression on documents that the lexicon has not seen.
+the letters that it looks like, a separator inside a word may be nothing or the
+end of a word, so may the blank between short pieces, and a stretched letter
+may stand for one or two. Viterbi decoding picks the most likely path under a
+character trigram model, counted over all documents. The model's weights are
+log ratios of how often a word, or a beginning of words, occurs in toxic and in
+other documents; every other word has one small negative weight. A text's
+strength is the sum over its distinct words. The negative weight is chosen, and
+the strength calibrated by isotonic regression, on documents that the weights
+have not seen.
 """
 
 from __future__ import annotations
@@ -28,17 +31,18 @@ from slotwise.llm import labelled
 from slotwise.llm.common import added, blocks_of, documents
 
 #: Letters that a written character may stand for.
-LOOKS = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz"}
-SELF, LOOK, DROP = math.log(0.9), math.log(0.05), math.log(0.02)
+LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "abcdefghijklmnopqrstuvwxyz"}
+SELF, LOOK, DROP, END = math.log(0.9), math.log(0.05), math.log(0.02), math.log(0.02)
+GAP = math.log(0.5)  # a blank between short pieces: the end of a word, or nothing
 LETTERS = 60  # codes: 0 none, 1-26 a to z, 27-58 U+00E0 to U+00FF, 59 other letters
 PREFIXES = (4, 5, 6, 7)
 LEAST_RATIO = 4.0  # a unit's share of toxic documents to its share of others, at least
 LEAST_TOXIC = 3  # toxic documents that a unit of the lexicon occurs in, at least
-UNITS = 50_000  # units of the lexicon, at most
-KEPT = 300_000  # words whose strength a task keeps before it starts anew
-LONGEST = 64  # characters of a token that is decoded; a longer one is no disguised word
-INSIDE = re.compile(r"[^\W\d_][0-9@$!|+(*]+[^\W\d_]|^[@$0-9|!(*]+[^\W\d_]{2}|([^\W\d_])\1\1|^(?:[^\W\d_][._\-*~]){3,}[^\W\d_]$")
+NEUTRAL = (0.0, 0.01, 0.02, 0.035, 0.05, 0.075, 0.1)  # what a word without a weight may take away
+KEPT = 300_000  # tokens whose words a task keeps before it starts anew
+SHORT = 4  # characters of a token that belongs to a spaced-out word beside single ones, at most
 STRETCHED = re.compile(r"(.)\1\1")
+TRAILING = ".,;:?\"'”’»)]}…"
 EDGES = "".join(chr(i) for i in range(128) if not chr(i).isalnum()) + "¿¡«»“”„’‘…–—"
 
 _CODES = np.zeros(0x250, np.uint8)
@@ -78,54 +82,80 @@ def language_model(count: np.ndarray) -> np.ndarray:
     return np.log((count + 20 * pair[None]) / (count.sum(-1, keepdims=True) + 20))
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The likeliest word behind a token, by Viterbi decoding of its lattice;
-    the states are the last two letters."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c, run in groupby(token):
+def _code(c: str) -> int:
+    point = ord(c)
+    return int(_CODES[point]) if point < len(_CODES) else 59
+
+
+def restore(written: str, model: list) -> str:
+    """The likeliest words behind what is written, by Viterbi decoding of its
+    lattice in time linear in its length; the states are the last two letters,
+    the second one 0 after the end of a word. Blanks in it are gaps between
+    the pieces of a spaced-out word, or between words."""
+    paths: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(0, 0): (0.0, None, "")}
+    for c, run in groupby(written):
         n = len(list(run))
-        options: list[tuple[str, float]] = []  # what the run stands for, and the channel's log probability
-        as_letters = [(c, SELF)] if c.isalpha() else [(x, LOOK) for x in LOOKS.get(c, "")]
-        for x, p in as_letters:
-            options += [(x * k, p if k == n else p + DROP) for k in ((n,) if n < 3 else (1, 2))]
-        if not c.isalnum() and (c == "*" or c not in LOOKS):
-            options.append(("", DROP))
+        # what the run stands for as codes and letters, and the channel's log probability
+        options: list[tuple[tuple[int, ...], str, float]] = []
+        if c == " ":
+            options = [((), "", GAP), ((0,), " ", GAP)]
+        else:
+            for x, p in [(c, SELF)] if c.isalpha() else [(x, LOOK) for x in LOOKS.get(c, "")]:
+                k_code = _code(x)
+                options += [((k_code,) * k, x * k, p if k == n else p + DROP) for k in ((n,) if n < 3 else (1, 2))]
+            if not c.isalnum():
+                options += [((), "", DROP), ((0,), " ", END)]
         if not options:  # a digit that looks like no letter
             continue
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, word) in paths.items():
-            for letters, p in options:
-                s, u, v = score + p, a, b
-                for x in codes(letters).tolist():
-                    s, u, v = s + model[u, v, x], v, x
-                if (u, v) not in after or s > after[u, v][0]:
-                    after[u, v] = (s, word + letters)
+        after: dict[tuple[int, int], tuple[float, tuple | None, str]] = {}
+        for (a, b), path in paths.items():
+            for letters, text, p in options:
+                s, u, v = path[0] + p, a, b
+                if letters == (0,):
+                    if b:  # words end once; what follows starts anew
+                        s, u, v = s + model[u][v][0], 0, 0
+                else:
+                    for x in letters:
+                        s, u, v = s + model[u][v][x], v, x
+                held = after.get((u, v))
+                if held is None or s > held[0]:
+                    after[u, v] = (s, path, text)
         paths = after
-    return max((score + model[a, b, 0], word) for (a, b), (score, word) in paths.items())[1] if paths else ""
-
-
-def readings(token: str, model: np.ndarray) -> set[str]:
-    """The word of a lower-case token as it stands and, if it looks disguised,
-    as restored."""
+    best = max(((path[0] + (model[a][b][0] if b else 0.0), path) for (a, b), path in paths.items()), key=lambda e: e[0])[1]
+    out = []
+    while best[1] is not None:
+        out.append(best[2])
+        best = best[1]
+    return "".join(reversed(out))
+
+
+def readings(token: str, model: list) -> set[str]:
+    """The word of a lower-case token as it stands and, if it holds anything
+    but letters, or stretched ones, the words that it restores to. Blanks in a
+    token part the pieces of a spaced-out run."""
     if token.isalpha():
-        return {token, restore(token, model)} if STRETCHED.search(token) and len(token) <= LONGEST else {token}
-    found = {token.strip(EDGES)}
-    whole = token.rstrip(EDGES).lstrip(EDGES.replace("@", "").replace("$", "").replace("(", "").replace("|", "").replace("!", ""))
-    if len(whole) <= LONGEST and INSIDE.search(whole):
-        found.add(restore(whole, model))
+        return {token, *restore(token, model).split()} if STRETCHED.search(token) else {token}
+    found = {token.strip(EDGES)} if " " not in token else set()
+    whole = token.rstrip(TRAILING)
+    if any(c.isalpha() for c in whole) and not whole.isalpha() or sum(c in LOOKS for c in whole) > 2:
+        found.update(restore(whole, model).split())
     return found - {""}
 
 
 def tokens(text: str) -> set[str]:
-    """The distinct tokens of a lower-cased text; runs of four or more single
-    characters are one more token each."""
+    """The distinct tokens of a lower-cased text; each run of single characters,
+    with short tokens beside it, is one more token, with its blanks."""
     parts = text.lower().split()
     lengths = bytes(min(len(p), 255) for p in parts)
     found = set(parts)
-    if b"\x01\x01\x01" in lengths:
-        for run in re.finditer(rb"\x01{4,}|\x01{3,}(?=\x02)", lengths):
-            # the last letter may carry a comma or a point
-            found.add("".join(parts[run.start() : run.end() + (lengths[run.end() : run.end() + 1] == b"\x02")]))
+    if b"\x01\x01" in lengths:
+        for run in re.finditer(rb"\x01{2,}", lengths):
+            a, b = run.span()
+            # the last letter may carry a comma or a point; a word of one letter may stand at either end
+            low, high = a - (a > 0 and lengths[a - 1] <= SHORT), b + (b < len(parts) and lengths[b] <= SHORT)
+            for c, d in {(low, high), (a, high), (a + 1, high), (low, b), (low, b - 1)}:
+                if d - c > 2 and any(p.isalnum() for p in parts[c:d]):
+                    found.add(" ".join(parts[c:d]))
     return found
 
 
@@ -134,36 +164,41 @@ def units(word: str) -> list[str]:
     return [word, *(word[:k] + "-" for k in PREFIXES if len(word) > k)]
 
 
-def _units_of(text: str, model: np.ndarray) -> set[str]:
+def _units_of(text: str, model: list) -> set[str]:
     return {u for t in tokens(text) for w in readings(t, model) for u in units(w)}
 
 
 class Lexicon:
-    """Strength of each unit, and the calibration of a text's strongest one."""
+    """The weight of each unit, and the calibration of a text's strength."""
 
-    def __init__(self, model: np.ndarray, strength: dict[str, float], steps: np.ndarray | None):
-        self.model, self.strength, self.steps, self.kept = model, strength, steps, {}
+    def __init__(self, model: np.ndarray, strength: dict[str, float], steps: np.ndarray | None, neutral: float = 0.0):
+        self.model, self.strength, self.steps, self.neutral = model, strength, steps, neutral
+        self.rows = model.tolist()
+        self.kept: dict[str, tuple[tuple[str, float], ...]] = {}
         self.heads = {u[: PREFIXES[0]] for u in strength}
 
-    def of_token(self, token: str) -> float:
+    def of_token(self, token: str) -> tuple[tuple[str, float], ...]:
+        """The words behind a token that have a weight: that of their strongest unit."""
         if len(self.kept) > KEPT:
             self.kept.clear()
-        likely = (w for w in readings(token, self.model) if w[: PREFIXES[0]] in self.heads)
-        s = self.kept[token] = max((self.strength.get(u, 0.0) for w in likely for u in units(w)), default=0.0)
-        return s
-
-    def of_text(self, text: str) -> float:
-        kept, best = self.kept, 0.0
-        for t in tokens(text):
-            s = kept.get(t)
-            if s is None:
-                s = self.of_token(t)
-            if s > best:
-                best = s
-        return best
+        likely = (w for w in readings(token, self.rows) if w[: PREFIXES[0]] in self.heads)
+        known = ((w, max(self.strength.get(u, 0.0) for u in units(w))) for w in likely)
+        found = self.kept[token] = tuple((w, s) for w, s in known if s > 0)
+        return found
+
+    def of_text(self, text: str) -> tuple[float, int]:
+        """The sum of the weights of a text's words, and its distinct tokens."""
+        kept, words = self.kept, {}
+        every = tokens(text)
+        for t in every:
+            found = kept.get(t)
+            if found is None:
+                found = self.of_token(t)
+            words.update(found)
+        return sum(words.values()), len(every)
 
     def __getstate__(self):
-        return self.model, self.strength, self.steps
+        return self.model, self.strength, self.steps, self.neutral
 
     def __setstate__(self, state):
         self.__init__(*state)
@@ -171,13 +206,21 @@ class Lexicon:
     def score(self, text: str) -> float:
         if self.steps is None:
             return 0.5
-        s = self.of_text(text)
-        return float(0.999 * self.steps[place(s)] + 0.001 * min(s / 20, 1))
+        weight, n = self.of_text(text)
+        at = place(weight - self.neutral * n)
+        return float(0.999 * self.steps[at] + 0.001 * at / labelled.BINS)
 
 
 def place(strength: float) -> int:
-    """Calibration bin of a strength, a log ratio of 20 at most."""
-    return int(min(strength / 20, 0.999) * labelled.BINS)
+    """Calibration bin of a strength, in steps of its logarithm on either side."""
+    share = math.copysign(math.log1p(abs(strength)) / math.log1p(1000), strength)
+    return int(min(max(0.5 + share / 2, 0.0), 0.999) * labelled.BINS)
+
+
+def ranking(n: np.ndarray, positive: np.ndarray) -> float:
+    """Share of pairs of a positive and another one that the bins order rightly."""
+    below = np.cumsum(n - positive) - (n - positive) / 2
+    return float((positive * below).sum() / max(positive.sum() * (n.sum() - positive.sum()), 1))
 
 
 def _counts(rows: DataFrame, pick) -> DataFrame:
@@ -201,14 +244,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     context = docs.sparkSession.sparkContext
     rows = documents(docs)
     model = language_model(trigrams(rows))
-    shared = context.broadcast(model)
+    shared = context.broadcast(model.tolist())
     chosen = labelled.sample(labels, "toxic")
     known = rows.join(F.broadcast(chosen), "doc_id")  # of bounded size
     learn, tune = known.where("fold < 4"), known.where("fold = 4")
     kinds = {r["y"] >= 0.5: r["n"] for r in chosen.where("fold < 4").groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return Lexicon(model, {}, None)
-    found = _counts(learn.where("y >= 0.5"), lambda t: _units_of(t, shared.value)).where(F.col("toxic") >= LEAST_TOXIC).orderBy(F.desc("toxic"), "unit").limit(UNITS)
+    found = _counts(learn.where("y >= 0.5"), lambda t: _units_of(t, shared.value)).where(F.col("toxic") >= LEAST_TOXIC)  # of the bounded sample
     toxic = {r["unit"]: r["toxic"] for r in found.collect()}
     wanted = context.broadcast(frozenset(toxic))
     rest = {r["unit"]: r["rest"] for r in _counts(learn.where("y < 0.5"), lambda t: wanted.value & _units_of(t, shared.value)).collect()}
@@ -223,24 +266,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Lexicon:
     used = context.broadcast(lexicon)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, labelled.BINS))
+        total = np.zeros((2 * len(NEUTRAL), labelled.BINS))
         for batch in batches:
-            at = [place(used.value.of_text(x.as_py())) for x in batch.column("text")]
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            total += np.vstack([np.bincount(at, minlength=labelled.BINS), np.bincount(at, y, minlength=labelled.BINS)]) if at else 0
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
+                weight, n = used.value.of_text(text.as_py())
+                for i, c in enumerate(NEUTRAL):
+                    at = place(weight - c * n)
+                    total[2 * i, at] += 1
+                    total[2 * i + 1, at] += y
         yield blocks_of(total)
 
     tuned = added(tune.select("text", "y").mapInArrow(bins, "block int, values binary"))
-    lexicon.steps = labelled.isotonic(tuned[0], tuned[1]) if tuned and tuned[0].sum() else np.linspace(0, 1, labelled.BINS)
+    if tuned and tuned[0].sum():
+        best = max(range(len(NEUTRAL)), key=lambda i: ranking(tuned[2 * i], tuned[2 * i + 1]))
+        lexicon.neutral, lexicon.steps = NEUTRAL[best], labelled.isotonic(tuned[2 * best], tuned[2 * best + 1])
+    else:
+        lexicon.steps = np.linspace(0, 1, labelled.BINS)
     return lexicon
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document.
 
-    Null and empty texts have no words and so the lowest score; repeated rows
-    are scored alike; a null doc_id is not held out. Without labels of both
-    kinds every score is 0.5. An empty table gives no rows.
+    Null and empty texts have no words and so the lowest score; very long ones
+    are read whole; repeated rows are scored alike; a null doc_id is not held
+    out; further columns, whatever their names, play no part. Without labels of
+    both kinds every score is 0.5. An empty table gives no rows.
     """
     lexicon = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 

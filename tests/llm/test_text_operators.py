@@ -251,17 +251,60 @@ def model():
         c = [0, 0, *toxicity.codes(w).tolist(), 0]
         for x in zip(c, c[1:], c[2:]):
             count[x] += 1
-    return toxicity.language_model(count)
+    return toxicity.language_model(count).tolist()
 
 
-@pytest.mark.parametrize(("written", "meant"), [("1d10t", "idiot"), ("$tup1d", "stupid"), ("stuuupid", "stupid"), ("s.t.u.p.i.d", "stupid"), ("tr@sh", "trash"), ("l0ser", "loser"), ("w0rthl3ss", "worthless"), ("m0r0n!!", "moron"), ("p*thetic", "pathetic")])
+@pytest.mark.parametrize(("written", "meant"), [
+    ("1d10t", "idiot"), ("$tup1d", "stupid"), ("stuuupid", "stupid"), ("s.t.u.p.i.d", "stupid"), ("tr@sh", "trash"), ("l0ser", "loser"), ("w0rthl3ss", "worthless"), ("m0r0n!!", "moron"), ("p*thetic", "pathetic"),
+    ("idi07", "idiot"), ("st.upid", "stupid"), ("s-tupid", "stupid"), ("s.t.u.p.1.d", "stupid"), ("i d iot", "idiot"), ("a s t u p i d", "stupid"), ("the i d i o t", "idiot"), ("s" * 300 + "tupid", "stupid"), ("idiot.trash", "trash"), ("###trash", "trash"),
+])
 def test_restoring(model, written, meant):
-    assert meant in toxicity.readings(written, model)
+    assert meant in {w for t in toxicity.tokens("before xxxxxx " + written + " xxxxxx after") for w in toxicity.readings(t, model)} | toxicity.readings(written, model)
 
 
 def test_plain_words_stay(model):
     assert toxicity.readings("the,", model) == {"the"} and toxicity.readings("%%%", model) == set()
-    assert "idiot." in toxicity.tokens("an i d i o t. is")
+    assert "an i d i o t." in toxicity.tokens("an i d i o t. is") and "loser" not in toxicity.tokens("a loser")
+
+
+def test_decoding_equals_enumeration(model):
+    """The likeliest of all paths through the lattice, tried one by one."""
+    from itertools import groupby, product
+
+    def score(parts):
+        total, u, v = 0.0, 0, 0
+        for letters, p in parts:
+            total += p
+            if letters == " ":
+                if v:
+                    total, u, v = total + model[u][v][0], 0, 0
+                continue
+            for x in letters:
+                c = toxicity._code(x)
+                total, u, v = total + model[u][v][c], v, c
+        return total + (model[u][v][0] if v else 0.0)
+
+    r = random.Random(5)
+    for _ in range(150):
+        written = "".join(r.choice("stupid10t.-@l  ") for _ in range(r.randrange(1, 8))) + r.choice(["", "ooo", "iii"])
+        options = []
+        for c, run in groupby(written):
+            n = len(list(run))
+            mine = [(x * k, (toxicity.SELF if c.isalpha() else toxicity.LOOK) + (0 if k == n else toxicity.DROP)) for x in ([c] if c.isalpha() else toxicity.LOOKS.get(c, "")) for k in ((n,) if n < 3 else (1, 2))]
+            mine += [("", toxicity.GAP), (" ", toxicity.GAP)] if c == " " else [("", toxicity.DROP), (" ", toxicity.END)] if not c.isalnum() else []
+            if mine:
+                options.append(mine)
+        best = max(score(p) for p in product(*options))
+        got = toxicity.restore(written, model)
+        assert any("".join(t for t, _ in p) == got and score(p) == pytest.approx(best) for p in product(*options)), written
+
+
+def test_every_word_counts(spark):
+    """The strength is the sum over distinct words of their strongest unit."""
+    model = toxicity.language_model(np.zeros((toxicity.LETTERS,) * 3))
+    lexicon = toxicity.Lexicon(model, {"foul": 2.0, "foul-": 1.0, "vile": 3.0}, None, 0.5)
+    assert lexicon.of_text("Foul, foul fouler! vile x") == (6.0, 5)
+    assert toxicity.ranking(np.array([2, 2, 2.0]), np.array([0, 1, 2.0])) == pytest.approx((2 + 0.5 + 3 + 3) / 9)
 
 
 def test_isotonic():
@@ -271,6 +314,42 @@ def test_isotonic():
     assert (labelled.isotonic(np.zeros(3), np.zeros(3)) == 0.5).all()
 
 
+def test_fourier_features_approximate_the_kernel():
+    """Inner products of the features against the Gaussian kernel."""
+    g = np.random.default_rng(3)
+    x = g.normal(0, 1, (200, quality.WIDTH))
+    f = quality.fourier(x, np.zeros(quality.WIDTH), np.ones(quality.WIDTH))[:, :-1]
+    d = ((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    assert np.abs(f @ f.T - np.exp(-d / (2 * quality.WIDTH))).mean() < 0.06
+
+
+def test_partition_sums_give_the_ridge_solution(spark):
+    """The model from per-task sums is that of one plain least-squares solve
+    over all rows, whatever the partitions."""
+    r = random.Random(9)
+    rows, known = [], []
+    for i in range(400):
+        good = r.random() < 0.6
+        words = [r.choice("river bends under slow sky stone and the a".split()) for _ in range(r.randrange(5, 60))]
+        rows.append((i, " ".join(words if good else [w.upper() + "!!" for w in words])))
+        known.append((i, int(good)))
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(known, "doc_id long, quality int")
+    model = quality.fit(docs.repartition(7), labels)
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i, _ in rows}
+    learn = [i for i, _ in rows if 0 < fold[i] < 4]
+    x, y = np.array([quality.statistics(rows[i][1]) for i in learn]), np.array([known[i][1] for i in learn], float)
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0) + 1e-6, atol=1e-5)
+    z = quality.fourier(x, model.mean, model.scale)
+    n = len(learn)
+    plain = np.linalg.lstsq(np.vstack([z, np.sqrt(quality.RIDGE * n / quality.FEATURES) * np.eye(z.shape[1])]), np.r_[y, np.zeros(z.shape[1])], rcond=None)[0]
+    assert np.allclose(model.weights, plain, atol=1e-5)
+    tune = [i for i, _ in rows if fold[i] == 4]
+    raw = quality.fourier(np.array([quality.statistics(rows[i][1]) for i in tune]), model.mean, model.scale) @ plain
+    at = quality.place(raw, model.low, model.high)
+    n_bin, positive = np.bincount(at, minlength=labelled.BINS), np.bincount(at, [known[i][1] for i in tune], minlength=labelled.BINS)
+    assert np.allclose(model.steps, labelled.isotonic(n_bin, positive), atol=1e-6)
+
+
 @pytest.mark.parametrize(("kind", "module"), [("quality", quality), ("toxic", toxicity)])
 def test_classifier_edges(spark, edge_docs, no_docs, kind, module):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
