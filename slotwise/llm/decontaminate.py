@@ -4,17 +4,21 @@ exact edit verification over item-sized windows of words.
 The CGK embedding (Chakraborty, Goldenberg, Koucky 2016) walks over a string
 with a pointer that stays or advances by a random bit of (step, symbol), and
 writes the symbol under it at each step; strings at a small edit distance get
-embeddings at a small Hamming distance. Each repetition samples a few places of
-the embedding; a window whose samples all equal an item's is a candidate, and
-candidates are verified by exact edit distance. Windows start only where they
-can: by the q-gram lemma a window within the allowed distance shares a known
-number of word trigrams with the item, near one diagonal, so the others are
-passed over without loss.
+embeddings at a small Hamming distance. Each repetition has its own walk and
+samples a few places of the embedding. The items' samples are the keys of one
+hash table a repetition; every window of a document is looked up there by its
+own samples. The places lie in the first steps, which no item-sized window
+ends within, so one walk from a start serves the windows of all sizes; and an
+item is entered from every few of its words on, so that edits near its
+beginning don't hide it. Candidates are verified by exact edit distance, counted
+in words. The repetitions are as many as reach a target recall for items with
+all the edits allowed, measured by simulation on the items themselves.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,41 +27,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import documents
-from slotwise.llm.words import NOT_WORD, mix, word_hashes
+from slotwise.llm.common import cut, documents
+from slotwise.llm.words import NOT_WORD, batch_hashes, mix, runs, word_hashes
 
 EDITS = 0.2  # allowed word edits as a share of the item's words
-GRAM = 3
-SAMPLES, REPETITIONS = 3, 24  # places sampled in a repetition; repetitions
+TARGET = 0.995  # share of items with all allowed edits that become candidates, at least
+SAMPLES, STEPS, STRIDE = 5, 14, 2  # places sampled in a repetition; steps that they lie in; words between an item's entries
+MOST = 32  # repetitions
+TRIALS = 400  # simulated windows that the repetitions are chosen by
 BLOCK_CHARS = 16 * 2**20  # benchmark text broadcast at once; more goes in several passes
 _SEEDS = np.random.Generator(np.random.PCG64(41))
-WALK = _SEEDS.integers(1, 2**63, REPETITIONS, dtype=np.uint64)
-PLACES = _SEEDS.random((REPETITIONS, SAMPLES))
-PAD = np.uint64(0)
-
-
-def grams(words: np.ndarray, size: int) -> np.ndarray:
-    if len(words) < size:
-        return np.empty(0, np.uint64)
-    out = np.zeros(len(words) - size + 1, np.uint64)
-    for k in range(size):
-        out = mix(out + words[k : len(words) - size + 1 + k])
-    return out
+WALK = _SEEDS.integers(1, 2**63, MOST, dtype=np.uint64)
+PLACES = (np.arange(SAMPLES) + _SEEDS.random((MOST, SAMPLES))) / SAMPLES  # as shares of the steps
+
+
+def steps_of(n: int, edits: int) -> int:
+    """Steps that the samples of an item of n words lie in: fewer for an item
+    that is shorter, so that a walk doesn't leave it, and room for its edits."""
+    return min(STEPS, n if not edits else max(3, n - 3 * edits))
+
+
+def samples(words: np.ndarray, repetition: int, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For walks from every word on, the keys of the sampled symbols of their
+    embeddings, by the number of steps that the samples lie in."""
+    n = len(words)
+    bits = mix(words ^ WALK[repetition])  # bit t tells whether the walk leaves the word at step t
+    places = {size: (PLACES[repetition] * size).astype(int) for size in sizes}
+    keys = {size: np.full(n, size, np.uint64) for size in sizes}
+    at = np.arange(n)
+    for step in range(max(map(max, places.values())) + 1 if sizes else 0):
+        here = np.minimum(at, n - 1)
+        symbol = None
+        for size in sizes:
+            if step in places[size]:
+                if symbol is None:
+                    symbol = np.where(at < n, words[here], np.uint64(0))
+                keys[size] = mix(keys[size] + symbol)
+        at = at + ((bits[here] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
+    return keys
 
 
 class Items(NamedTuple):
-    """Items by number: words, allowed edits, shared grams needed, gram size;
-    and for each gram size a filter on the grams' first bits and the sorted
-    grams with their (item, offset)."""
+    """Items by number: words and allowed edits; the sizes of their sampled
+    walks; and a table a repetition: a filter on the keys' first bits, and the
+    sorted keys with their (item, offset)."""
 
     ids: list[int]
     words: list[np.ndarray]
     edits: np.ndarray
-    needed: np.ndarray
-    tables: list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    sizes: list[int]
+    tables: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _table(words: list[np.ndarray], size: np.ndarray, sizes: list[int], repetition: int) -> tuple[np.ndarray, ...]:
+    keys, item, offset = [], [], []
+    for i, w in enumerate(words):
+        at = np.arange(0, len(w) - int(size[i]) + 1, STRIDE)
+        keys.append(samples(w, repetition, [int(size[i])])[int(size[i])][at])
+        item.append(np.full(len(at), i))
+        offset.append(at)
+    keys, item, offset = np.concatenate(keys), np.concatenate(item), np.concatenate(offset)
+    order = np.argsort(keys, kind="stable")
+    likely = np.zeros(2**20, bool)
+    likely[keys >> np.uint64(44)] = True
+    return likely, keys[order], item[order], offset[order]
+
+
+def looked_up(own: np.ndarray, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, item, offset) of the entries with a start's key."""
+    likely, keys, item, offset = table
+    hit = np.flatnonzero(likely[own >> np.uint64(44)])
+    low = np.searchsorted(keys, own[hit], "left")
+    same = keys[np.minimum(low, len(keys) - 1)] == own[hit]
+    hit, low = hit[same], low[same]
+    many = np.searchsorted(keys, own[hit], "right") - low
+    at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(hit, many), item[at], offset[at]
+
+
+def edited(words: np.ndarray, edits: int, r: random.Random) -> np.ndarray:
+    """The words after random replacements, removals and insertions."""
+    out = words.tolist()
+    for _ in range(edits):
+        at, how, new = r.randrange(max(len(out), 1)), r.randrange(3), r.getrandbits(64)
+        out[at : at + 1] = [[new], [], [*out[at : at + 1], new]][how]
+    return np.array(out, np.uint64)
+
+
+def first_hits(items: Items, trials: int = TRIALS, seed: int = 6) -> np.ndarray:
+    """For random items with all the edits allowed, among other words: the
+    first repetition in which a window is looked up as a candidate at its
+    place, or ``MOST``."""
+    r, out = random.Random(seed), []
+    for _ in range(trials):
+        i = r.randrange(len(items.words))
+        k = int(items.edits[i])
+        around = [np.array([r.getrandbits(64) for _ in range(STEPS)], np.uint64) for _ in range(2)]
+        text = np.concatenate([around[0], edited(items.words[i], k, r), around[1]])
+        for repetition, table in enumerate(items.tables):
+            hits = [looked_up(own, table) for own in samples(text, repetition, items.sizes).values()]
+            if any(((item == i) & (abs(start - offset - STEPS) <= k)).any() for start, item, offset in hits):
+                out.append(repetition)
+                break
+        else:
+            out.append(MOST)
+    return np.array(out)
 
 
-def prepared(rows: list[tuple[int, str]], share: float = EDITS) -> Items:
+def prepared(rows: list[tuple[int, str]], share: float = EDITS, target: float = TARGET) -> Items:
     ids, words = [], []
     for item_id, text in rows:
         w = word_hashes(text or "", NOT_WORD)[0]
@@ -66,71 +143,15 @@ def prepared(rows: list[tuple[int, str]], share: float = EDITS) -> Items:
             words.append(w)
     n = np.array([len(w) for w in words], int)
     edits = np.floor(share * n).astype(int)
-    size = np.minimum(GRAM, np.maximum(n // (edits + 1), 1))
-    needed = np.maximum(n - size + 1 - edits * size, 1)
-    tables = []
-    for g in sorted(set(size.tolist())):
-        gram, item, offset = [], [], []
-        for i in np.flatnonzero(size == g):
-            x = grams(words[i], g)
-            gram.append(x)
-            item.append(np.full(len(x), i))
-            offset.append(np.arange(len(x)))
-        gram, item, offset = np.concatenate(gram), np.concatenate(item), np.concatenate(offset)
-        order = np.argsort(gram, kind="stable")
-        likely = np.zeros(2**20, bool)
-        likely[gram >> np.uint64(44)] = True
-        tables.append((g, likely, gram[order], item[order], offset[order]))
-    return Items(ids, words, edits, needed, tables)
-
-
-def starts(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(item, start) of the windows that share enough grams with the item."""
-    found_item, found_start = [], []
-    for g, likely, gram, item, offset in items.tables:
-        own = grams(words, g)
-        hit = np.flatnonzero(likely[own >> np.uint64(44)])
-        low = np.searchsorted(gram, own[hit], "left")
-        same = gram[np.minimum(low, len(gram) - 1)] == own[hit]
-        hit, low = hit[same], low[same]
-        if not len(hit):
-            continue
-        many = np.searchsorted(gram, own[hit], "right") - low
-        at = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        i, diagonal = item[at], np.repeat(hit, many) - offset[at]
-        k = items.edits[i]
-        # hits of one window lie on 2k + 1 diagonals, so in two neighbouring bands of that width
-        band = np.floor_divide(diagonal, 2 * k + 1)
-        key, where, count = np.unique(np.stack([i, band]), axis=1, return_inverse=True, return_counts=True)
-        where = where.ravel()
-        known = {(a, b): c for a, b, c in zip(*key.tolist(), count.tolist(), strict=True)}
-        both = np.array([c + max(known.get((a, b - 1), 0), known.get((a, b + 1), 0)) for a, b, c in zip(*key.tolist(), count.tolist(), strict=True)])
-        good = (both >= items.needed[key[0]])[where]
-        if good.any():
-            i, diagonal, k = i[good], diagonal[good], k[good]
-            width = 2 * k + 1
-            j = np.repeat(np.arange(len(i)), width)
-            start = diagonal[j] - k[j] + np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
-            pairs = np.unique(np.stack([i[j], np.maximum(start, 0)]), axis=1)
-            found_item.append(pairs[0])
-            found_start.append(pairs[1])
-    if not found_item:
-        return np.empty(0, int), np.empty(0, int)
-    return np.concatenate(found_item), np.concatenate(found_start)
-
-
-def embedded(words: np.ndarray, start: np.ndarray, end: np.ndarray, length: np.ndarray, repetition: int) -> np.ndarray:
-    """Sampled symbols (window, sample) of the CGK embeddings of the windows
-    words[start:end]; one shorter than ``length`` reads padding past its end."""
-    places = np.floor(PLACES[repetition] * (3 * length)[:, None]).astype(int)
-    out = np.zeros((len(start), SAMPLES), np.uint64)
-    at = start.copy()
-    for step in range(int(places.max()) + 1 if len(start) else 0):
-        symbol = np.where(at < end, words[np.minimum(at, len(words) - 1)], PAD)
-        for s in range(SAMPLES):
-            out[:, s] = np.where(places[:, s] == step, symbol, out[:, s])
-        at += (mix(symbol ^ (WALK[repetition] + np.uint64(step))) >> np.uint64(63)).astype(int)
-    return out
+    size = np.array([steps_of(a, b) for a, b in zip(n.tolist(), edits.tolist(), strict=True)], int)
+    sizes = sorted(set(size.tolist()))
+    items = Items(ids, words, edits, sizes, [])
+    while words and len(items.tables) < MOST:
+        items.tables.extend(_table(words, size, sizes, r) for r in range(len(items.tables), len(items.tables) + 4))
+        # a margin of two standard errors of the simulation
+        if (first_hits(items) < MOST).mean() >= min(target + 2 * math.sqrt(target * (1 - target) / TRIALS), 1 - 1 / TRIALS):
+            break
+    return items
 
 
 def distance(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
@@ -157,50 +178,47 @@ class Matcher:
     def __init__(self, items: Items):
         self.items = items
         self.length = np.array([len(w) for w in items.words], int)
-        end = np.cumsum(self.length)
-        self.samples = [embedded(np.concatenate(items.words), end - self.length, end, self.length, r) for r in range(REPETITIONS)] if items.words else []
-
-    def windows(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(doc, item, start) of the LSH candidates in several documents."""
-        at = np.cumsum([0, *(len(w) for w in docs)])
-        found = [starts(w, self.items) for w in docs]
-        doc = np.repeat(np.arange(len(docs)), [len(i) for i, _ in found])
-        item = np.concatenate([i for i, _ in found])
-        start = np.concatenate([s for _, s in found])
-        inside = start < np.diff(at)[doc]
-        doc, item, start = doc[inside], item[inside], start[inside]
-        words = np.concatenate(docs) if docs else np.empty(0, np.uint64)
-        hit, left = np.zeros(len(doc), bool), np.arange(len(doc))
-        for r in range(REPETITIONS):
-            if not len(left):
-                break
-            length, here = self.length[item[left]], at[doc[left]] + start[left]
-            same = (embedded(words, here, np.minimum(here + length, at[doc[left] + 1]), length, r) == self.samples[r][item[left]]).all(axis=1)
-            hit[left[same]] = True
-            left = left[~same]
-        return doc[hit], item[hit], start[hit]
+        self.sorted = [np.sort(w) for w in items.words]
+
+    def windows(self, words: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc, item, start) of the candidates in documents' words, which lie
+        one behind the other; a start is where the item would begin."""
+        found: list[np.ndarray] = []
+        for repetition, table in enumerate(self.items.tables):
+            for own in samples(words, repetition, self.items.sizes).values():
+                start, item, offset = looked_up(own, table)
+                if len(start):
+                    found.append(np.stack([doc[start], item, start - offset]))
+        if not found:
+            return np.empty(0, int), np.empty(0, int), np.empty(0, int)
+        every = np.unique(np.concatenate(found, axis=1), axis=1)
+        return every[0], every[1], every[2]
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
         """(text number, item id, edits, first word, end word) of the verified
         items, each with its best place."""
         if not self.items.words:
             return
-        docs = [word_hashes(t, NOT_WORD)[0] for t in texts]
-        doc, item, start = self.windows(docs)
-        order = np.lexsort((start, item, doc))
-        doc, item, start = doc[order], item[order], start[order]
+        words, doc = batch_hashes(texts, NOT_WORD)
+        begin = np.searchsorted(doc, np.arange(len(texts) + 1))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        d_, i_, s_ = (x.tolist() for x in self.windows(words, doc)) if len(words) else ([], [], [])
         a = 0
-        while a < len(doc):  # neighbouring starts are one stretch
-            d, i = int(doc[a]), int(item[a])
-            b = a + 1
-            while b < len(doc) and doc[b] == d and item[b] == i and start[b] - start[b - 1] <= self.length[i]:
+        while a < len(d_):  # neighbouring starts are one stretch
+            d, i, b = d_[a], i_[a], a + 1
+            n, k = int(self.length[i]), int(self.items.edits[i])
+            while b < len(d_) and d_[b] == d and i_[b] == i and s_[b] - s_[b - 1] <= n:
                 b += 1
-            k, n = int(self.items.edits[i]), int(self.length[i])
-            low, high = max(0, int(start[a]) - k), min(len(docs[d]), int(start[b - 1]) + n + k)
-            edits, first, end = distance(self.items.words[i], docs[d][low:high])
-            if edits <= k and (edits, first + low, end + low) < best.get((d, i), (n + 1, 0, 0)):
-                best[d, i] = (edits, first + low, end + low)
+            # the place where the item would begin is off by the edits, at most, and so is its end
+            low, high = max(int(begin[d]), s_[a] - 2 * k), min(int(begin[d + 1]), s_[b - 1] + n + 2 * k)
+            stretch = words[low:high]
+            own = self.sorted[i]
+            here = np.sort(stretch)
+            if len(stretch) and (here[np.minimum(np.searchsorted(here, own), len(here) - 1)] == own).sum() >= n - k:
+                edits, first, end = distance(self.items.words[i], stretch)
+                found = (edits, first + low - int(begin[d]), end + low - int(begin[d]))
+                if edits <= k and found < best.get((d, i), (n + 1, 0, 0)):
+                    best[d, i] = found
             a = b
         for (d, i), (edits, first, end) in sorted(best.items()):
             yield d, self.items.ids[i], edits, first, end
@@ -217,17 +235,8 @@ def matchers(benchmark: DataFrame) -> Iterator[Matcher]:
         yield Matcher(prepared([tuple(r) for r in block.collect()]))
 
 
-def _pieces(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``chars`` characters, with the first row's number."""
-    first, texts, size = 0, [], 0
-    for i, text in enumerate(batch.column("text")):
-        texts.append(text.as_py() or "")
-        size += len(texts[-1])
-        if size >= chars:
-            yield first, texts
-            first, texts, size = i + 1, [], 0
-    if texts:
-        yield first, texts
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
+    yield from runs([t or "" for t in batch.column("text").to_pylist()])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -236,8 +245,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     place (fewest edits, then first), in words of letters and digits.
 
     Null and empty texts hold nothing, and items without words are in nothing;
-    repeated documents give repeated rows, repeated items one; null ids are
-    kept. Empty tables give no rows.
+    very long texts are read whole; repeated documents give repeated rows,
+    repeated items one; null ids are kept; further columns, whatever their
+    names, play no part. Empty tables give no rows.
     """
     context = docs.sparkSession.sparkContext
     kinds = "doc_id long, item_id long, edits int, first_word int, end_word int"
@@ -246,26 +256,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
-                rows = [(ids[first + d], *x) for first, texts in _pieces(batch) for d, *x in matcher.value.matches(texts)]
+                rows = [(ids[first + d], *x) for first, texts in _texts(batch) for d, *x in matcher.value.matches(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc_id", "item_id", "edits", "first_word", "end_word"])
 
         return documents(docs).mapInArrow(run, kinds)
 
     found = None
-    for m in matchers(benchmark):
+    for m in matchers(benchmark):  # of several blocks each is finished before the next one is broadcast
         part = search(context.broadcast(m))
-        found = part if found is None else found.unionByName(part)
+        found = part if found is None else cut(found).unionByName(cut(part))
     return docs.sparkSession.createDataFrame([], kinds) if found is None else found
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark item."""
+    """The rows of ``docs``, all columns, that hold no benchmark item; nulls,
+    repeated rows, very long texts and empty tables as in ``contaminated``."""
     context, out = docs.sparkSession.sparkContext, docs
 
     def without(rows: DataFrame, matcher) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bad = {first + d for first, texts in _pieces(batch) for d, *_ in matcher.value.matches(texts)}
+                bad = {first + d for first, texts in _texts(batch) for d, *_ in matcher.value.matches(texts)}
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_())) if bad else batch
 
         return rows.mapInArrow(run, docs.schema)
