@@ -551,6 +551,16 @@ def stream_ingest(spark, sf_dir):
     return _shown(stream.current_summaries(spark, f"{folder}/out").select("series_id", "block_id", *SUMMARY))
 
 
+@registered(SQL_SUMMARY + f"SELECT series_id, block_id, {SUMMARY_SQL} FROM sm")
+def batch_ingest(spark, sf_dir):
+    """JSON request files loaded at once, and again under the same number."""
+    folder = _shared(spark)
+    _block_requests(spark, sf_dir).select(F.col("series_id").alias("series"), F.lit("f64").alias("type"), "ts", "qs", "values").coalesce(4).write.json(f"{folder}/in")
+    for _ in range(2):
+        stream.load(spark, f"{folder}/in", series(spark, sf_dir), f"{folder}/out", 0)
+    return _shown(stream.current_summaries(spark, f"{folder}/out").select("series_id", "block_id", *SUMMARY))
+
+
 WIDE = 9_007_199_254_740_993  # the first whole number that a double can't hold
 
 

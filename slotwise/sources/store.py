@@ -56,9 +56,10 @@ def with_object_path(rows: DataFrame) -> DataFrame:
     return rows.withColumn("object_path", F.col("_metadata.file_path"))
 
 
-def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Ingest requests from JSON lines, with where they come from."""
-    reader = spark.readStream if stream else spark.read
+def read_requests(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Ingest requests from JSON lines, with where they come from; with
+    ``files_per_batch`` as a stream."""
+    reader = spark.readStream.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else spark.read
     return reader.schema(REQUEST).json(path).select("*", *(f"_metadata.{c}" for c in ORIGIN))
 
 

@@ -26,9 +26,13 @@ STEP = 2**30  # requests in a file, at most
 
 def arrived(batch: DataFrame, batch_id: int) -> DataFrame:
     """The batch with ``tx``, which rises in the order of arrival. The windows
-    run over the batch's files, and over the requests of one file."""
+    run over the batch's files, and over the requests of one file. A batch of
+    more files than ``MOST_FILES`` is refused, as their numbers would run into
+    those of the next batch."""
     by_time = Window.orderBy("file_modification_time", "file_path")
     files = batch.select("file_modification_time", "file_path").distinct().withColumn("number", F.row_number().over(by_time))
+    if files.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"a batch of more than {MOST_FILES} files")
     in_file = Window.partitionBy("file_path").orderBy("file_block_start", "place")
     rows = batch.withColumn("place", F.monotonically_increasing_id()).withColumn("row", F.row_number().over(in_file))
     tx = F.lit(batch_id).cast("long") * (1024 * STEP) + F.col("number").cast("long") * STEP + F.col("row")
@@ -70,12 +74,17 @@ def start(spark: SparkSession, source: str, series: DataFrame, folder: str, chec
     what is there and ends."""
     if not 0 < files_per_batch <= MOST_FILES:
         raise ValueError(f"files_per_batch {files_per_batch}; from 1 to {MOST_FILES}")
-    reader = spark.readStream.schema(ingest.REQUEST).option("maxFilesPerTrigger", files_per_batch).json(source)
-    requests = reader.select("*", *(f"_metadata.{c}" for c in store.ORIGIN))
+    requests = store.read_requests(spark, source, files_per_batch)
     writer = requests.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda b, i: accept(b, i, series, folder))
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def load(spark: SparkSession, source: str, series: DataFrame, folder: str, batch_id: int) -> None:
+    """Ingest the request files of a folder at once, as batch ``batch_id``;
+    loaded again under the same number they change nothing."""
+    accept(store.read_requests(spark, source), batch_id, series, folder)
+
+
 def current_summaries(spark: SparkSession, folder: str, kind: str = "real") -> DataFrame:
     """The newest summary of each block of the series of one kind."""
     rows = spark.read.parquet(f"{folder}/{kind}/summaries")
