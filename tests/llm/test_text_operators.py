@@ -10,6 +10,7 @@ import time
 import urllib.parse
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -145,6 +146,30 @@ def test_field_marginals_equal_enumeration():
     assert tuple(pii.decoded(3, segments)) == max(every)[1]
 
 
+DIGITS_SQL = "regexp_replace(x, '[^0-9]', '', 'g')"
+LUHN_SQL = f"list_sum(list_transform(range(1, length({DIGITS_SQL}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({DIGITS_SQL}[length({DIGITS_SQL}) - i + 1] AS INTEGER) ELSE CAST({DIGITS_SQL}[length({DIGITS_SQL}) - i + 1] AS INTEGER) * 2 // 10 + CAST({DIGITS_SQL}[length({DIGITS_SQL}) - i + 1] AS INTEGER) * 2 % 10 END)) % 10 = 0"
+
+
+def test_base_counts_equal_sql(spark):
+    """The counts of base spans of whole documents, by SQL on the patterns as
+    they stand in the contract."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path)
+    found = pii.find(docs).toPandas().merge(secrets.find(docs).toPandas(), on="doc_id")
+    sql = duckdb.sql(f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '{path}')
+        SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS n_email,
+            len(list_filter(regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda x: len(list_filter(string_split(x, '.'), lambda p: CAST(p AS DOUBLE) > 255)) = 0)) AS n_ip,
+            len(list_filter(regexp_extract_all(t, '[0-9]([ -]?[0-9])+'), lambda x: length({DIGITS_SQL}) BETWEEN 12 AND 19 AND {LUHN_SQL})) AS n_card,
+            len(list_filter(regexp_extract_all(t, '\\+[0-9][ ().0-9-]+[0-9]'), lambda x: length({DIGITS_SQL}) BETWEEN 9 AND 15)) AS n_phone,
+            len(list_filter(regexp_extract_all(t, '(?i)(password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2), lambda x: length(x) >= 6)) AS n_assign,
+            len(list_filter(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 20)) AS n_access, len(list_filter(regexp_extract_all(t, '[0-9a-f]+'), lambda x: length(x) >= 24)) AS n_hex FROM d""").df()
+    both = found.merge(sql, on="doc_id", suffixes=("", "_sql"))
+    assert len(both) == len(found) == len(sql)
+    for n in ("n_email", "n_ip", "n_card", "n_phone", "n_assign", "n_access", "n_hex"):
+        assert (both[n] == both[f"{n}_sql"]).all() and both[n].sum() > 0 or n == "n_access", n
+
+
 def test_masking():
     assert spans.masked("a b@c.de, 1.2.3.4", [(0, 2, 8), (1, 10, 17), (0, 3, 5)], pii.KINDS) == "a [EMAIL], [IP]"
     assert spans.masked("", [], pii.KINDS) == ""
