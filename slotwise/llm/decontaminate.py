@@ -38,6 +38,7 @@ TRIALS = 400  # simulated windows that the repetitions are chosen by
 BLOCK_CHARS = 16 * 2**20  # benchmark text broadcast at once; more goes in several passes
 _SEEDS = np.random.Generator(np.random.PCG64(41))
 WALK = _SEEDS.integers(1, 2**63, MOST, dtype=np.uint64)
+SPREAD = np.uint64(0xD6E8FEB86659FD93)
 PLACES = (np.arange(SAMPLES) + _SEEDS.random((MOST, SAMPLES))) / SAMPLES  # as shares of the steps
 
 
@@ -51,20 +52,21 @@ def samples(words: np.ndarray, repetition: int, sizes: list[int]) -> dict[int, n
     """For walks from every word on, the keys of the sampled symbols of their
     embeddings, by the number of steps that the samples lie in."""
     n = len(words)
-    bits = mix(words ^ WALK[repetition])  # bit t tells whether the walk leaves the word at step t
-    places = {size: (PLACES[repetition] * size).astype(int) for size in sizes}
+    places = {size: set((PLACES[repetition] * size).astype(int).tolist()) for size in sizes}
+    last = max(map(max, places.values()), default=0)
+    padded = np.concatenate([words, np.zeros(last + 1, np.uint64)])  # what a walk reads past the end
+    # bit t tells whether the walk leaves the word at step t
+    bits = (mix(padded ^ WALK[repetition]) & np.uint64((1 << STEPS) - 1)).astype(np.uint16)
     keys = {size: np.full(n, size, np.uint64) for size in sizes}
-    at = np.arange(n)
-    for step in range(max(map(max, places.values())) + 1 if sizes else 0):
-        here = np.minimum(at, n - 1)
-        symbol = None
-        for size in sizes:
-            if step in places[size]:
-                if symbol is None:
-                    symbol = np.where(at < n, words[here], np.uint64(0))
-                keys[size] = mix(keys[size] + symbol)
-        at = at + ((bits[here] >> np.uint64(step)) & np.uint64(1)).astype(np.int64)
-    return keys
+    at = np.arange(n, dtype=np.int32)
+    for step in range(last + 1):
+        sampled = [size for size in sizes if step in places[size]]
+        if sampled:
+            symbol = padded[at]
+            for size in sampled:
+                keys[size] = keys[size] * SPREAD + symbol
+        at += (bits[at] >> np.uint16(step)) & np.uint16(1)
+    return {size: mix(k) for size, k in keys.items()}
 
 
 class Items(NamedTuple):
@@ -191,7 +193,9 @@ class Matcher:
                     found.append(np.stack([doc[start], item, start - offset]))
         if not found:
             return np.empty(0, int), np.empty(0, int), np.empty(0, int)
-        every = np.unique(np.concatenate(found, axis=1), axis=1)
+        every = np.concatenate(found, axis=1)
+        every = every[:, np.lexsort(every[::-1])]
+        every = every[:, np.r_[True, (every[:, 1:] != every[:, :-1]).any(axis=0)]]
         return every[0], every[1], every[2]
 
     def matches(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:

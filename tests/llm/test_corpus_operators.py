@@ -429,8 +429,8 @@ def test_samples_are_those_of_the_walk():
                 at += int(decontaminate.mix(words[min(at, 59) :][:1] ^ decontaminate.WALK[repetition])[0] >> np.uint64(step)) & 1
             key = np.array([size], np.uint64)
             for place in sorted(set((decontaminate.PLACES[repetition] * size).astype(int).tolist())):
-                key = decontaminate.mix(key + embedding[place])
-            assert key[0] == got[p]
+                key = key * decontaminate.SPREAD + embedding[place]
+            assert decontaminate.mix(key)[0] == got[p]
 
 
 def test_long_texts_are_searched_whole(spark):
