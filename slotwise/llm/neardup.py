@@ -45,9 +45,9 @@ PLAUSIBLE = 0.64  # share of equal samples (standard error 0.045 at 0.8) below w
 BUCKETS = 2**18  # of the document frequency sketch
 BLOCK = 4096  # sketch buckets in a row while it is added up
 PART = 256  # expected members compared with each other at a time
-VARIATES = 2**14  # rows of random variates, chosen by shingle hash
+VARIATES = 2**13  # rows of random variates, chosen by shingle hash
 LEVELS = 1 + 0.25 * np.arange(8) / 7  # damped inverse document frequency, from frequent to rare
-DENSE = 2**23  # entries of a block's table of weights, at most
+DENSE = 2**22  # entries of a block's table of weights, at most
 
 
 def batch_counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -158,8 +158,9 @@ def scores(model: Model, x: np.ndarray) -> np.ndarray:
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per document.
 
-    Null and empty texts are scored by their (zero) statistics; repeated rows
-    are scored alike; a null doc_id is not held out. Without labels of both
+    Null and empty texts are scored by their (zero) statistics, and very long
+    ones whole; repeated rows are scored alike; a null doc_id is not held out;
+    further columns, whatever their names, play no part. Without labels of both
     kinds every score is 0.5. An empty table gives no rows.
     """
     rows = documents(docs)
@@ -176,7 +177,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Data
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier doesn't reject."""
+    """The rows of ``docs``, all columns, that the classifier doesn't reject:
+    all of them without labels of both kinds. Nulls, repeated rows, very long
+    texts and empty tables as in ``classify``."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
