@@ -214,19 +214,16 @@ class Worklist:
     def expanded(self, raw: bytes, start: int, ends: np.ndarray) -> int:
         """Scan what compressed bytes at the start of ``raw`` expand to, piece
         by piece; the bytes used. Bytes that aren't compressed give nothing."""
-        end = [start]
-        held, whole = b"", 0
-        for piece, used in _pieces(raw):
-            end[0] = int(ends[min(used, len(ends)) - 1]) if used else start
+        held, used = b"", 2
+        for piece, size, whole in _pieces(raw):
             self.left -= len(piece)
             if self.left < 0:
                 self.found.append((OPAQUE, start, int(ends[-1])))
                 return len(raw)
-            whole += len(piece)
             both = held + piece
-            self.bytes(both, start, end[0], first=not held)
-            held = both[-OVERLAP:]
-        return used_of(raw) if whole else 0
+            self.bytes(both, start, int(ends[min(size, len(ends)) - 1]), first=not held)
+            held, used = both[-OVERLAP:], size if whole else 2
+        return used
 
     def bytes(self, raw: bytes, start: int, end: int, first: bool) -> None:
         """Expanded bytes: all come from one stretch of the text."""
@@ -252,50 +249,25 @@ def _decoder(raw: bytes):
     return zlib.decompressobj()
 
 
-def _pieces(raw: bytes) -> Iterator[tuple[bytes, int]]:
+def _pieces(raw: bytes) -> Iterator[tuple[bytes, int, bool]]:
     """What compressed bytes expand to, in pieces of bounded size, with the
-    number of bytes used; broken data give what comes before the break."""
+    number of bytes used and whether the data ended there; broken data give
+    what comes before the break."""
     d, rest, out, size = _decoder(raw), raw, [], 0
-    while True:
+    in_turn = isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor))  # these keep what they have not used yet
+    more = True
+    while more:
         try:
-            if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
-                got = d.decompress(rest, 2**20)
-                rest = b""
-                more = not d.eof and not d.needs_input
-            else:
-                got = d.decompress(rest, 2**20)
-                rest = d.unconsumed_tail
-                more = not d.eof and bool(rest)
+            got = d.decompress(rest, 2**20)
+            rest = b"" if in_turn else d.unconsumed_tail
+            more = not d.eof and (not d.needs_input if in_turn else bool(rest) or len(got) == 2**20)
         except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
             got, more = b"", False
         out.append(got)
         size += len(got)
-        if size >= PIECE or not more:
-            if size:
-                yield b"".join(out), len(raw) - len(d.unused_data)
+        if size >= PIECE or size and not more:
+            yield b"".join(out), len(raw) - len(d.unused_data), d.eof
             out, size = [], 0
-        if not more:
-            return
-
-
-def used_of(raw: bytes) -> int:
-    """Bytes of the compressed data at the start; a second member follows there."""
-    d, rest = _decoder(raw), raw
-    try:
-        while not d.eof:
-            if isinstance(d, (bz2.BZ2Decompressor, lzma.LZMADecompressor)):
-                d.decompress(rest, 2**20)
-                rest = b""
-                if d.needs_input:
-                    return len(raw)
-            else:
-                d.decompress(rest, 2**20)
-                rest = d.unconsumed_tail
-                if not rest and not d.eof:
-                    return len(raw)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        return 2
-    return len(raw) - len(d.unused_data)
 
 
 def hidden(text: str) -> list[Span]:
