@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from slotwise.functions import values
 from slotwise.functions.values import STORAGE
+from slotwise.operators import ingest
 
 #: Tags and the largest payload.
 TAGS = {1: "WRITE", 2: "FLUSH"}
@@ -282,6 +283,15 @@ def listed(folder: str) -> list[str]:
     return sorted(f.base_name for f in files.get_file_info(fs.FileSelector(at)) if f.base_name.endswith(".log") and not f.base_name.startswith("."))
 
 
+def recovered(spark: SparkSession, folder: str, series: DataFrame, stored: DataFrame, kind: str = "real") -> tuple[DataFrame, list[str]]:
+    """The stored slots of the series of one kind, merged with the log's writes
+    that have no flush mark, and the names of the files that this covers: once
+    the slots of every kind are written, ``cleaned`` may remove them."""
+    names = listed(folder)
+    waiting = samples(ingest.pending(read(spark, folder)), series, kind)
+    return ingest.merged(stored, ingest.placed_by_catalog(waiting.drop("block_id"), series)), names
+
+
 def cleaned(folder: str, names: list[str]) -> None:
     """Remove log files whose writes are stored: those that were listed before
     a recovery or a flush of everything began. Later files stay."""

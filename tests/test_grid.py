@@ -22,6 +22,12 @@ def test_block_boundaries(spark):
     assert partial == 514
 
 
+def test_segments_are_aligned(spark):
+    each = grid.segment_blocks(1440, 8)
+    assert each == 128 * 2**20 // (1440 * 9) and grid.segment_blocks(10**9, 8) == 1
+    assert [r[0] for r in spark.createDataFrame([(0,), (each - 1,), (each,)], "b long").select(grid.segment_id(F.col("b"), each)).collect()] == [0, 0, 1]
+
+
 def test_quality_bits(spark):
     row = spark.createDataFrame([(203,)], "q int").select(quality.bits(F.col("q")), quality.debug_name(F.col("q")), quality.sub_status(F.col("q")), quality.limit(F.col("q"))).first()
     assert tuple(row) == ("11_0010_11", "Good", 2, 3)

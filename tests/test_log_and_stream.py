@@ -73,6 +73,10 @@ def test_log_of_whole_numbers_and_cleaning(spark, tmp_path):
     rows = wal.samples(ingest.pending(log), series, "whole")
     assert sorted((int(r["value"]), r["quality"]) for r in rows.collect()) == [(5, 64), (top, 192)]
     assert wal.samples(log, series, "real").count() == 0
+    geometry = spark.createDataFrame([(7, "uint64", 10, "s", 1, "s")], GEOMETRY)
+    stored = spark.createDataFrame([(7, 0, 1, Decimal(3), 192, 0, 0), (7, 0, 9, Decimal(4), 192, 0, 0)], "series_id long, block_id long, slot int, value decimal(20,0), quality int, tx long, pos int")
+    merged, covered = wal.recovered(spark, folder, geometry, stored, "whole")
+    assert sorted((r["slot"], int(r["value"])) for r in merged.collect()) == [(1, top), (2, 5), (9, 4)] and covered == names
     (tmp_path / "log" / "later.log").write_bytes(entry(9))
     wal.cleaned(folder, names)
     assert wal.listed(folder) == ["later.log"] and [int(r["tx"]) for r in wal.read(spark, folder).collect()] == [9]
