@@ -305,8 +305,8 @@ def crossed(tagged: DataFrame, members: DataFrame, levels) -> DataFrame:
     none = F.lit(b"")
     sizes = sizes.withColumn("g", F.when(F.col("size") < PART, none).otherwise(F.col("root")))
     groups = cut(sizes.groupBy("key", "g").agg(F.ceil(F.sum("size") / PART).cast("int").alias("parts")))
-    own = sizes.where(F.col("size") >= PART).select("key", "root", "g")
-    placed = tagged.join(own, ["key", "root"], "left").withColumn("g", F.coalesce("g", none)).join(groups, ["key", "g"])
+    own = cut(sizes.where(F.col("size") >= PART).select("key", "root", "g"))
+    placed = tagged.join(small(own), ["key", "root"], "left").withColumn("g", F.coalesce("g", none)).join(small(groups), ["key", "g"])
     dealt = F.when(F.col("g") == none, F.xxhash64("root", "key")).otherwise(F.xxhash64("node", "key"))
     placed = placed.withColumn("i", F.pmod(dealt, "parts").cast("int")).select("key", "g", "i", "node", "root")
     other = groups.select("key", F.col("g").alias("h"), F.col("parts").alias("of_h"))
@@ -371,9 +371,9 @@ def connected(rows: DataFrame, nodes: DataFrame, levels) -> DataFrame:
     """node, root over all verified links, from the documents and
     (node, low, n, sk, keys); nodes without a link may be missing."""
     exploded = nodes.select("node", F.explode("keys").alias("key"))
-    buckets = exploded.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor(F.xxhash64("node")).alias("print")).where("n > 1")
-    # members that share several bands meet once
-    buckets = cut(buckets.dropDuplicates(["n", "low", "high", "print"]).select("key", "n"))
+    buckets = exploded.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("print")).where("n > 1")
+    # members that share several bands meet once: such buckets have one size and one sum of hashes
+    buckets = cut(buckets.dropDuplicates(["n", "print"]).select("key", "n"))
     in_bucket = exploded.join(small(buckets), "key").groupBy("node").agg(F.collect_list(F.struct("key", "n")).alias("b"))  # at most one a band
     needed = cut(in_bucket.join(nodes.select("node", "low", "sk"), "node"))
     texts = rows.select("doc_id", "text", F.unhex(F.md5("text")).alias("node"))
