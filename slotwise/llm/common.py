@@ -17,9 +17,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = 1000  # rows that a Python worker holds at a time; texts may be long
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have rows go to Python workers ``BATCH_ROWS`` at a time, unless the
+    session asks for fewer: at Spark's 10,000 whole texts fill the memory
+    beside an executor's heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def documents(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id and text (null: empty), and further columns by name; whatever
     else the input holds, clashing names included, stays out of the operator."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 

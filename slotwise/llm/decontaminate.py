@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.common import cut, documents
+from slotwise.llm.common import cut, documents, small_batches
 from slotwise.llm.words import NOT_WORD, batch_hashes, mix, runs, word_hashes
 
 EDITS = 0.2  # allowed word edits as a share of the item's words
@@ -240,7 +240,7 @@ def matchers(benchmark: DataFrame) -> Iterator[Matcher]:
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, list[str]]]:
-    yield from runs([t or "" for t in batch.column("text").to_pylist()])
+    yield from runs(t.as_py() or "" for t in batch.column("text"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -275,6 +275,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark item; nulls,
     repeated rows, very long texts and empty tables as in ``contaminated``."""
+    small_batches(docs.sparkSession)
     context, out = docs.sparkSession.sparkContext, docs
 
     def without(rows: DataFrame, matcher) -> DataFrame:

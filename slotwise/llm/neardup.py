@@ -45,7 +45,7 @@ PLAUSIBLE = 0.64  # share of equal samples (standard error 0.045 at 0.8) below w
 BUCKETS = 2**18  # of the document frequency sketch
 BLOCK = 4096  # sketch buckets in a row while it is added up
 PART = 256  # expected members compared with each other at a time
-VARIATES = 2**13  # rows of random variates, chosen by shingle hash
+VARIATES = 2**12  # rows of random variates, chosen by shingle hash
 LEVELS = 1 + 0.25 * np.arange(8) / 7  # damped inverse document frequency, from frequent to rare
 DENSE = 2**22  # entries of a block's table of weights, at most
 
@@ -78,7 +78,7 @@ def frequencies(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
-            for _, texts in runs(batch.column("text").to_pylist()):
+            for _, texts in runs(t.as_py() for t in batch.column("text")):
                 total += np.bincount(bucket_of(batch_counted(texts)[1]), minlength=BUCKETS)
         yield blocks_of(total.reshape(-1, BLOCK))
 
@@ -169,18 +169,18 @@ def sketched(docs: DataFrame, levels) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = batch.column("text").to_pylist()
-            s = np.zeros((len(every), SAMPLES), np.uint64)
-            for a, texts in runs(every):
+            s, node = np.zeros((batch.num_rows, SAMPLES), np.uint64), []
+            for a, texts in runs(t.as_py() for t in batch.column("text")):
+                node += [_digest(t) for t in texts]
                 number, shingle, tf = batch_counted(texts)
                 level = levels.value[bucket_of(shingle)]
                 ends = np.searchsorted(number, np.arange(len(texts) + 1))
                 for i, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                     s[a + i] = samples(shingle[low:high], tf[low:high], level[low:high])
             keys = band_keys(s)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(every) + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(node) + 1, BANDS), pa.int32()), pa.array(keys.ravel()))
             sk = [x.tobytes() for x in (s & np.uint64(255)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_digest(t) for t in every], pa.binary()), pa.array(sk, pa.binary()), lists], ["doc_id", "node", "sk", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(node, pa.binary()), pa.array(sk, pa.binary()), lists], ["doc_id", "node", "sk", "keys"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node binary, sk binary, keys array<long>")
 

@@ -8,7 +8,7 @@ same in every task and session.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -80,7 +80,7 @@ def batch_hashes(texts: list[str], breaks: np.ndarray = SPACE) -> tuple[np.ndarr
     return mix((total[end] - total[start]) * _power(_INVERSE, len(data) + 1)[start]), np.searchsorted(begins, start, "right") - 1
 
 
-def runs(texts: list[str], size: int = 2**20) -> Iterator[tuple[int, list[str]]]:
+def runs(texts: Iterable[str], size: int = 2**18) -> Iterator[tuple[int, list[str]]]:
     """Runs of texts of about ``size`` characters, with the first one's number."""
     first, held, n = 0, [], 0
     for i, t in enumerate(texts):

@@ -214,12 +214,16 @@ def exact_classes(spark, docs, texts):
     """The smallest number of each text's class, by verifying every pair."""
     levels = neardup.rarity(neardup.frequencies(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), len(texts))
     sets = [neardup.weighted(t or "", levels) for t in texts]
+    # texts that share no shingle have a similarity of 0, so every other pair is every pair
+    holders = {}
+    for i, (shingle, _) in enumerate(sets):
+        for x in shingle.tolist() or [texts[i] or ""]:
+            holders.setdefault(x, []).append(i)
     root = list(range(len(texts)))
-    for i in range(len(texts)):
-        for j in range(i):
-            if root[i] != root[j] and ((texts[i] or "") == (texts[j] or "") or neardup.jaccard(sets[i], sets[j]) >= neardup.THRESHOLD):
-                low, high = sorted((root[i], root[j]))
-                root = [low if x == high else x for x in root]
+    for i, j in sorted({(i, j) for held in holders.values() for i in held for j in held if j < i}):
+        if root[i] != root[j] and ((texts[i] or "") == (texts[j] or "") or neardup.jaccard(sets[i], sets[j]) >= neardup.THRESHOLD):
+            low, high = sorted((root[i], root[j]))
+            root = [low if x == high else x for x in root]
     return root
 
 
