@@ -537,6 +537,13 @@ def _shared(spark: SparkSession) -> str:
     return f"{shared}/grid-{uuid.uuid4().hex}"
 
 
+def _stored(rows: DataFrame, folder: str) -> DataFrame:
+    """The catalog as a table, which ingest reads in every batch: the fixtures'
+    is derived from all events."""
+    store.write_table(rows, f"{folder}/catalog")
+    return store.read_table(rows.sparkSession, f"{folder}/catalog")
+
+
 def _block_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request for each series and block, its samples in order of time."""
     r = samples(spark, sf_dir).groupBy("series_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "tx", "quality", "value"))).alias("s"))
@@ -547,7 +554,7 @@ def _block_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark, sf_dir):
     folder = _shared(spark)
     _block_requests(spark, sf_dir).select(F.col("series_id").alias("series"), F.lit("F64").alias("type"), "ts", "qs", "values").write.json(f"{folder}/in")
-    stream.start(spark, f"{folder}/in", series(spark, sf_dir), f"{folder}/out", f"{folder}/checkpoint", once=True, files_per_batch=2).awaitTermination()
+    stream.start(spark, f"{folder}/in", _stored(series(spark, sf_dir), folder), f"{folder}/out", f"{folder}/checkpoint", once=True, files_per_batch=2).awaitTermination()
     return _shown(stream.current_summaries(spark, f"{folder}/out").select("series_id", "block_id", *SUMMARY))
 
 
@@ -556,8 +563,9 @@ def batch_ingest(spark, sf_dir):
     """JSON request files loaded at once, and again under the same number."""
     folder = _shared(spark)
     _block_requests(spark, sf_dir).select(F.col("series_id").alias("series"), F.lit("f64").alias("type"), "ts", "qs", "values").coalesce(4).write.json(f"{folder}/in")
+    known = _stored(series(spark, sf_dir), folder)
     for _ in range(2):
-        stream.load(spark, f"{folder}/in", series(spark, sf_dir), f"{folder}/out", 0)
+        stream.load(spark, f"{folder}/in", known, f"{folder}/out", 0)
     return _shown(stream.current_summaries(spark, f"{folder}/out").select("series_id", "block_id", *SUMMARY))
 
 
@@ -567,7 +575,8 @@ WIDE = 9_007_199_254_740_993  # the first whole number that a double can't hold
 @registered(SQL_SLOTS + f"SELECT series_id, block_id, CAST(sum(CAST({WIDE} + tx AS HUGEINT)) FILTER (quality & 64 = 64) AS VARCHAR) AS sum_val, CAST(min({WIDE} + tx) FILTER (quality & 64 = 64) AS BIGINT) AS min_val FROM slt GROUP BY series_id, block_id")
 def stream_whole_numbers(spark, sf_dir):
     """Series of 64-bit integers beyond the reach of doubles, through JSON."""
-    folder, whole = _shared(spark), series(spark, sf_dir).withColumn("storage_type", F.lit("int64"))
+    folder = _shared(spark)
+    whole = _stored(series(spark, sf_dir).withColumn("storage_type", F.lit("int64")), folder)
     wide = samples(spark, sf_dir).withColumn("value", F.col("tx") + F.lit(WIDE))
     r = wide.groupBy("series_id", "block_id").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "tx", "quality", "value"))).alias("s"))
     r.select(F.col("series_id").alias("series"), F.lit("I64").alias("type"), F.col("s.ts_ms").alias("ts"), F.col("s.quality").alias("qs"), F.col("s.value").alias("values")).write.json(f"{folder}/in")

@@ -2,7 +2,10 @@
 
 Late data is never dropped, so there is no watermark: each micro-batch appends
 its accepted samples, then recomputes the summaries of the blocks that it
-touched from all their samples. Requests are ordered by arrival: by batch, by
+touched from all their samples. Samples lie in a folder for each batch, and the
+summaries so far tell which batches hold a block, so that a batch reads its own
+samples and those of the batches that it is late for, not the whole store. The
+catalog is read again in every batch and should be a stored table. Requests are ordered by arrival: by batch, by
 the time and path of their file, and by their place in it. The order is the
 same when a batch is tried again, so appending its samples twice changes
 nothing: a slot goes to the largest (tx, pos), and a repeated write has the
@@ -12,6 +15,7 @@ so that 64-bit integers stay exact.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -41,12 +45,16 @@ def arrived(batch: DataFrame, batch_id: int) -> DataFrame:
 
 def accept(batch: DataFrame, batch_id: int, series: DataFrame, folder: str) -> None:
     """One micro-batch: rejects, samples, summaries of the touched blocks."""
-    judged = ingest.validated(arrived(batch, batch_id), series).persist()
+    # numbering leaves a file in one task; what is kept has as many parts as there are cores or
+    # input splits, as Spark keeps every shuffle partition of a cached table, however empty
+    parts = max(batch.sparkSession.sparkContext.defaultParallelism, batch.rdd.getNumPartitions())
+    judged = ingest.validated(arrived(batch, batch_id).repartition(parts, "tx"), series).persist()
     try:
         # a folder for each batch, so that a retry replaces its rejects
         judged.where("reason is not null").select("tx", "series", "reason").write.mode("overwrite").parquet(f"{folder}/rejects/batch={batch_id}")
         good = judged.where("reason is null")
-        for kind in values.KINDS:
+        present = {r[0] for r in good.select(values.kind_of(F.col("storage_type"))).distinct().collect()}  # a name each of KINDS
+        for kind in [k for k in values.KINDS if k in present]:
             _store(ingest.placed_by_catalog(ingest.samples(good, kind), series), batch_id, series, f"{folder}/{kind}")
     finally:
         judged.unpersist()
@@ -54,21 +62,36 @@ def accept(batch: DataFrame, batch_id: int, series: DataFrame, folder: str) -> N
 
 def _store(placed: DataFrame, batch_id: int, series: DataFrame, folder: str) -> None:
     spark = placed.sparkSession
-    bucket = (F.col("series_id") % store.BUCKETS).cast("int").alias("bucket")
-    touched = placed.select(bucket, *blocks.KEY).distinct()
-    # what is read again is pruned by folder and by row group: at most BUCKETS numbers and two ends come here
+    store.write_samples(placed.select("series_id", "block_id", "slot", "ts_ms", "value", "quality", "tx", "pos"), _of_batch(folder, batch_id))
+    touched = spark.read.parquet(_of_batch(folder, batch_id)).select("bucket", *blocks.KEY).distinct()
+    # what is read again is pruned by folder and by row group: at most BUCKETS numbers, two ends and a number a batch come here
     reach = touched.agg(F.collect_set("bucket").alias("buckets"), F.min("block_id").alias("low"), F.max("block_id").alias("high")).first()
-    if not reach["buckets"]:
-        return
-    store.write_samples(placed.select("series_id", "block_id", "slot", "ts_ms", "value", "quality", "tx", "pos"), f"{folder}/samples")
+    batches = {batch_id, *_batches_of(touched, folder)}
     near = F.col("bucket").isin(*sorted(reach["buckets"])) & F.col("block_id").between(reach["low"], reach["high"])
-    held = spark.read.parquet(f"{folder}/samples").where(near).join(touched, ["bucket", *blocks.KEY], "left_semi")
+    stored = spark.read.option("basePath", f"{folder}/samples").parquet(*(_of_batch(folder, b) for b in sorted(batches)))
+    held = stored.where(near).join(touched, ["bucket", *blocks.KEY], "left_semi")
     geometry = series.select("series_id", grid.block_slots(grid.duration_ms(F.col("block_len"), F.col("block_res")), grid.duration_ms(F.col("sample_len"), F.col("sample_res"))).alias("slots"))
     last = ingest.last_writes(held).join(geometry, "series_id")
     summary = blocks.summaries(last, F.col("slots")).withColumn("version", F.lit(batch_id).cast("long"))
     summary.write.mode("append").parquet(f"{folder}/summaries")
 
 
+def _of_batch(folder: str, batch_id: int) -> str:
+    return f"{folder}/samples/batch={batch_id}"
+
+
+def _batches_of(touched: DataFrame, folder: str) -> list[int]:
+    """The batches that hold samples of the touched blocks, from the versions of
+    their summaries, which are written after the samples."""
+    try:
+        known = touched.sparkSession.read.schema("series_id long, block_id long, version long").parquet(f"{folder}/summaries")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []  # the first batch
+    return [r[0] for r in known.join(touched, list(blocks.KEY), "left_semi").select("version").distinct().collect()]
+
+
 def start(spark: SparkSession, source: str, series: DataFrame, folder: str, checkpoint: str, once: bool = False, files_per_batch: int = MOST_FILES) -> StreamingQuery:
     """Ingest JSON request files from ``source`` as they arrive; ``once`` takes
     what is there and ends."""

@@ -166,3 +166,49 @@ def test_a_batch_tried_again_changes_nothing(spark, tmp_path):
     assert states[0] == states[1] and states[0][0][0]["max_val"] == 2.5 and len(states[0][1]) == 1
     with pytest.raises(ValueError, match="files_per_batch"):
         stream.start(spark, folder, series, folder, folder, files_per_batch=0)
+
+
+def test_a_batch_reads_only_the_batches_that_it_is_late_for(spark, tmp_path):
+    """The samples of a batch whose block no later batch touches can't be read
+    any more; late data still meets all that its own block holds."""
+    folder = str(tmp_path / "out")
+    series = spark.createDataFrame([(1, "float64", 10, "s", 1, "s")], GEOMETRY)
+    schema = ingest.REQUEST + ", file_path string, file_modification_time timestamp, file_block_start long"
+    taken = lambda i, *ts: stream.accept(spark.createDataFrame([(1, "F64", [t], [192], [f"{t}.5"], "f", None, 0) for t in ts], schema).coalesce(1), i, series, folder)
+    taken(0, 1000)
+    for file in (tmp_path / "out/real/samples").rglob("part-*.parquet"):
+        file.write_bytes(b"unreadable")
+    taken(1, 51_000, 61_000)
+    taken(2, 71_000)
+    taken(3, 52_000, 63_000)
+    taken(4, 53_000, 51_000)
+    found = stream.current_summaries(spark, folder).orderBy("block_id").select("block_id", "version", "count_valid", "min_val", "max_val").collect()
+    assert [tuple(r) for r in found] == [(0, 0, 1, 1000.5, 1000.5), (5, 4, 3, 51_000.5, 53_000.5), (6, 3, 2, 61_000.5, 63_000.5), (7, 2, 1, 71_000.5, 71_000.5)]
+
+
+def test_a_batch_is_kept_in_as_many_parts_as_there_are_cores(spark, tmp_path, monkeypatch):
+    """However many shuffle partitions the session has."""
+    kept, validated = [], ingest.validated
+    monkeypatch.setattr(ingest, "validated", lambda *a: kept.append(validated(*a)) or kept[-1])
+    series = spark.createDataFrame([(1, "float64", 10, "s", 1, "s")], GEOMETRY)
+    schema = ingest.REQUEST + ", file_path string, file_modification_time timestamp, file_block_start long"
+    monkeypatch.setattr(store, "write_samples", lambda *a: kept.append(kept[0].rdd.getNumPartitions()) or store.write_table(a[0].withColumn("bucket", F.lit(1)), a[1]))
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        stream.accept(spark.createDataFrame([(1, "F64", [1000], [192], ["1.5"], "f", None, 0)], schema), 0, series, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert kept[1] == spark.sparkContext.defaultParallelism
+
+
+def test_ingest_reads_a_stored_catalog(spark, monkeypatch):
+    """Not one that is derived from all events again in every batch."""
+    from slotwise.plans import catalog_queries
+
+    used = []
+    for name, place in (("start", 2), ("load", 2)):
+        real = getattr(stream, name)
+        monkeypatch.setattr(stream, name, lambda *a, real=real, place=place, **k: used.append(a[place].inputFiles()) or real(*a, **k))
+    for name in ("stream_ingest", "batch_ingest", "stream_whole_numbers"):
+        catalog_queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert len(used) == 4 and all("/catalog/" in file for files in used for file in files) and all(used)
